@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ratingspark.functions.keyed_sums import sum_vectors
 from ratingspark.functions.vectors import add, dot, sum_squares
-from ratingspark.operators.half_steps import OTHER, OWN, _Block, _by_run, _list_array, _matrix, _state_rows
+from ratingspark.operators.half_steps import OTHER, _Block, _by_run, _list_array, _matrix, _state_rows, pack
 from ratingspark.operators.layout import Layout, build_layout
 from ratingspark.plans.config import Run
 from ratingspark.session import shuffle_width
@@ -81,8 +81,8 @@ def top_neighbours(vectors: DataFrame, topk: int) -> DataFrame:
         if left.num_rows and right.num_rows:
             right = right.sort_by("dst")
             dst = right["dst"].to_numpy()
-            columns = _matrix(right["vector"], 0).T
-            units, ids = _matrix(left["unit"], 0), left["gid"].to_numpy()
+            columns = _matrix(right["vector"]).T
+            units, ids = _matrix(left["unit"]), left["gid"].to_numpy()
             strip = max(1, STRIP_CELLS // len(dst))
             for start in range(0, len(ids), strip):
                 exact = units[start : start + strip] @ columns
@@ -161,8 +161,8 @@ def similarity_graph(features: DataFrame, feature: str, topk: int, eps: float) -
 
 
 def neighbour_sums(layout: Layout, items: DataFrame, ranks: dict[int, int]) -> DataFrame:
-    """(run_id, id, pull, degree): weighted sum of neighbour vectors per item."""
-    routed = items.join(layout.route.withColumnRenamed("other", "id"), "id")
+    """(run_id, id, graph): degree, then weighted sum of neighbour vectors."""
+    routed = pack(items).join(layout.route.withColumnRenamed("other", "id"), "id")
     state = _state_rows(OTHER, routed)
 
     def pull(edges: pa.Table, state: pa.Table) -> pa.Table:
@@ -174,8 +174,8 @@ def neighbour_sums(layout: Layout, items: DataFrame, ranks: dict[int, int]) -> D
             if not len(ids):
                 break
             _, at = block.positions(ids, other["id"].to_numpy())
-            vectors = _matrix(other["vec"], ranks[run_id])
-            weighted = np.c_[block.rating, block.rating[:, None] * vectors[at]]
+            vectors = _matrix(other["packed"], 1 + ranks[run_id])[at, 1:]
+            weighted = np.c_[block.rating, block.rating[:, None] * vectors]
             tables.append(
                 pa.table(
                     [
@@ -205,11 +205,7 @@ def neighbour_sums(layout: Layout, items: DataFrame, ranks: dict[int, int]) -> D
         total = part.where(~F.col("split")).select("run_id", "id", "vec").unionByName(
             sum_vectors(part.where("split"), ["run_id", "id"])
         )
-    return total.select(
-        "run_id", "id",
-        F.slice("vec", 2, F.size("vec") - 1).alias("pull"),
-        F.element_at("vec", 1).alias("degree"),
-    )
+    return total.withColumnRenamed("vec", "graph")
 
 
 def full_graph_sums(units: DataFrame, items: DataFrame) -> DataFrame:
@@ -227,7 +223,7 @@ def full_graph_sums(units: DataFrame, items: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             for run_id in np.unique(table["run_id"].to_numpy()):
                 part = table.filter(pa.array(table["run_id"].to_numpy() == run_id))
-                unit, vec = _matrix(part["unit"], 0), _matrix(part["vec"], 0)
+                unit, vec = _matrix(part["unit"]), _matrix(part["vec"])
                 flat = (unit.T @ np.c_[np.ones(len(vec)), vec]).ravel()
                 totals[run_id] = totals.get(run_id, 0.0) + flat
         for run_id, flat in totals.items():
@@ -243,21 +239,20 @@ def full_graph_sums(units: DataFrame, items: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             for run_id in np.unique(table["run_id"].to_numpy()):
                 part = table.filter(pa.array(table["run_id"].to_numpy() == run_id))
-                unit, vec = _matrix(part["unit"], 0), _matrix(part["vec"], 0)
+                unit, vec = _matrix(part["unit"]), _matrix(part["vec"])
                 reach = unit @ totals[int(run_id)].reshape(unit.shape[1], -1)
                 reach -= np.sum(unit * unit, axis=1)[:, None] * np.c_[np.ones(len(vec)), vec]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["run_id"].combine_chunks(),
                         part["id"].combine_chunks(),
-                        _list_array(reach[:, 1:], len(vec)),
-                        pa.array(np.ascontiguousarray(reach[:, 0])),
+                        _list_array(reach, len(vec)),
                     ],
-                    names=["run_id", "id", "pull", "degree"],
+                    names=["run_id", "id", "graph"],
                 )
 
     return joined.select("run_id", "id", "vec", "unit").mapInArrow(
-        apply, "run_id int, id long, pull array<double>, degree double"
+        apply, "run_id int, id long, graph array<double>"
     )
 
 
@@ -290,23 +285,28 @@ class GraphStore:
         edges.unpersist()
         return layout
 
-    def attach(self, items: DataFrame, active: list[Run]) -> DataFrame:
-        """Items with ``pull`` and ``degree`` for the runs that use a graph."""
+    def usable(self, runs: list[Run]) -> set[int]:
+        """Ids of the runs that use a graph; a missing feature switches it off."""
+        found = set()
+        for run in runs:
+            if not run.config.uses_graph:
+                continue
+            if run.config.graph_feature in self.names or run.config.graph_feature in self.edges:
+                found.add(run.run_id)
+            else:
+                warnings.warn(f"graph feature {run.config.graph_feature!r} not found; run {run.run_id} uses no graph")
+        return found
+
+    def attach(self, items: DataFrame, active: list[Run], using: set[int]) -> DataFrame:
+        """Items with ``graph`` (degree, neighbour sum) for the runs in ``using``."""
         by_key: dict[tuple, list[Run]] = {}
         for run in active:
-            cfg = run.config
-            if not cfg.uses_graph:
-                continue
-            if cfg.graph_feature not in self.names and cfg.graph_feature not in self.edges:
-                warnings.warn(f"graph feature {cfg.graph_feature!r} not found; run {run.run_id} uses no graph")
-                continue
-            by_key.setdefault(cfg.graph_key, []).append(run)
+            if run.run_id in using:
+                by_key.setdefault(run.config.graph_key, []).append(run)
         pulls = None
         for key, runs in by_key.items():
             feature, topk, eps = key
-            part = items.where(F.col("run_id").isin([r.run_id for r in runs])).select(
-                "run_id", "id", "vec", F.lit(0.0).alias("bias")
-            )
+            part = items.where(F.col("run_id").isin([r.run_id for r in runs])).select("run_id", "id", "vec", "bias")
             given = feature in self.edges
             if not given and (not topk or topk >= self.n_items):
                 if key not in self.units:
@@ -321,11 +321,10 @@ class GraphStore:
             pulls = sums if pulls is None else pulls.unionByName(sums)
         if pulls is None:
             return items
-        zeros = F.transform("vec", lambda v: F.lit(0.0))
-        return (
-            items.join(pulls, ["run_id", "id"], "left")
-            .withColumn("pull", F.coalesce("pull", zeros))
-            .withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+        none = F.concat(F.array(F.lit(0.0)), F.transform("vec", lambda v: F.lit(0.0)))
+        wanted = F.col("run_id").isin(sorted(using))
+        return items.join(pulls, ["run_id", "id"], "left").withColumn(
+            "graph", F.when(wanted, F.coalesce("graph", none))
         )
 
     def release(self) -> None:

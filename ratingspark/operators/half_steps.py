@@ -28,20 +28,10 @@ VECTOR = T.ArrayType(T.DoubleType())
 OWN, OTHER = 0, 1  # kinds of state rows
 SOLVED, PARTIAL, EQUATIONS = 0, 1, 2  # kinds of result rows
 
-# What a block receives besides its ratings. Only item rows fill the last four.
-STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("kind", T.IntegerType()),
-        T.StructField("run_id", T.IntegerType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("vec", VECTOR),
-        T.StructField("bias", T.DoubleType()),
-        T.StructField("shift", VECTOR),  # feature part of the item vector
-        T.StructField("pull", VECTOR),  # weighted sum of graph neighbours
-        T.StructField("degree", T.DoubleType()),
-        T.StructField("x", VECTOR),  # all features, one after the other
-    ]
-)
+# What a block receives besides its ratings: one packed vector per state row.
+# other side:  bias, vec            own side: bias, vec [, shift] [, degree, pull] [, x]
+# Columns that are mostly NULL arrays are far slower to send than one longer array.
+STATE_COLUMNS = ["kind", "run_id", "id", "packed"]
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("kind", T.IntegerType()),
@@ -71,11 +61,20 @@ class RunStep:
     bias_penalty: float
     by_popularity: bool
     alpha: float
+    has_shift: bool
+    has_graph: bool
     measures_error: bool
     projections_due: bool
 
 
-def run_steps(runs: list[Run], mu: dict[int, float], side: str, due: set[int]) -> dict[int, RunStep]:
+def run_steps(
+    runs: list[Run],
+    mu: dict[int, float],
+    side: str,
+    due: set[int] = frozenset(),
+    graphs: set[int] = frozenset(),
+    has_shift: bool = False,
+) -> dict[int, RunStep]:
     steps = {}
     for run in runs:
         cfg = run.config
@@ -87,7 +86,9 @@ def run_steps(runs: list[Run], mu: dict[int, float], side: str, due: set[int]) -
             penalty=cfg.lambda_v if items else cfg.lambda_u,
             bias_penalty=cfg.item_bias_penalty if items else cfg.user_bias_penalty,
             by_popularity=items and cfg.pop_reg_mode == "inverse_sqrt",
-            alpha=cfg.alpha if items and cfg.uses_graph else 0.0,
+            alpha=cfg.alpha,
+            has_shift=items and has_shift,
+            has_graph=items and run.run_id in graphs,
             measures_error=items,
             projections_due=items and run.run_id in due,
         )
@@ -97,20 +98,14 @@ def run_steps(runs: list[Run], mu: dict[int, float], side: str, due: set[int]) -
 # ---------------------------------------------------------------- inside a task
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray | None:
-    """A list column as a matrix; None when it is empty (NULL) throughout."""
+def _matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
+    """A list column of equal lengths as a matrix; ``width`` if there are no rows."""
     if len(column) == 0:
         return np.zeros((0, width))
-    if column.null_count == len(column):
-        return None
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
-def _doubles(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy()
-
-
 class _Block:
     """Ratings of one block in the order of their owner."""
 
@@ -212,7 +207,7 @@ def _solve(step: RunStep, sums: dict[str, np.ndarray], own: dict[str, np.ndarray
     penalty = step.penalty / np.sqrt(n + 1.0) if step.by_popularity else np.full(len(n), step.penalty)
     ridge = penalty + EPS
     rhs = sums["c"][rated] - bias[rated, None] * s
-    if step.alpha > 0 and own["degree"] is not None:
+    if step.has_graph:
         ridge = ridge + step.alpha * own["degree"][rated]
         rhs = rhs + step.alpha * own["pull"][rated]
     lhs = sums["G"][rated] + ridge[:, None, None] * np.eye(step.k)
@@ -304,16 +299,19 @@ def _finish(run_id: int, step: RunStep, ids, sums, own) -> list[pa.Table]:
     return out
 
 
-def _own_arrays(own: pa.Table, k: int) -> dict[str, np.ndarray | None]:
-    degree = own["degree"]
-    return {
-        "vec": _matrix(own["vec"], k),
-        "bias": _doubles(own["bias"]),
-        "shift": _matrix(own["shift"], k),
-        "pull": _matrix(own["pull"], k),
-        "degree": None if degree.null_count == len(degree) else _doubles(degree),
-        "x": _matrix(own["x"], 0),
-    }
+def _own_arrays(packed: np.ndarray, step: RunStep) -> dict[str, np.ndarray | None]:
+    """Split packed own rows into their parts."""
+    k, start = step.k, 1 + step.k
+    out = {"bias": packed[:, 0], "vec": packed[:, 1:start], "shift": None, "degree": None, "pull": None, "x": None}
+    if step.has_shift:
+        out["shift"] = packed[:, start : start + k]
+        start += k
+    if step.has_graph:
+        out["degree"], out["pull"] = packed[:, start], packed[:, start + 1 : start + 1 + k]
+        start += 1 + k
+    if step.projections_due:
+        out["x"] = packed[:, start:]
+    return out
 
 
 def _pick(own: dict[str, np.ndarray | None], keep: np.ndarray) -> dict[str, np.ndarray | None]:
@@ -327,8 +325,9 @@ def _block_update(steps: dict[int, RunStep]) -> Callable[[pa.Table, pa.Table], p
         for run_id, own_rows, other_rows in _by_run(state):
             step = steps[run_id]
             ids = own_rows["id"].to_numpy()
-            own = _own_arrays(own_rows, step.k)
-            z, other_bias = _matrix(other_rows["vec"], step.k), _doubles(other_rows["bias"])
+            own = _own_arrays(_matrix(own_rows["packed"], 1 + step.k), step)
+            seen = _matrix(other_rows["packed"], 1 + step.k)
+            z, other_bias = np.ascontiguousarray(seen[:, 1:]), seen[:, 0]
             at, other_at = block.positions(ids, other_rows["id"].to_numpy())
             rating, split = block.rating, block.split
             if step.fold is not None:
@@ -362,8 +361,8 @@ def _parts_update(steps: dict[int, RunStep]):
             for run_id in np.unique(runs):
                 rows = table.filter(pa.array(runs == run_id))
                 step = steps[int(run_id)]
-                sums = _unflatten(_matrix(rows["sums"], 0), step.k)
-                own = _own_arrays(rows, step.k)
+                sums = _unflatten(_matrix(rows["sums"]), step.k)
+                own = _own_arrays(_matrix(rows["packed"]), step)
                 for part in _finish(int(run_id), step, rows["id"].to_numpy(), sums, own):
                     yield from part.combine_chunks().to_batches()
 
@@ -373,21 +372,29 @@ def _parts_update(steps: dict[int, RunStep]):
 # ---------------------------------------------------------------- on DataFrames
 
 
+def pack(df: DataFrame, *parts: str) -> DataFrame:
+    """``packed`` = bias, vec and the named array columns that ``df`` has.
+
+    A NULL part (a run without graph, a run whose projections rest) adds nothing.
+    """
+    empty = F.array().cast("array<double>")
+    pieces = [F.array("bias"), F.col("vec")]
+    pieces += [F.coalesce(F.col(p), empty) for p in parts if p in df.columns]
+    return df.withColumn("packed", F.concat(*pieces))
+
+
 def _state_rows(kind: int, df: DataFrame) -> DataFrame:
-    have = set(df.columns)
-    columns = [F.lit(kind).cast("int").alias("kind")]
-    for field in STATE_SCHEMA.fields[1:]:
-        source = F.col(field.name) if field.name in have else F.lit(None)
-        columns.append(source.cast(field.dataType).alias(field.name))
-    return df.select(F.col("block").alias("block"), *columns)
+    return df.select(F.col("block").alias("block"), F.lit(kind).alias("kind"), "run_id", "id", "packed")
 
 
 def half_step(layout: Layout, own: DataFrame, other: DataFrame, steps: dict[int, RunStep]) -> DataFrame:
     """Update every owner in ``own`` from its ratings and the ``other`` side.
 
-    ``own`` has (run_id, id, vec, bias) and, for items, shift, pull, degree, x.
-    ``other`` has (run_id, id, vec, bias). The result follows RESULT_SCHEMA.
+    ``own`` has (run_id, id, vec, bias) and, for items, may have shift, graph
+    (degree followed by the neighbour sum) and x. ``other`` has (run_id, id,
+    vec, bias). The result follows RESULT_SCHEMA.
     """
+    own, other = pack(own, "shift", "graph", "x").select(*STATE_COLUMNS[1:]), pack(other)
     routed = other.join(layout.route.withColumnRenamed("other", "id"), "id")
     placed = layout.own_blocks(own)
     state = _state_rows(OWN, placed).unionByName(_state_rows(OTHER, routed))
@@ -401,11 +408,7 @@ def half_step(layout: Layout, own: DataFrame, other: DataFrame, steps: dict[int,
     layout.keep(result.persist())
     cut = result.where(F.col("kind") == PARTIAL)
     total = sum_vectors(cut, ["run_id", "id"], "sums")
-    merged = total.join(own, ["run_id", "id"])
-    missing = [f for f in STATE_SCHEMA.fields if f.name not in merged.columns and f.name != "kind"]
-    for field in missing:
-        merged = merged.withColumn(field.name, F.lit(None).cast(field.dataType))
-    finished = merged.mapInArrow(_parts_update(steps), RESULT_SCHEMA)
+    finished = total.join(own, ["run_id", "id"]).mapInArrow(_parts_update(steps), RESULT_SCHEMA)
     return result.where(F.col("kind") != PARTIAL).unionByName(finished)
 
 
@@ -415,8 +418,8 @@ def held_out_errors(layout: Layout, users: DataFrame, items: DataFrame, steps: d
     Predictions are used where the ratings lie, so no vector is joined to a
     rating row; only one small sum per block, run and item leaves the task.
     """
-    routed = items.join(layout.route.withColumnRenamed("other", "id"), "id")
-    state = _state_rows(OWN, layout.own_blocks(users)).unionByName(_state_rows(OTHER, routed))
+    routed = pack(items).join(layout.route.withColumnRenamed("other", "id"), "id")
+    state = _state_rows(OWN, layout.own_blocks(pack(users))).unionByName(_state_rows(OTHER, routed))
 
     def score(ratings: pa.Table, state: pa.Table) -> pa.Table:
         block = _Block(ratings)
@@ -427,9 +430,8 @@ def held_out_errors(layout: Layout, users: DataFrame, items: DataFrame, steps: d
             at, other_at = block.positions(own_rows["id"].to_numpy(), item_ids)
             held = block.fold == step.fold
             at, other_at = at[held], other_at[held]
-            u, z = _matrix(own_rows["vec"], step.k), _matrix(other_rows["vec"], step.k)
-            guess = np.einsum("ij,ij->i", u[at], z[other_at]) + step.mu
-            guess += _doubles(own_rows["bias"])[at] + _doubles(other_rows["bias"])[other_at]
+            u, z = _matrix(own_rows["packed"], 1 + step.k), _matrix(other_rows["packed"], 1 + step.k)
+            guess = np.einsum("ij,ij->i", u[at, 1:], z[other_at, 1:]) + step.mu + u[at, 0] + z[other_at, 0]
             sq_err = (block.rating[held] - guess) ** 2
             n = np.bincount(other_at, minlength=len(item_ids))
             seen = np.flatnonzero(n)

@@ -77,7 +77,7 @@ def solve_projections(
         old = weights[run_id]
         d, k = old.shape
         n, err, sq_err = table["sums"][0].as_py()
-        rows = _matrix(table["sums"].slice(1), 0)
+        rows = _matrix(table["sums"].slice(1))
         normal = rows[:, : d * k * k].reshape(d, d, k, k).transpose(0, 2, 1, 3)
         toward = rows[:, d * k * k : d * k * k + k]
         reach = rows[:, d * k * k + k :]
@@ -135,7 +135,7 @@ def with_shift(items: DataFrame, stacked: DataFrame, weights: dict[int, np.ndarr
             edges = np.flatnonzero(np.diff(run_ids)) + 1
             for start, end in zip(np.r_[0, edges], np.r_[edges, len(run_ids)]):
                 part = table.slice(start, end - start)
-                shift = _matrix(part["x"], 0) @ weights[int(run_ids[start])]
+                shift = _matrix(part["x"]) @ weights[int(run_ids[start])]
                 part = part.drop_columns("x").append_column("shift", _list_array(shift, end - start))
                 yield from part.combine_chunks().to_batches()
 

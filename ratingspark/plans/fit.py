@@ -247,6 +247,8 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
         items = with_shift(items, data.stacked, weights)
     users, items = cut_lineage(users), cut_lineage(items)
 
+    linked = data.graphs.usable(runs)
+    shift = ["shift"] if data.slices else []
     active = list(runs)
     curves: dict[int, list[float]] = {run.run_id: [] for run in runs}
     history: list[tuple] = []
@@ -258,17 +260,18 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
         began = time.perf_counter()
         due = {r.run_id for r in active if data.slices and r.refits_projections(iteration)}
         users = cut_lineage(
-            half_step(data.by_user, users, _enriched(items), run_steps(active, mu, "user", due))
+            half_step(data.by_user, users, _enriched(items), run_steps(active, mu, "user"))
             .select("run_id", "id", "vec", "bias")
         )
         data.by_user.drop_scratch()
-        own = data.graphs.attach(items, active)
+        own = data.graphs.attach(items.select("run_id", "id", "vec", "bias", *shift), active, linked)
         if due:
             wanted = F.col("run_id").isin(sorted(due))
             own = own.join(data.stacked.withColumnRenamed("item_id", "id"), "id").withColumn(
                 "x", F.when(wanted, F.col("x"))
             )
-        result = cut_lineage(half_step(data.by_item, own, users, run_steps(active, mu, "item", due)))
+        steps = run_steps(active, mu, "item", due, linked, bool(shift))
+        result = cut_lineage(half_step(data.by_item, own, users, steps))
         data.by_item.drop_scratch()
         items = result.where(F.col("kind") == SOLVED).select(
             "run_id", "id", "vec", "bias", "shift", "n", "err", "sq_err"
@@ -324,7 +327,7 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
 
 def score_held_out(data: FitInput, fit: FitResult) -> DataFrame:
     """(run_id, item_id, n, sq_err): errors of each run on its own fold."""
-    steps = run_steps(fit.runs, fit.mu, "user", set())
+    steps = run_steps(fit.runs, fit.mu, "user")
     users = fit.users.select("run_id", F.col("user_id").alias("id"), F.col("u").alias("vec"), F.col("b_u").alias("bias"))
     items = fit.items.select("run_id", F.col("item_id").alias("id"), F.col("z").alias("vec"), F.col("b_i").alias("bias"))
     return held_out_errors(data.by_user, users, items, steps)
