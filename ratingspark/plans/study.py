@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ratingspark.functions.portable import uniform
 from ratingspark.operators.normalize import require_finite
 from ratingspark.operators.folds import require_matching_folds
-from ratingspark.plans.config import DEFAULT_SEED, NO_GRAPH, PARAMETERS, Run, config_from_row, with_fold
+from ratingspark.plans.config import DEFAULT_SEED, NO_GRAPH, PARAMETERS, Run, config_from_row
 from ratingspark.plans.fit import FitInput, FitResult, fit_runs, prepare
 
 # Bounds of the search space and stopping rule of studies.
@@ -234,8 +234,8 @@ def run_study(
     n_startup = min(5, max(2, len(settings) // 6))
     began = time.monotonic()
     size = max(1, save_every)
-    groups = [waiting[:n_startup]] if not known else []
-    rest = waiting[n_startup:] if not known else waiting
+    left = max(0, n_startup - sum(1 for n in _count(rows).values() if n == n_folds))
+    groups, rest = [waiting[:left]], waiting[left:]
     groups += [rest[i : i + size] for i in range(0, len(rest), size)]
     for number, group in enumerate(g for g in groups if g):
         if timeout_sec is not None and number and time.monotonic() - began > timeout_sec:
@@ -270,20 +270,22 @@ def _saved_scores(spark: SparkSession, path: str | None) -> list:
 def _score_group(
     data: FitInput, settings, group, n_folds, rows, n_startup, tol, min_iters
 ) -> list[tuple]:
+    """Scores of a group of trials. Before the rule applies, all folds go in one batch."""
     spark = data.ratings.sparkSession
     complete = {t for t, n in _count(rows).items() if n == n_folds}
     finished = [(r[0], r[1], r[2]) for r in rows if r[0] in complete]
+    prunes = len(complete) >= n_startup
+    waves = [[fold] for fold in range(n_folds)] if prunes else [list(range(n_folds))]
     active, found = list(group), []
-    for fold in range(n_folds):
-        runs = [Run(i, settings[t], fold, tol, min_iters) for i, t in enumerate(active)]
+    for wave in waves:
+        plan = [(trial, fold) for trial in active for fold in wave]
+        runs = [Run(i, settings[trial], fold, tol, min_iters) for i, (trial, fold) in enumerate(plan)]
         fit = fit_runs(data, runs, score=True)
         done = fit.iterations()
         for row in fold_rmse(fit).collect():  # one row per run
-            found.append(
-                (active[row.run_id], fold, row.rmse, done[row.run_id], runs[row.run_id].config.n_iters,
-                 n_folds, fit.seconds[row.run_id])
-            )
-        if finished and fold < n_folds - 1:
+            r = row.run_id
+            found.append((*plan[r], row.rmse, done[r], runs[r].config.n_iters, n_folds, fit.seconds[r]))
+        if prunes and wave[-1] < n_folds - 1:
             schema = "trial long, fold int, rmse double"
             now = spark.createDataFrame([f[:3] for f in found], schema)
             gone = {r.trial for r in median_rule(now, spark.createDataFrame(finished, schema), n_startup).collect()}

@@ -324,7 +324,7 @@ def variant_ranking(spark, sf):
 
 DIFFS = f"""{SCORES}, diffs AS (SELECT a.variant, a.fold, a.rmse - b.rmse AS d FROM scores a JOIN scores b ON a.fold = b.fold AND b.variant = 'full'
 WHERE a.variant <> 'full')"""
-CDF = """(SELECT coalesce(sum(factorial(n) / (factorial(i) * factorial(n - i))), 0) / pow(2, n) FROM unnest(range(CAST({k} AS BIGINT) + 1)) AS r(i))"""
+CDF = """(SELECT coalesce(sum(factorial(n::INTEGER) / (factorial(i::INTEGER) * factorial((n - i)::INTEGER))), 0) / pow(2, n) FROM unnest(range(CAST({k} AS BIGINT) + 1)) AS r(i))"""
 TESTS = f"""{DIFFS}, counted AS (SELECT variant, count(*) FILTER (abs(d) > 1e-8) AS n, count(*) FILTER (d > 1e-8) AS k, avg(d) AS delta_mean FROM diffs GROUP BY 1),
 tests AS (SELECT variant, n, k, delta_mean, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * least({CDF.format(k='k')},
 CASE WHEN k > 0 THEN 1 - {CDF.format(k='k - 1')} ELSE 1.0 END)) END AS p_raw FROM counted)"""
