@@ -47,6 +47,7 @@ RESULT_SCHEMA = T.StructType(
     ]
 )
 RESULT_ARROW = to_arrow_schema(RESULT_SCHEMA)
+GRAM_CELLS = 4_000_000  # numbers held at a time for products of vectors
 SUMS_HEAD = 3  # n, t, q come first in ``sums``
 
 
@@ -144,6 +145,17 @@ def _by_run(state: pa.Table) -> Iterator[tuple[int, pa.Table, pa.Table]]:
         yield run_id, own, other
 
 
+def _grams(z: np.ndarray, n: np.ndarray, starts: np.ndarray, out: np.ndarray) -> None:
+    """z'z per owner; owners with equally many rows share one stacked product."""
+    for size in np.unique(n[n > 0]):
+        owners = np.flatnonzero(n == size)
+        step = max(1, GRAM_CELLS // (int(size) * z.shape[1]))
+        for first in range(0, len(owners), step):
+            some = owners[first : first + step]
+            rows = z[starts[some][:, None] + np.arange(size)]
+            out[some] = np.matmul(rows.transpose(0, 2, 1), rows)
+
+
 def _sums(z: np.ndarray, y: np.ndarray, at: np.ndarray, size: int) -> dict[str, np.ndarray]:
     """Additive statistics per owner; rows come in the order of ``at``."""
     k = z.shape[1]
@@ -168,10 +180,7 @@ def _sums(z: np.ndarray, y: np.ndarray, at: np.ndarray, size: int) -> dict[str,
         starts = ends[present] - n[present]
         out["s"][present] = np.add.reduceat(z, starts, axis=0)
         out["c"][present] = np.add.reduceat(z * y[:, None], starts, axis=0)
-    gram = out["G"]
-    for j, start, end in zip(present, ends[present] - n[present], ends[present]):
-        rows = z[start:end]
-        np.dot(rows.T, rows, out=gram[j])
+    _grams(z, n, ends - n, out["G"])
     return out
 
 
@@ -284,19 +293,33 @@ def _result(kind, run_id, ids, vec=None, bias=None, shift=None, n=None, err=None
     )
 
 
-def _finish(run_id: int, step: RunStep, ids, sums, own) -> list[pa.Table]:
-    """Result rows of the owners whose sums are complete."""
-    vec, bias = _solve(step, sums, own)
-    shift = own["shift"]
-    err = sq_err = None
-    if step.measures_error:
-        err, sq_err = _residuals(sums, bias, vec if shift is None else vec + shift)
-    out = [_result(SOLVED, run_id, ids, vec, bias, shift, sums["n"], err, sq_err)]
-    if step.projections_due and own["x"] is not None and sums["n"].any():
-        head, rows = _projection_equations(sums, vec, bias, own["x"])
-        out.append(_result(EQUATIONS, run_id, np.array([-1]), sums=head[None, :]))
-        out.append(_result(EQUATIONS, run_id, np.arange(len(rows)), sums=rows))
-    return out
+class _Output:
+    """Result rows of one group; the projection equations are summed per run."""
+
+    def __init__(self):
+        self.tables: list[pa.Table] = []
+        self.equations: dict[int, list[np.ndarray]] = {}
+
+    def finish(self, run_id: int, step: RunStep, ids, sums, own) -> None:
+        """Add the owners whose sums are complete."""
+        vec, bias = _solve(step, sums, own)
+        shift = own["shift"]
+        err = sq_err = None
+        if step.measures_error:
+            err, sq_err = _residuals(sums, bias, vec if shift is None else vec + shift)
+        self.tables.append(_result(SOLVED, run_id, ids, vec, bias, shift, sums["n"], err, sq_err))
+        if step.projections_due and sums["n"].any():
+            new = _projection_equations(sums, vec, bias, own["x"])
+            old = self.equations.get(run_id)
+            self.equations[run_id] = list(new) if old is None else [a + b for a, b in zip(old, new)]
+
+    def drain(self) -> list[pa.Table]:
+        for run_id, (head, rows) in self.equations.items():
+            self.tables.append(_result(EQUATIONS, run_id, np.array([-1]), sums=head[None, :]))
+            self.tables.append(_result(EQUATIONS, run_id, np.arange(len(rows)), sums=rows))
+        self.equations = {}
+        tables, self.tables = self.tables, []
+        return tables
 
 
 def _own_arrays(packed: np.ndarray, step: RunStep) -> dict[str, np.ndarray | None]:
@@ -318,9 +341,16 @@ def _pick(own: dict[str, np.ndarray | None], keep: np.ndarray) -> dict[str, np.n
     return {name: None if value is None else value[keep] for name, value in own.items()}
 
 
+def _slices(n_owners: int, k: int) -> Iterator[slice]:
+    """Ranges of owners whose k x k sums fit in memory together."""
+    step = max(1, GRAM_CELLS // (k * k))
+    for first in range(0, n_owners, step):
+        yield slice(first, min(n_owners, first + step))
+
+
 def _block_update(steps: dict[int, RunStep]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def update(ratings: pa.Table, state: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
+        out = _Output()
         block = _Block(ratings)
         for run_id, own_rows, other_rows in _by_run(state):
             step = steps[run_id]
@@ -329,24 +359,25 @@ def _block_update(steps: dict[int, RunStep]) -> Callable[[pa.Table, pa.Table], p
             seen = _matrix(other_rows["packed"], 1 + step.k)
             z, other_bias = np.ascontiguousarray(seen[:, 1:]), seen[:, 0]
             at, other_at = block.positions(ids, other_rows["id"].to_numpy())
-            rating, split = block.rating, block.split
+            cut = np.zeros(len(ids), dtype=bool)
+            cut[at[block.split]] = True
+            rating = block.rating
             if step.fold is not None:
                 keep = block.fold != step.fold
                 at, other_at, rating = at[keep], other_at[keep], rating[keep]
             y = rating - step.mu - other_bias[other_at]
-            sums = _sums(z[other_at], y, at, len(ids))
-            cut = np.zeros(len(ids), dtype=bool)
-            if split.any():
-                cut[np.searchsorted(ids, np.unique(block.own[split]))] = True
-                parts = np.flatnonzero(cut)
-                out.append(_result(PARTIAL, run_id, ids[parts], sums=_flatten(sums, parts)))
-            whole = ~cut
-            if cut.any():
-                ids, own = ids[whole], _pick(own, whole)
-                sums = {name: value[whole] for name, value in sums.items()}
-            if len(ids):
-                out.extend(_finish(run_id, step, ids, sums, own))
-        return pa.concat_tables(out) if out else RESULT_ARROW.empty_table()
+            for some in _slices(len(ids), step.k):
+                rows = slice(*np.searchsorted(at, [some.start, some.stop]))
+                sums = _sums(z[other_at[rows]], y[rows], at[rows] - some.start, some.stop - some.start)
+                whole = ~cut[some]
+                parts = np.flatnonzero(~whole)
+                if len(parts):
+                    out.tables.append(_result(PARTIAL, run_id, ids[some][parts], sums=_flatten(sums, parts)))
+                    sums = {name: value[whole] for name, value in sums.items()}
+                if whole.any():
+                    out.finish(run_id, step, ids[some][whole], sums, _pick(_pick(own, some), whole))
+        tables = out.drain()
+        return pa.concat_tables(tables) if tables else RESULT_ARROW.empty_table()
 
     return update
 
@@ -355,6 +386,7 @@ def _parts_update(steps: dict[int, RunStep]):
     """Same ending for the owners that were cut into parts and summed up again."""
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Output()
         for batch in batches:
             table = pa.Table.from_batches([batch]).sort_by("run_id")
             runs = table["run_id"].to_numpy()
@@ -363,8 +395,12 @@ def _parts_update(steps: dict[int, RunStep]):
                 step = steps[int(run_id)]
                 sums = _unflatten(_matrix(rows["sums"]), step.k)
                 own = _own_arrays(_matrix(rows["packed"]), step)
-                for part in _finish(int(run_id), step, rows["id"].to_numpy(), sums, own):
-                    yield from part.combine_chunks().to_batches()
+                out.finish(int(run_id), step, rows["id"].to_numpy(), sums, own)
+            tables, out.tables = out.tables, []
+            for part in tables:
+                yield from part.combine_chunks().to_batches()
+        for part in out.drain():
+            yield from part.combine_chunks().to_batches()
 
     return update
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratingspark.session import shuffle_width
 
-MAX_ROWS = 250_000
+MAX_ROWS = 1_000_000  # ratings of one block, and of one part of a cut entity
 MAX_LABELS = 4_096
 BROADCAST_ROWS = 200_000
 
@@ -31,6 +31,7 @@ class Layout:
     hot: DataFrame | None  # own, parts: entities cut into several parts
     labels: list[int] | None
     n_blocks: int
+    block_rows: int  # about how many ratings a block holds
     scratch: list[DataFrame] = field(default_factory=list)
 
     def keep(self, df: DataFrame) -> None:
@@ -114,10 +115,10 @@ def build_layout(
     )
     if hot.isEmpty():
         hot.unpersist()
-        layout = Layout(None, None, None, labels, n_blocks)
+        layout = Layout(None, None, None, labels, n_blocks, -(-n_rows // n_blocks))
         placed = base.withColumn("split", F.lit(False)).withColumn("part", F.lit(0))
     else:
-        layout = Layout(None, None, hot, labels, n_blocks)
+        layout = Layout(None, None, hot, labels, n_blocks, -(-n_rows // n_blocks))
         # There are at most n_rows / max_rows such entities.
         small = F.broadcast(hot) if n_rows // max_rows <= BROADCAST_ROWS else hot
         placed = (

@@ -31,7 +31,7 @@ from ratingspark.operators.projections import (
 from ratingspark.plans.config import Run
 from ratingspark.session import cut_lineage, shuffle_width
 
-BATCH_RANK = 1_000  # sum of ranks fitted in one batch; bounds the state held by a task
+STATE_CELLS = 160_000_000  # numbers of state a task may hold for its block
 
 HISTORY_SCHEMA = (
     "run_id int, iter int, mu double, train_rmse double, "
@@ -153,8 +153,13 @@ def prepare(
     )
 
 
-def batches(runs: list[Run], budget: int = BATCH_RANK) -> list[list[Run]]:
-    """Groups of runs whose state fits a task together."""
+def batches(runs: list[Run], block_rows: int) -> list[list[Run]]:
+    """Groups of runs whose state fits a task together.
+
+    A block needs at most one state row per rating, whatever the popularity of
+    its members, so rows times the summed ranks bounds what a task holds.
+    """
+    budget = STATE_CELLS // max(1, block_rows)
     out: list[list[Run]] = []
     room = 0
     for run in runs:
@@ -336,7 +341,8 @@ def score_held_out(data: FitInput, fit: FitResult) -> DataFrame:
 def fit_runs(data: FitInput, runs: list[Run], score: bool = False) -> FitResult:
     """Fit every run; with ``score`` also measure it on its held-out fold."""
     parts = []
-    for group in batches(runs):
+    block_rows = max(data.by_user.block_rows, data.by_item.block_rows)
+    for group in batches(runs, block_rows):
         part = _fit_batch(data, group)
         if score:
             part.held_out = cut_lineage(score_held_out(data, part))

@@ -63,8 +63,10 @@ def close(got, want):
 
 @pytest.mark.parametrize("max_rows", [250_000, 6])
 @pytest.mark.parametrize("pop", [None, "inverse_sqrt"])
-def test_fit_equals_dense_fit(spark, world, max_rows, pop):
+def test_fit_equals_dense_fit(spark, world, max_rows, pop, monkeypatch):
     """max_rows=6 cuts most users and items into parts; the result is the same."""
+    if pop is None:
+        monkeypatch.setattr("ratingspark.operators.half_steps.GRAM_CELLS", 30)  # three owners at a time
     cfg = ModelConfig(3, 4, **BASE, pop_reg_mode=pop, update_w_every=2, lambda_w={"a": 0.3})
     data = prepare(world["ratings"], world["users"], world["items"], world["features"], max_rows=max_rows)
     assert (data.by_item.hot is not None) == (max_rows == 6)
@@ -142,7 +144,7 @@ def test_small_batches_give_the_same_result(spark, world, monkeypatch):
     data = prepare(world["ratings"], world["users"], world["items"])
     runs = with_fold([Run(0, ModelConfig(2, 2, **BASE), None, None)], 3)
     whole = fit_runs(data, runs, score=True)
-    monkeypatch.setattr(fit_module, "batches", lambda rs: [[r] for r in rs])
+    monkeypatch.setattr(fit_module, "STATE_CELLS", 1)
     pieces = fit_runs(data, runs, score=True)
     for r in runs:
         for got, want in zip(arrays(pieces, r.run_id), arrays(whole, r.run_id)):
