@@ -43,7 +43,7 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("err", T.DoubleType()),  # sum of training residuals
         T.StructField("sq_err", T.DoubleType()),  # sum of their squares
-        T.StructField("sums", VECTOR),  # sums of a part, or of a feature column
+        T.StructField("sums", VECTOR),  # sums of a part, of a feature column or of an item
     ]
 )
 RESULT_ARROW = to_arrow_schema(RESULT_SCHEMA)
@@ -65,7 +65,8 @@ class RunStep:
     has_shift: bool
     has_graph: bool
     measures_error: bool
-    projections_due: bool
+    projections_due: bool  # sum up the projection equations of the run
+    keeps_sums: bool  # or hand on the sums of every item, for wide features
 
 
 def run_steps(
@@ -75,6 +76,7 @@ def run_steps(
     due: set[int] = frozenset(),
     graphs: set[int] = frozenset(),
     has_shift: bool = False,
+    wide: set[int] = frozenset(),
 ) -> dict[int, RunStep]:
     steps = {}
     for run in runs:
@@ -92,6 +94,7 @@ def run_steps(
             has_graph=items and run.run_id in graphs,
             measures_error=items,
             projections_due=items and run.run_id in due,
+            keeps_sums=items and run.run_id in wide,
         )
     return steps
 
@@ -307,7 +310,8 @@ class _Output:
         err = sq_err = None
         if step.measures_error:
             err, sq_err = _residuals(sums, bias, vec if shift is None else vec + shift)
-        self.tables.append(_result(SOLVED, run_id, ids, vec, bias, shift, sums["n"], err, sq_err))
+        flat = _flatten(sums, np.arange(len(ids))) if step.keeps_sums else None
+        self.tables.append(_result(SOLVED, run_id, ids, vec, bias, shift, sums["n"], err, sq_err, flat))
         if step.projections_due and sums["n"].any():
             new = _projection_equations(sums, vec, bias, own["x"])
             old = self.equations.get(run_id)

@@ -9,10 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ratingspark.functions.keyed_sums import sum_vectors
-from ratingspark.operators.half_steps import EQUATIONS, RESULT_SCHEMA, _list_array, _matrix
+from ratingspark.operators.half_steps import (
+    EQUATIONS,
+    RESULT_SCHEMA,
+    SOLVED,
+    _list_array,
+    _matrix,
+    _residuals,
+    _unflatten,
+)
 from ratingspark.plans.config import EPS, Run
 
-MAX_EQUATIONS = 4_000  # unknowns per feature system that one task may solve
+MAX_EQUATIONS = 4_000  # unknowns of one run that a task may solve directly
+CG_TOLERANCE = 1e-11  # relative residual at which the iterative solve ends
 
 Slices = list[tuple[str, int, int]]
 
@@ -119,6 +128,128 @@ def solve_projections(
     return out
 
 
+def _per_column(rows: DataFrame, term, ranks: dict[int, int], width: int) -> dict[int, np.ndarray]:
+    """Sum over items of ``term(run_id, sums, vec, bias, x)``, a (width, m) matrix per run."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            run_ids = table["run_id"].to_numpy()
+            for run_id in map(int, np.unique(run_ids)):
+                part = table.filter(pa.array(run_ids == run_id))
+                sums = _unflatten(_matrix(part["sums"]), ranks[run_id])
+                new = term(run_id, sums, _matrix(part["vec"]), part["bias"].to_numpy(), _matrix(part["x"]))
+                totals[run_id] = totals[run_id] + new if run_id in totals else new
+        for run_id, total in totals.items():
+            used = np.flatnonzero(np.any(total != 0, axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(used), run_id, dtype=np.int32)),
+                    pa.array(used.astype(np.int32)),
+                    _list_array(total[used], len(used)),
+                ],
+                names=["run_id", "col", "vec"],
+            )
+
+    parts = rows.mapInArrow(add_up, "run_id int, col int, vec array<double>")
+    out: dict[int, np.ndarray] = {}
+    for row in sum_vectors(parts, ["run_id", "col"]).collect():  # as large as the weights themselves
+        matrix = out.setdefault(row.run_id, np.zeros((width, len(row.vec))))
+        matrix[row.col] = row.vec
+    return out
+
+
+def iterate_projections(
+    result: DataFrame,
+    stacked: DataFrame,
+    runs: dict[int, Run],
+    weights: dict[int, np.ndarray],
+    slices: Slices,
+) -> dict[int, tuple[np.ndarray, float, float, float]]:
+    """Like ``solve_projections`` for features too wide for one task.
+
+    Conjugate gradients with a diagonal preconditioner, on all runs and features
+    at once. The equations are never built: each round multiplies by them item
+    by item, from the sums of the item step.
+    """
+    due, width = sorted(weights), slices[-1][2]
+    ranks = {r: runs[r].config.n_factors for r in due}
+    owner = np.concatenate([np.full(end - start, f) for f, (_, start, end) in enumerate(slices)])
+    ridge = {
+        r: np.array([runs[r].config.lambda_w.get(name, 0.0) + EPS for name, _, _ in slices])[owner][:, None] for r in due
+    }
+    rows = (
+        result.where((F.col("kind") == SOLVED) & F.col("run_id").isin(due) & (F.col("n") > 0))
+        .select("run_id", "id", "vec", "bias", "sums")
+        .join(stacked.withColumnRenamed("item_id", "id"), "id")
+        .select("run_id", "vec", "bias", "sums", "x")
+        .persist()
+    )
+
+    def through(gram, x, w):
+        """x (outer) G w'x for each feature by itself."""
+        out = np.zeros((x.shape[1], gram.shape[1]))
+        for _, start, end in slices:
+            part = x[:, start:end]
+            out[start:end] = part.T @ np.einsum("iab,ib->ia", gram, part @ w[start:end])
+        return out
+
+    def start_term(run_id, sums, vec, bias, x):
+        """Right-hand side, product with the old weights, and the diagonal."""
+        old, gram = weights[run_id], sums["G"]
+        toward = sums["c"] - bias[:, None] * sums["s"] - np.einsum("iab,ib->ia", gram, vec + x @ old)
+        own = through(gram, x, old)
+        diagonal = (x * x).T @ np.einsum("iaa->ia", gram)
+        return np.c_[x.T @ toward + own, own, diagonal]
+
+    begin = _per_column(rows, start_term, ranks, width)
+    state = {}
+    for r in due:
+        k = ranks[r]
+        rhs, own, diagonal = np.split(begin.get(r, np.zeros((width, 3 * k))), 3, axis=1)
+        left = rhs - own - ridge[r] * weights[r]
+        scale = 1.0 / (diagonal + ridge[r])
+        state[r] = dict(w=weights[r].copy(), left=left, scale=scale, way=scale * left, size=_by_feature(rhs * rhs, slices))
+    for _ in range(width * max(ranks.values())):
+        ways = {r: s["way"] for r, s in state.items() if np.any(_open(s, slices))}
+        if not ways:
+            break
+        wanted = rows.where(F.col("run_id").isin(sorted(ways)))
+        product = _per_column(wanted, lambda r, sums, vec, bias, x: through(sums["G"], x, ways[r]), ranks, width)
+        for r, way in ways.items():
+            s = state[r]
+            active = _open(s, slices)
+            image = product.get(r, np.zeros_like(way)) + ridge[r] * way
+            slope = _by_feature(way * image, slices)
+            before = _by_feature(s["left"] * s["scale"] * s["left"], slices)
+            step = np.where(active & (slope > 0), before / np.where(slope > 0, slope, 1.0), 0.0)[owner][:, None]
+            s["w"] += step * way
+            s["left"] = s["left"] - step * image
+            after = _by_feature(s["left"] * s["scale"] * s["left"], slices)
+            turn = np.where(active & (before > 0), after / np.where(before > 0, before, 1.0), 0.0)[owner][:, None]
+            s["way"] = np.where(active[owner][:, None], s["scale"] * s["left"] + turn * way, 0.0)
+
+    def measure(run_id, sums, vec, bias, x):
+        err, sq_err = _residuals(sums, bias, vec + x @ state[run_id]["w"])
+        out = np.zeros((width, 3))
+        out[0] = sums["n"].sum(), err.sum(), sq_err.sum()
+        return out
+
+    measured = _per_column(rows, measure, ranks, width)
+    rows.unpersist()
+    return {r: (state[r]["w"], *measured[r][0]) for r in due if r in measured}
+
+
+def _by_feature(values: np.ndarray, slices: Slices) -> np.ndarray:
+    return np.array([values[start:end].sum() for _, start, end in slices])
+
+
+def _open(s: dict, slices: Slices) -> np.ndarray:
+    """Which features have not converged yet."""
+    return _by_feature(s["left"] ** 2, slices) > CG_TOLERANCE**2 * s["size"]
+
+
 def with_shift(items: DataFrame, stacked: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     """Set ``shift`` = the feature part of each item vector under ``weights``."""
     columns = ["kind", "run_id", "id", "vec", "bias", "n", "err", "sq_err"]

@@ -22,8 +22,10 @@ from ratingspark.functions.vectors import add, finite_or_null, sum_squares
 from ratingspark.operators.graph import GraphStore
 from ratingspark.operators.half_steps import SOLVED, half_step, held_out_errors, run_steps
 from ratingspark.operators.layout import MAX_ROWS, build_layout
+from ratingspark.operators import projections
 from ratingspark.operators.projections import (
     check_features,
+    iterate_projections,
     solve_projections,
     stack_features,
     with_shift,
@@ -269,13 +271,15 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
             .select("run_id", "id", "vec", "bias")
         )
         data.by_user.drop_scratch()
+        wide = {r for r in due if data.slices[-1][2] * by_id[r].config.n_factors > projections.MAX_EQUATIONS}
+        direct = due - wide
         own = data.graphs.attach(items.select("run_id", "id", "vec", "bias", *shift), active, linked)
-        if due:
-            wanted = F.col("run_id").isin(sorted(due))
+        if direct:
+            wanted = F.col("run_id").isin(sorted(direct))
             own = own.join(data.stacked.withColumnRenamed("item_id", "id"), "id").withColumn(
                 "x", F.when(wanted, F.col("x"))
             )
-        steps = run_steps(active, mu, "item", due, linked, bool(shift))
+        steps = run_steps(active, mu, "item", direct, linked, bool(shift), wide)
         result = cut_lineage(half_step(data.by_item, own, users, steps))
         data.by_item.drop_scratch()
         items = result.where(F.col("kind") == SOLVED).select(
@@ -283,7 +287,11 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
         )
         refit = {}
         if due:
-            refit = solve_projections(result, by_id, {r: weights[r] for r in due}, data.slices)
+            if direct:
+                refit.update(solve_projections(result, by_id, {r: weights[r] for r in direct}, data.slices))
+            if wide:
+                old = {r: weights[r] for r in wide}
+                refit.update(iterate_projections(result, data.stacked, by_id, old, data.slices))
             weights.update({r: new for r, (new, _, _, _) in refit.items()})
             stale = items.where(~F.col("run_id").isin(sorted(due)))
             fresh = with_shift(items.where(F.col("run_id").isin(sorted(due))), data.stacked, weights)

@@ -102,6 +102,23 @@ def test_graph_fit_equals_dense_fit(spark, world, topk, max_rows, monkeypatch):
     data.release()
 
 
+def test_wide_features_are_solved_iteratively(spark, world, monkeypatch):
+    from ratingspark.operators import projections
+
+    cfg = ModelConfig(3, 2, **BASE, update_w_every=1, lambda_w={"a": 0.3, "b": 0.1})
+    data = prepare(world["ratings"], world["users"], world["items"], world["features"])
+    runs = with_fold([Run(0, cfg, None, None)], 2)
+    direct = fit_runs(data, runs)
+    monkeypatch.setattr(projections, "MAX_EQUATIONS", 1)
+    wide = fit_runs(data, runs)
+    for r in runs:
+        np.testing.assert_allclose(wide.weights[r.run_id], direct.weights[r.run_id], rtol=1e-6, atol=1e-8)
+        for got, want in zip(arrays(wide, r.run_id), arrays(direct, r.run_id)):
+            np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-8)
+    np.testing.assert_allclose([h[2:4] for h in wide.history], [h[2:4] for h in direct.history], rtol=1e-7)
+    data.release()
+
+
 def dense_graph(x, topk, eps):
     unit = x / (np.sqrt((x * x).sum(1, keepdims=True)) + eps)
     S = unit @ unit.T
