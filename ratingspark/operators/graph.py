@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ratingspark.functions.keyed_sums import sum_vectors
-from ratingspark.functions.vectors import add, dot, sum_squares
+from ratingspark.functions.vectors import dot, sum_squares
 from ratingspark.operators.half_steps import OTHER, _Block, _by_run, _list_array, _matrix, _state_rows, pack
 from ratingspark.operators.layout import Layout, build_layout
 from ratingspark.plans.config import Run
-from ratingspark.session import shuffle_width
+from ratingspark.session import cut_lineage, shuffle_width
 
 TILE_BYTES = 64 << 20  # vectors on one side of a tile
 STRIP_CELLS = 4_000_000  # similarities held at a time
@@ -43,9 +43,8 @@ def top_neighbours(vectors: DataFrame, topk: int) -> DataFrame:
     spark = vectors.sparkSession
     width = shuffle_width(spark)
     keep = topk + 1
-    vectors = vectors.persist()
     groups = vectors.groupBy("unit").agg(F.min("item_id").alias("gid"))
-    members = vectors.join(groups, "unit").persist()
+    members = cut_lineage(vectors.join(groups, "unit"))
     ranked = members.withColumn(
         "place", F.row_number().over(Window.partitionBy("gid").orderBy("item_id"))
     ).where(F.col("place") <= keep)
@@ -56,8 +55,6 @@ def top_neighbours(vectors: DataFrame, topk: int) -> DataFrame:
         F.max(F.size("unit")).alias("d"),
     ).first()
     if not shape.right:
-        members.unpersist()
-        vectors.unpersist()
         return spark.createDataFrame([], "src long, dst long, sim double")
     cap = max(256, TILE_BYTES // (8 * max(1, shape.d)))
     rows = max(-(-shape.left // cap), min(width, -(-shape.left // 256)))
@@ -262,7 +259,7 @@ class GraphStore:
     def __init__(self, features: DataFrame | None, edges: dict[str, DataFrame]):
         self.features = features
         self.edges = edges
-        self.names = set()
+        self.names: set[str] = set()
         self.n_items = 0
         if features is not None:
             rows = features.groupBy("feature").agg(F.count("*").alias("n")).collect()

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ratingspark.session import shuffle_width
+from ratingspark.session import width_for
 
 MAX_ROWS = 1_000_000  # ratings of one block, and of one part of a cut entity
 MAX_LABELS = 4_096
@@ -99,7 +99,7 @@ def build_layout(
 ) -> Layout:
     """Cluster ``ratings`` (user_id, item_id, rating, fold) by ``own``."""
     spark = ratings.sparkSession
-    width = shuffle_width(spark)
+    width = width_for(spark, n_rows)
     n_blocks = width * max(1, -(-n_rows // (width * max_rows)))
     labels = balanced_labels(spark, n_blocks, width)
 

@@ -53,3 +53,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def width_for(spark: SparkSession, n_rows: int, rows_per_task: int = 50_000) -> int:
+    """Partitions for ``n_rows`` rows: never more than the session is set to."""
+    wanted = max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_per_task))
+    return max(1, min(shuffle_width(spark), wanted))

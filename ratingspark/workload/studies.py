@@ -6,13 +6,14 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ratingspark.operators import metrics, stats
+from ratingspark.operators import stats
 from ratingspark.operators.baselines import fold_scores
+from ratingspark.operators.folds import assign_folds
 from ratingspark.plans import ablation, study
-from ratingspark.plans.config import RUNS_SCHEMA, config_from_row
+from ratingspark.plans.config import RUNS_SCHEMA
 from ratingspark.plans.fit import fit_runs
 from ratingspark.workload import views as v
-from ratingspark.workload.models import BATCH, FOUR, TWO, _data
+from ratingspark.workload.models import BATCH, FOUR, _data
 from ratingspark.workload.rank_one import fit_sql, uniform_sql
 from ratingspark.workload.registry import query
 
@@ -214,7 +215,7 @@ def cv_score(spark, sf):
     )
 
 
-def _small(params: DataFrame, rank: int = 3, iters: int = 3) -> DataFrame:
+def _small(params: DataFrame, rank: int = 3, iters: int = 2) -> DataFrame:
     """Sampled parameters with the rank and length of a trial fit."""
     return params.withColumns(
         {
@@ -233,7 +234,7 @@ def _first_trials(spark, sf, n: int) -> DataFrame:
 def tune_study(spark, sf):
     """Random search over a few trials with pruning between folds."""
     result = study.run_study(
-        v.folded(spark, sf), v.scalar_features(spark, sf), _first_trials(spark, sf, 3), v.N_FOLDS,
+        assign_folds(v.ratings(spark, sf), 3), v.scalar_features(spark, sf), _first_trials(spark, sf, 3), 3,
         users=v.users(spark, sf), items=v.items(spark, sf),
     )
     return result.trials.select("trial", "state", F.round("value", 6).alias("value"), "mean_iters", "n_factors")
@@ -244,8 +245,9 @@ def study_resume(spark, sf):
     """A study stopped after its start-up trials and continued from its saved scores."""
     path = v.scratch_path(spark, "study")
     where = dict(users=v.users(spark, sf), items=v.items(spark, sf), path=path)
-    study.run_study(v.folded(spark, sf), None, _first_trials(spark, sf, 2), v.N_FOLDS, **where)
-    result = study.run_study(v.folded(spark, sf), None, _first_trials(spark, sf, 3), v.N_FOLDS, **where)
+    folded = assign_folds(v.ratings(spark, sf), 3)
+    study.run_study(folded, None, _first_trials(spark, sf, 2), 3, **where)
+    result = study.run_study(folded, None, _first_trials(spark, sf, 3), 3, **where)
     return result.trials.select("trial", "state", F.round("value", 6).alias("value"), "mean_iters")
 
 

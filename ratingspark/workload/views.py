@@ -107,7 +107,7 @@ def brand_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def size_feature(spark: SparkSession, sf: str, missing: bool = False) -> DataFrame:
-    """``missing`` hides the size of parts of the commonest price step, as a gap to fill."""
+    """``missing`` hides the largest sizes, as gaps to fill."""
     value = F.col("p_size").cast("double")
     if missing:
         value = F.when(F.col("p_size") < 45, value)
