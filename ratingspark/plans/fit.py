@@ -31,7 +31,7 @@ from ratingspark.operators.projections import (
     with_shift,
 )
 from ratingspark.plans.config import Run
-from ratingspark.session import cut_lineage, shuffle_width
+from ratingspark.session import cut_lineage
 
 STATE_CELLS = 160_000_000  # numbers of state a task may hold for its block
 
@@ -145,7 +145,7 @@ def prepare(
     if features is not None:
         check_features(features, all_items)
         stacked, slices = stack_features(features)
-        stacked = stacked.repartition(shuffle_width(base.sparkSession), "item_id").persist()
+        stacked = stacked.persist()
         scratch.append(stacked)
     graphs = GraphStore(features, edges or {})
     base.unpersist()
