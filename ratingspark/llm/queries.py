@@ -1,10 +1,16 @@
 """The registered queries of the operators, and SQL that gives the same rows where SQL can."""
 
+from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from ratingspark.llm.quality import op9_quality_rules
 from ratingspark.llm.secret_scan import op8_secret_scan
+from ratingspark.llm.simhash_trie import op4_simhash_trie
 
 QUERIES = {
+    "op4_simhash_trie": op4_simhash_trie,
+    "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
