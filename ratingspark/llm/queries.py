@@ -4,8 +4,10 @@ from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from ratingspark.llm.quality import op9_quality_rules
 from ratingspark.llm.secret_scan import op8_secret_scan
 from ratingspark.llm.simhash_trie import op4_simhash_trie
+from ratingspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
