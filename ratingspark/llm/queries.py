@@ -1,12 +1,14 @@
 """The registered queries of the operators, and SQL that gives the same rows where SQL can."""
 
 from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
+from ratingspark.llm.pieces import op3_sentencepiece
 from ratingspark.llm.quality import op9_quality_rules
 from ratingspark.llm.secret_scan import op8_secret_scan
 from ratingspark.llm.simhash_trie import op4_simhash_trie
 from ratingspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_line_dedup": op5_line_dedup,
