@@ -1,5 +1,6 @@
 """The registered queries of the operators, and SQL that gives the same rows where SQL can."""
 
+from ratingspark.llm.language_id import op10_language_id
 from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from ratingspark.llm.pieces import op3_sentencepiece
 from ratingspark.llm.quality import op9_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
