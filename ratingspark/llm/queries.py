@@ -1,5 +1,6 @@
 """The registered queries of the operators, and SQL that gives the same rows where SQL can."""
 
+from ratingspark.llm.hmm_lm import op1_hmm_lm
 from ratingspark.llm.language_id import op10_language_id
 from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from ratingspark.llm.pieces import op3_sentencepiece
@@ -9,6 +10,7 @@ from ratingspark.llm.simhash_trie import op4_simhash_trie
 from ratingspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_hmm_lm": op1_hmm_lm,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op4_simhash_trie": op4_simhash_trie,
