@@ -4,6 +4,7 @@ from ratingspark.llm.hmm_lm import op1_hmm_lm
 from ratingspark.llm.language_id import op10_language_id
 from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from ratingspark.llm.pieces import op3_sentencepiece
+from ratingspark.llm.posting_lists import op7_posting_lists
 from ratingspark.llm.quality import op9_quality_rules
 from ratingspark.llm.secret_scan import op8_secret_scan
 from ratingspark.llm.simhash_trie import op4_simhash_trie
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_line_dedup": op5_line_dedup,
+    "op7_posting_lists": op7_posting_lists,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
