@@ -3,6 +3,7 @@
 from ratingspark.llm.hmm_lm import op1_hmm_lm
 from ratingspark.llm.language_id import op10_language_id
 from ratingspark.llm.line_dedup import OP5_SQL, op5_line_dedup
+from ratingspark.llm.mixing import op2_mixing
 from ratingspark.llm.pieces import op3_sentencepiece
 from ratingspark.llm.posting_lists import op7_posting_lists
 from ratingspark.llm.quality import op9_quality_rules
@@ -11,6 +12,7 @@ from ratingspark.llm.simhash_trie import op4_simhash_trie
 from ratingspark.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op1_hmm_lm": op1_hmm_lm,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_toxicity": op6_toxicity,

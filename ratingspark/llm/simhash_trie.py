@@ -216,6 +216,28 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) whose id names their group.
+
+    Of rows with one id, one stays; of a group whose ids are all null, one stays.
+    """
+    groups = store(near_groups(docs, max_bits=max_bits))
+    named = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi")
+    nameless = groups.filter("component_id is null").limit(1).collect()
+    repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).collect()
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id"])
+    if nameless:
+        # Ids are missing for whole groups: one text of each such fingerprint group.
+        texts = docs.filter("doc_id is null").withColumn("_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+        inner = near_groups(texts.select(F.col("_id").alias("doc_id"), "text"), max_bits=max_bits)
+        lone = groups.filter("component_id is null").select("fp").distinct()
+        chosen = inner.join(lone, "fp", "left_semi").filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+        kept = kept.unionByName(texts.join(chosen, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns))
+    return kept
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(documents(spark, sf_dir).select("doc_id", "text"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
