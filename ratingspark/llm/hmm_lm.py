@@ -93,20 +93,23 @@ class Counts:
 
 
 def count_words(training: DataFrame, head: int = 150_000, symbols: int = 16_000, buckets: int = 2_048) -> tuple[DataFrame, Counts]:
-    """The stored table of all counts (word, n), and the bounded part that tasks need."""
+    """The stored table of all counts (word, n), and the bounded part that tasks need: ``head`` words at most."""
     table = store(training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = table.orderBy(F.col("n").desc(), "word").limit(head).collect()
-    words, counts = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
-    # The end always is a symbol, the first.
-    ends = [i for i, w in enumerate(words[:symbols]) if w == END]
-    at = ends[0] if ends else None
-    order = ([at] if at is not None else []) + [i for i in range(len(words)) if i != at]
-    if at is None:
-        held = table.filter(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-        words, counts = [END, *(w for w in words if w != END)], np.array([held, *(c for w, c in zip(words, counts) if w != END)], np.int64)
-    else:
-        words, counts = [words[i] for i in order], counts[order]
+    # Words by size class of their count: whole classes from the top, ``head`` words at most.
+    size = F.floor(F.log2("n") * 16)
+    least, taken = math.inf, 0
+    for row in sorted(table.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        if (taken := taken + row["count"]) > head:
+            break
+        least = row["size"]
+    top = [] if least == math.inf else table.filter(size >= F.lit(least)).collect()
+    found = {bytes(r["word"]): r["n"] for r in top}
+    if END not in found:
+        found[END] = table.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # The end is the first symbol; then the most frequent words.
+    words = sorted(found, key=lambda w: (w != END, -found[w], w))
+    counts = np.array([found[w] for w in words], np.int64)
     n_symbols = min(symbols, len(words))
     sums = table.groupBy((F.crc32("word") % buckets).cast("int").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     class_tokens, class_words = np.zeros(buckets), np.zeros(buckets)
