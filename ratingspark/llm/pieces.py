@@ -23,6 +23,7 @@ before the text are supported; others raise ``ValueError``.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -89,7 +90,8 @@ class Matcher:
         ids = np.flatnonzero(vocabulary.normal)
         lengths = np.array([len(vocabulary.pieces[i]) for i in ids])
         self.width = -(-int(lengths.max()) // 2) * 2
-        self.ids, self.lengths = ids, lengths
+        self.ids, self.lengths = ids.astype(np.int32), lengths.astype(np.int32)
+        self.single = np.array([len(vocabulary.pieces[i].decode()) == 1 for i in ids])
         self.low = np.array([vocabulary.pieces[i] for i in ids], f"S{self.width}")
         self.high = np.array([vocabulary.pieces[i].ljust(self.width, b"\xff") for i in ids], f"S{self.width}")
 
@@ -100,40 +102,41 @@ class Matcher:
         order = radix_order(heads.view(">u2").reshape(len(text), -1).astype(np.uint16))
         return order, heads.view(f"S{self.width}").ravel()[order]
 
-    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and piece id of every occurrence, sorted by position."""
+    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every longer occurrence, by position; the piece of each single character."""
         order, suffixes = self.suffix_array(text)
         begin = np.searchsorted(suffixes, self.low, "left")
         n = np.searchsorted(suffixes, self.high, "right") - begin
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-        start = order[flat]
-        end = start + np.repeat(self.lengths, n)
-        piece = np.repeat(self.ids, n)
+        del suffixes
+        order = order.astype(np.int32)
+
+        def spread(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            times = n[which]
+            flat = np.arange(times.sum(), dtype=np.int32)
+            flat += np.repeat((begin[which] - np.cumsum(times) + times).astype(np.int32), times)
+            start = order[flat]
+            return start, start + np.repeat(self.lengths[which], times), np.repeat(self.ids[which], times)
+
+        start, _, piece = spread(self.single)
+        label = np.full(len(text), -1, np.int32)
+        label[start] = piece
+        start, end, piece = spread(~self.single)
         by_position = radix_order(np.column_stack([start >> 16, start & 0xFFFF]).astype(np.uint16))
-        return start[by_position], end[by_position], piece[by_position]
+        return start[by_position], end[by_position], piece[by_position], label
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks one behind the other, and how many each chunk has."""
         sizes = np.array([len(c) for c in chunks])
         text = np.frombuffer(b"\x00".join(chunks) + b"\x00", np.uint8)
         first = np.cumsum(sizes + 1) - sizes - 1
-        owner = np.repeat(np.arange(len(chunks)), sizes + 1)
-        # A symbol begins at each character; separators stand alone.
+        owner = np.repeat(np.arange(len(chunks), dtype=np.int32), sizes + 1)
+        # No piece holds the separator, so no edge leaves its chunk. A symbol begins at each character; separators stand alone.
         present = (text & 0xC0) != 0x80
-        start, end, piece = self.edges(text)
-        char_length = np.diff(np.append(np.flatnonzero(present), len(text)))
-        single = np.zeros(len(text), np.int64)
-        single[present] = char_length
-        inside = owner[start] == owner[end - 1]
-        start, end, piece = start[inside], end[inside], piece[inside]
-        label = np.full(len(text), -1, np.int64)
-        alone = single[start] == end - start
-        label[start[alone]] = piece[alone]
-        start, end, piece = start[~alone], end[~alone], piece[~alone]
-        score = self.vocabulary.scores[piece]
+        start, end, piece, label = self.edges(text)
+        score = self.vocabulary.scores[piece].astype(np.float32)
         chunk = owner[start]
         while len(start):
-            count = np.concatenate([[0], np.cumsum(present)])
+            count = np.concatenate([np.zeros(1, np.int32), np.cumsum(present, dtype=np.int32)])
             symbols = count[end] - count[start]
             alive = present[start] & present[end] & (symbols > 1)
             start, end, piece, score, chunk, symbols = (x[alive] for x in (start, end, piece, score, chunk, symbols))
@@ -174,7 +177,8 @@ class Matcher:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; equal chunks of the batch are matched once."""
-        index: dict[str, int] = {}
+        index: defaultdict[str, int] = defaultdict()
+        index.default_factory = index.__len__
         rows: list[np.ndarray | None] = []
         for text in texts:
             if text is None:
@@ -182,7 +186,7 @@ class Matcher:
                 continue
             # The separator has no piece, so a chunk that holds it is encoded by the parts around it.
             parts = CHUNK.findall(" " + text.replace(SPACE_MARK, " ")) if text else []
-            rows.append(np.array([index.setdefault(p, len(index)) for p in parts], np.int64))
+            rows.append(np.fromiter(map(index.__getitem__, parts), np.int64, len(parts)))
         if not index:
             return [None if r is None else r for r in rows]
         chunks = [c.encode("utf-8", "surrogatepass") for c in index]
