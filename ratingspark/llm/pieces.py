@@ -36,6 +36,8 @@ from ratingspark.llm.common import documents, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
+#: Bytes of text that are indexed together.
+SLICE = 2_000_000
 #: Chunks: a line end, spaces with what follows, or spaces alone.
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 
@@ -235,7 +237,7 @@ def decoder(vocabulary: Vocabulary):
 def _encode(vocabulary: Vocabulary):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(vocabulary)
-        for piece in text_slices(batches, limit=4_000_000):
+        for piece in text_slices(batches, limit=SLICE):
             rows = matcher.encode(piece.column("text").to_pylist())
             counts = [0 if r is None else len(r) for r in rows]
             flat = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)]).astype(np.int32)
@@ -276,13 +278,27 @@ def decode_ids(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(_decode(load_vocabulary(model)), f"{_fields(encoded)}, decoded string")
 
 
+def _encode_and_check(vocabulary: Vocabulary):
+    """Rows (doc_id, text) → ids and whether decoding them gives the text, in one pass."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, back = Matcher(vocabulary), decoder(vocabulary)
+        for piece in text_slices(batches, limit=SLICE):
+            texts = piece.column("text").to_pylist()
+            rows = [None if r is None else r.astype(np.int32) for r in matcher.encode(texts)]
+            good = [r is None or back(r.tolist()) == t.replace(SPACE_MARK, " ") for r, t in zip(rows, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array([0 if r is None else len(r) for r in rows], pa.int64()),
+                 pa.array([len(t or "") for t in texts], pa.int64()), pa.array(good, pa.bool_())],
+                names=["doc_id", "ids", "n_ids", "n_text_chars", "round_trip"])
+
+    return run
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``doc_id``, ``ids``, ``n_ids``, ``n_chars`` and whether decoding gives the text again."""
-    decoded = decode_ids(encode_texts(docs, model=model), model)
-    return decoded.select(
-        "doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_text_chars"),
-        F.col("decoded").eqNullSafe(F.translate("text", SPACE_MARK, " ")).alias("round_trip"))
+    """``doc_id``, ``ids``, ``n_ids``, ``n_text_chars`` and whether decoding gives the text again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _encode_and_check(load_vocabulary(model)),
+        "doc_id long, ids array<int>, n_ids long, n_text_chars long, round_trip boolean")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
