@@ -105,7 +105,7 @@ def stems(word: str) -> Iterator[str]:
 class Lexicon(dict):
     """Word as written → (class, with END where it closes a clause); fills itself."""
 
-    def __init__(self, weights: dict[str, float], limit: int = 300_000):
+    def __init__(self, weights: dict[str, float], limit: int = 100_000):
         self.weights, self.limit = weights, limit
         self.strength: dict[str, float] = {}
         self.classes = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATE, NEGATIONS), (REPORT, REPORTING)) for w in words}
@@ -151,7 +151,7 @@ def events_of(text: str | None, lexicon: Lexicon) -> np.ndarray:
 
 
 def _stem_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in text_slices(batches, limit=16_000_000):
+    for piece in text_slices(batches, limit=4_000_000):
         counts = (Counter(), Counter())
         for text, toxic in zip(piece.column("text").to_pylist(), piece.column("toxic").to_pylist()):
             words = {w.strip(PUNCTUATION) for w in (text or "").lower().split()}
@@ -165,7 +165,7 @@ def _stem_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(weights: dict[str, float]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
-        for piece in text_slices(batches, limit=16_000_000):
+        for piece in text_slices(batches, limit=8_000_000):
             rows = [events_of(t, lexicon).tolist() for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_stems: i
 def _score(model: ToxicityModel):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, w = Lexicon(model.weights), np.array(model.coefficients)
-        for piece in text_slices(batches, limit=16_000_000):
+        for piece in text_slices(batches, limit=8_000_000):
             x = np.array([events_of(t, lexicon) for t in piece.column("text").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30)))
             names = [c for c in piece.schema.names if c != "text"]
