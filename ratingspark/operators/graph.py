@@ -134,7 +134,7 @@ def top_neighbours(vectors: DataFrame, topk: int) -> DataFrame:
         members.select(F.col("item_id").alias("src"), "gid")
         .join(lists, "gid")
         .select("src", F.explode(F.slice(F.sort_array(row), 1, topk)).alias("e"))
-        .where((F.col("e.dst") != F.col("src")) & (F.round("e.sim", RANK_DIGITS) != 0))
+        .where((F.col("e.dst") != F.col("src")) & (F.col("e.sim") != 0))
         .select("src", F.col("e.dst").alias("dst"), F.col("e.sim").alias("sim"))
     )
 

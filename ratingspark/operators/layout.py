@@ -28,7 +28,7 @@ BROADCAST_ROWS = 200_000
 class Layout:
     ratings: DataFrame  # block, own, other, rating, fold, split
     route: DataFrame  # other, block: which blocks need which state rows
-    hot: DataFrame | None  # own, parts: entities cut into several parts
+    hot: DataFrame | None  # own, block: where the parts of cut entities lie
     labels: list[int] | None
     n_blocks: int
     block_rows: int  # about how many ratings a block holds
@@ -53,10 +53,10 @@ class Layout:
         """``state`` (keyed by ``id``) with the block or blocks that hold it."""
         if self.hot is None:
             return state.withColumn("block", self.block_of(F.col("id")))
-        hot = self.hot.select(F.col("own").alias("id"), "parts")
-        parts = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
-        placed = state.join(hot, "id", "left").withColumn("part", F.explode(parts))
-        return placed.withColumn("block", self.block_of(F.col("id"), F.col("part"))).drop("part", "parts")
+        # Only blocks that hold ratings of a cut entity, each once: two parts may share a block.
+        hot = self.hot.select(F.col("own").alias("id"), F.col("block").alias("hot_block"))
+        placed = state.join(hot, "id", "left")
+        return placed.withColumn("block", F.coalesce("hot_block", self.block_of(F.col("id")))).drop("hot_block")
 
     def release(self) -> None:
         self.drop_scratch()
@@ -113,12 +113,12 @@ def build_layout(
         .select("own", F.ceil(F.col("count") / F.lit(float(max_rows))).cast("int").alias("parts"))
         .persist()
     )
-    if hot.isEmpty():
-        hot.unpersist()
+    cut = not hot.isEmpty()
+    if not cut:
         layout = Layout(None, None, None, labels, n_blocks, -(-n_rows // n_blocks))
         placed = base.withColumn("split", F.lit(False)).withColumn("part", F.lit(0))
     else:
-        layout = Layout(None, None, hot, labels, n_blocks, -(-n_rows // n_blocks))
+        layout = Layout(None, None, None, labels, n_blocks, -(-n_rows // n_blocks))
         # There are at most n_rows / max_rows such entities.
         small = F.broadcast(hot) if n_rows // max_rows <= BROADCAST_ROWS else hot
         placed = (
@@ -137,6 +137,9 @@ def build_layout(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     layout.ratings.count()  # the cached partitioning is known only once it is filled
+    hot.unpersist()
+    if cut:
+        layout.hot = layout.ratings.where("split").select("own", "block").distinct().persist()
     layout.route = (
         layout.ratings.select("other", "block")
         .distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ratingspark.functions.portable import uniform
 from ratingspark.operators.normalize import require_finite
 from ratingspark.operators.folds import require_matching_folds
-from ratingspark.plans.config import DEFAULT_SEED, NO_GRAPH, PARAMETERS, Run, config_from_row
+from ratingspark.plans.config import DEFAULT_SEED, NO_GRAPH, PARAMETERS, RUNS_SCHEMA, Run, config_from_row
 from ratingspark.plans.fit import FitInput, FitResult, fit_runs, prepare
 
 # Bounds of the search space and stopping rule of studies.
@@ -168,9 +168,24 @@ def trials_for_csv(trials: DataFrame) -> DataFrame:
 
 
 def load_params(spark: SparkSession, path: str) -> DataFrame:
-    """Best parameters from JSON, either plain or under ``params``."""
-    payload = spark.read.option("multiLine", True).json(path)
-    return payload.select("params.*") if "params" in payload.columns else payload
+    """Best parameters from JSON, either plain or under ``params``, one column for each parameter.
+
+    Projection penalties may be a map ``lambda_w`` or flat keys ``lambda_w_<feature>``; absent
+    parameters are NULL.
+    """
+    kinds = {f.name: f.dataType for f in RUNS_SCHEMA.fields if f.name in PARAMETERS}
+    whole = spark.read.option("wholetext", True).text(path).select("value")
+    body = F.coalesce(F.get_json_object("value", "$.params"), F.col("value"))
+    fields = F.from_json(body, "map<string,string>")
+    flat = F.map_filter(fields, lambda k, x: k.startswith("lambda_w_") & x.isNotNull())
+    flat = F.transform_values(F.transform_keys(flat, lambda k, x: F.substring(k, 10, 1_000)), lambda k, x: x.cast("double"))
+    given = F.coalesce(F.from_json(fields["lambda_w"], "map<string,double>"), F.from_json(F.lit("{}"), "map<string,double>"))
+    columns = [
+        (F.map_concat(given, F.map_filter(flat, lambda k, x: ~F.map_contains_key(given, k))) if name == "lambda_w"
+         else fields[name].cast(kind)).alias(name)
+        for name, kind in kinds.items()
+    ]
+    return whole.where(F.trim("value") != "").select(*columns)
 
 
 def fold_rmse(fit: FitResult) -> DataFrame:

@@ -63,13 +63,16 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
 
 
 def flat_index(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Row-major cell number: position of the user times n_items plus that of the item."""
+    """Row-major cell number: position of the user times n_items plus that of the item.
+
+    Ratings of users or items outside the universe keep their row; the number is NULL.
+    """
     rows = global_rank(users.select("user_id"), ["user_id"], "user_pos")
     cols = global_rank(items.select("item_id"), ["item_id"], "item_pos")
     n_items = items.agg(F.count("*").alias("n_items"))
     return (
-        ratings.join(rows, "user_id")
-        .join(cols, "item_id")
+        ratings.join(rows, "user_id", "left")
+        .join(cols, "item_id", "left")
         .join(F.broadcast(n_items))
         .withColumn("flat_index", F.col("user_pos") * F.col("n_items") + F.col("item_pos"))
     )

@@ -203,12 +203,12 @@ def train_rmse(spark, sf):
 @query(
     "predict_pairs",
     f"""WITH {fit_sql(FEATURED, 2, features=True)} SELECT user_id, item_id, round(mu + b_u + b_i + u * (v + i.f), 6) + 0.0 AS prediction
-FROM folded JOIN users2 USING (user_id) JOIN items2 i USING (item_id), means2 WHERE fold = 0""",
+FROM folded JOIN users2 USING (user_id) JOIN items2 i USING (item_id), means2""",
 )
 def predict_pairs(spark, sf):
     fit = fit_runs(_data(spark, sf, "scalars"), FEATURED)
     means = spark.createDataFrame([(0, fit.mu[0])], "run_id int, mu double")
-    pairs = v.folded(spark, sf).where("fold = 0").select(F.lit(0).alias("run_id"), "user_id", "item_id")
+    pairs = v.folded(spark, sf).select(F.lit(0).alias("run_id"), "user_id", "item_id")
     return scoring.predict_pairs(fit.users, fit.items, means, pairs).select("user_id", "item_id", v.r6("prediction"))
 
 

@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dense import dense_fit
+from stationary import gradients
 from ratingspark.functions.portable import initial_projection
 from ratingspark.operators.graph import full_graph_sums, neighbour_sums, unit_vectors
 from ratingspark.plans.config import ModelConfig, Run, with_fold
@@ -61,44 +63,55 @@ def close(got, want):
     np.testing.assert_allclose(got, want, rtol=1e-8, atol=1e-8)
 
 
-@pytest.mark.parametrize("max_rows", [250_000, 6])
-@pytest.mark.parametrize("pop", [None, "inverse_sqrt"])
-def test_fit_equals_dense_fit(spark, world, max_rows, pop, monkeypatch):
-    """max_rows=6 cuts most users and items into parts; the result is the same."""
+def states(spark, world, data, cfg, mask_fold, n, features):
+    """State before the first and after each of the first ``n`` iterations, and the fits."""
+    u, v = start(spark, world, cfg)
+    values = world["values"][world["mask"] & ((world["fold"] != mask_fold) if mask_fold is not None else True)]
+    w = {f: initial_projection(42, f, x.shape[1], cfg.n_factors) for f, x in features.items()}
+    out, fits = [dict(u=u, v=v, bu=np.zeros(M), bi=np.zeros(N), mu=values.mean(), w=w)], []
+    for iterations in range(1, n + 1):
+        fit = fit_runs(data, [Run(0, replace(cfg, n_iters=iterations), mask_fold, None)], score=False)
+        assert fit.users.count() == M and fit.items.count() == N
+        u, v, _, bu, bi = arrays(fit)
+        cuts = np.cumsum([x.shape[1] for x in features.values()])[:-1]
+        w = dict(zip(features, np.split(np.asarray(fit.weights[0]), cuts))) if features else {}
+        out.append(dict(u=u, v=v, bu=bu, bi=bi, mu=fit.mu[0], w=w))
+        fits.append(fit)
+    return out, fits
+
+
+def rating_rows(world, mask_fold=None):
+    mask = world["mask"] & ((world["fold"] != mask_fold) if mask_fold is not None else True)
+    user, item = np.nonzero(mask)
+    return user, item, world["values"][user, item]
+
+
+@pytest.mark.parametrize("max_rows", [40, 6])
+@pytest.mark.parametrize("pop,fold", [(None, None), ("inverse_sqrt", 1)])
+def test_each_update_zeroes_its_gradient(spark, world, max_rows, pop, fold, monkeypatch):
+    """Small limits cut most users and items into parts; conditions and row counts must hold all the same."""
     if pop is None:
         monkeypatch.setattr("ratingspark.operators.half_steps.GRAM_CELLS", 30)  # three owners at a time
-    cfg = ModelConfig(3, 4, **BASE, pop_reg_mode=pop, update_w_every=2, lambda_w={"a": 0.3})
+    cfg = ModelConfig(3, 4, **BASE, pop_reg_mode=pop, update_w_every=1, lambda_w={"a": 0.3})
     data = prepare(world["ratings"], world["users"], world["items"], world["features"], max_rows=max_rows)
-    assert (data.by_item.hot is not None) == (max_rows == 6)
-    fit = fit_runs(data, [Run(0, cfg, None, None), Run(1, cfg, 1, None)], score=False)
-    U0, V0 = start(spark, world, cfg)
-    W0 = {f: initial_projection(42, f, x.shape[1], 3) for f, x in world["X"].items()}
-    for run_id, mask in ((0, world["mask"]), (1, world["mask"] & (world["fold"] != 1))):
-        U, V, W, b_u, b_i, mu, Z, curve = dense_fit(world["values"], mask, U0, V0, W0, world["X"], cfg, 4)
-        gU, gV, gZ, gbu, gbi = arrays(fit, run_id)
-        close(gU, U), close(gV, V), close(gZ, Z), close(gbu, b_u), close(gbi, b_i)
-        close(fit.mu[run_id], mu)
-        close([h[3] for h in fit.history if h[0] == run_id], curve)
-        close(fit.weights[run_id], np.concatenate([W["a"], W["b"]]))
+    chain, _ = states(spark, world, data, cfg, fold, 3, world["X"])
+    for before, after in zip(chain, chain[1:]):
+        assert max(gradients(before, after, rating_rows(world, fold), cfg, world["X"]).values()) < 1e-6
     data.release()
 
 
-@pytest.mark.parametrize("topk", [4, None])
-@pytest.mark.parametrize("max_rows", [250_000, 5])
-def test_graph_fit_equals_dense_fit(spark, world, topk, max_rows, monkeypatch):
+@pytest.mark.parametrize("topk,max_rows", [(4, 250_000), (None, 5)])
+def test_graph_updates_zero_their_gradients(spark, world, topk, max_rows, monkeypatch):
     import ratingspark.operators.graph as graph_module
 
     build = graph_module.build_layout
     monkeypatch.setattr(graph_module, "build_layout", lambda *a: build(*a, max_rows=max_rows))
-    cfg = ModelConfig(2, 3, **BASE, alpha=0.6, graph_feature="a", S_topk=topk)
-    S = dense_graph(world["X"]["a"], topk, cfg.S_eps)
+    cfg = ModelConfig(2, 3, **BASE, alpha=0.6, graph_feature="a", S_topk=topk, update_w_every=1)
+    graph = dense_graph(world["X"]["a"], topk, cfg.S_eps)
     data = prepare(world["ratings"], world["users"], world["items"], world["features"])
-    fit = fit_runs(data, [Run(0, cfg, None, None)])
-    U0, V0 = start(spark, world, cfg)
-    W0 = {f: initial_projection(42, f, x.shape[1], 2) for f, x in world["X"].items()}
-    U, V, W, b_u, b_i, mu, Z, curve = dense_fit(world["values"], world["mask"], U0, V0, W0, world["X"], cfg, 3, S)
-    gU, gV, gZ, gbu, gbi = arrays(fit)
-    close(gU, U), close(gV, V), close(gZ, Z), close(gbi, b_i), close([h[3] for h in fit.history], curve)
+    chain, _ = states(spark, world, data, cfg, None, 2, world["X"])
+    for before, after in zip(chain, chain[1:]):
+        assert max(gradients(before, after, rating_rows(world), cfg, world["X"], graph).values()) < 1e-6
     data.release()
 
 
