@@ -128,28 +128,74 @@ class CentroidGraph:
         degree = min(degree, n - 1)
         near = np.concatenate([np.argsort(squared(part, centers), axis=1)[:, 1:degree + 1] for part in np.array_split(centers, -(-n // 1000))]) \
             if n > 1 else np.zeros((1, 0), int)
-        ring = np.column_stack([np.roll(np.arange(n), 1), np.roll(np.arange(n), -1)])
-        self.links = np.column_stack([near, ring])
+        own = np.arange(n)[:, None]
+        before, after = np.roll(own, 1), np.roll(own, -1)
+        # A link that is there already points to the node itself.
+        before = np.where((near == before).any(1, keepdims=True), own, before)
+        after = np.where((near == after).any(1, keepdims=True) | (after == before), own, after)
+        self.links = np.column_stack([near, before, after])
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
 
+    def distances(self, vectors: np.ndarray, row: np.ndarray, node: np.ndarray, block: int = 50_000) -> np.ndarray:
+        """Distances of the pairs (row, node), some at a time."""
+        out = np.empty(len(row))
+        for begin in range(0, len(row), block):
+            part = slice(begin, begin + block)
+            offset = vectors[row[part]] - self.centers[node[part]]
+            out[part] = np.sqrt(np.einsum("ij,ij->i", offset, offset))
+        return out
+
+    def closest(self, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest centroids found and their distances (infinite where there are fewer), nearest first.
+
+        Each row keeps its best ``4 * k`` centroids (16 at least) and walks on until all of
+        them are expanded; a step costs the same whatever the number of centroids.
+        """
+        beam, rows, first = max(16, 4 * k), np.arange(len(vectors)), len(self.entries)
+        seen = np.zeros((len(vectors), len(self.centers)), bool)
+        seen[:, self.entries] = True
+        node = np.zeros((len(vectors), beam), int)
+        distance = np.full(node.shape, np.inf)
+        node[:, :first] = self.entries
+        distance[:, :first] = np.sqrt(squared(vectors, self.centers[self.entries]))
+        done = np.zeros(node.shape, bool)
+        while True:
+            open_ = np.where(done, np.inf, distance)
+            best = open_.argmin(1)
+            active = np.flatnonzero(open_[rows, best] < np.inf)
+            if not len(active):
+                order = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                return np.take_along_axis(node, order, 1), np.take_along_axis(distance, order, 1)
+            at = best[active]
+            done[active, at] = True
+            links = self.links[node[active, at]]
+            row, place = np.nonzero(~seen[active[:, None], links])
+            found = links[row, place]
+            seen[active[row], found] = True
+            reached = np.full(links.shape, np.inf)
+            reached[row, place] = self.distances(vectors, active[row], found)
+            every = np.hstack([distance[active], reached])
+            keep = np.argpartition(every, beam - 1, axis=1)[:, :beam]
+            distance[active] = np.take_along_axis(every, keep, 1)
+            node[active] = np.take_along_axis(np.hstack([node[active], links]), keep, 1)
+            done[active] = np.take_along_axis(np.hstack([done[active], np.zeros(links.shape, bool)]), keep, 1)
+
     def search(self, vectors: np.ndarray, ratio: float, least: int) -> np.ndarray:
-        """Distances to the centroids visited (infinite for others), walking while any lies within reach."""
-        n, rows = len(self.centers), np.arange(len(vectors))
-        least = min(least, n)
-        distance = np.full((len(vectors), n), np.inf)
+        """Distances to the centroids visited (infinite for others), walking in waves while any lies within reach."""
+        least = min(least, len(self.centers))
+        distance = np.full((len(vectors), len(self.centers)), np.inf)
         distance[:, self.entries] = np.sqrt(squared(vectors, self.centers[self.entries]))
         done = np.zeros(distance.shape, bool)
         while True:
-            open_ = np.where(done, np.inf, distance)
-            next_ = open_.argmin(1)
-            active = rows[open_[rows, next_] <= self.reach(distance, ratio, least)]
-            if not len(active):
+            row, node = np.nonzero(~done & (distance < np.inf) & (distance <= self.reach(distance, ratio, least)[:, None]))
+            if not len(row):
                 return distance
-            at = next_[active]
-            done[active, at] = True
-            links = self.links[at]
-            offset = vectors[active][:, None] - self.centers[links]
-            distance[active[:, None], links] = np.sqrt((offset * offset).sum(-1))
+            done[row, node] = True
+            wanted = np.zeros(distance.shape, bool)
+            for column in self.links.T:
+                wanted[row, column[node]] = True
+            row, node = np.nonzero(wanted & (distance == np.inf))
+            distance[row, node] = self.distances(vectors, row, node)
 
     @staticmethod
     def reach(distance: np.ndarray, ratio: float, least: int) -> np.ndarray:
@@ -164,10 +210,8 @@ def _assign(graph: CentroidGraph, closure: float, copies: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                distance = graph.search(_matrix(part.column("v")), closure, min(copies, 4))
-                lists = np.argsort(distance, axis=1, kind="stable")[:, :copies]
-                near = np.take_along_axis(distance, lists, 1)
-                row, place = np.nonzero(near <= (1 + closure) * near[:, :1])
+                lists, near = graph.closest(_matrix(part.column("v")), copies)
+                row, place = np.nonzero((near <= (1 + closure) * near[:, :1]) & (near < np.inf))
                 chosen = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists[row, place].astype(np.int32)), chosen.column("ids"), chosen.column("v")], names=["list", "ids", "v"])
@@ -178,9 +222,10 @@ def _assign(graph: CentroidGraph, closure: float, copies: int):
 def _route(graph: CentroidGraph, ratio: float, least: int):
     """Queries (vec_id, v) → one row for each list to search."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, min(200, 2_000_000 // len(graph.centers)))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
+            for begin in range(0, batch.num_rows, size):
+                part = batch.slice(begin, size)
                 distance = graph.search(_matrix(part.column("v")), ratio, least)
                 row, lists = np.nonzero(distance <= graph.reach(distance, ratio, min(least, distance.shape[1]))[:, None])
                 chosen = part.take(pa.array(row))
@@ -190,28 +235,69 @@ def _route(graph: CentroidGraph, ratio: float, least: int):
     return run
 
 
+class Best:
+    """The best ``k`` ids of each query over the lists that a task has scanned, as arrays of bounded length."""
+
+    def __init__(self, k: int, limit: int = 1_000_000):
+        self.k, self.limit, self.rows, self.parts = k, limit, 0, []
+
+    def add(self, query: np.ndarray, found: np.ndarray, score: np.ndarray) -> pa.RecordBatch | None:
+        """Take in rows; beyond ``limit`` they are cut to the best and, if still many, given back."""
+        self.parts.append((query, found, score))
+        self.rows += len(query)
+        if self.rows <= self.limit:
+            return None
+        self._cut()
+        return self.take() if self.rows > self.limit // 2 else None
+
+    def _cut(self) -> None:
+        query, found, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((found, score, query))
+        query, found, score = query[order], found[order], score[order]
+        # Equal ids of a query have equal distances, so they stand side by side.
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (found[1:] != found[:-1]) | (score[1:] != score[:-1])
+        query, found, score = query[new], found[new], score[new]
+        begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        place = np.arange(len(query)) - np.repeat(begin, np.diff(np.r_[begin, len(query)]))
+        best = place < self.k
+        self.parts, self.rows = [(query[best], found[best], score[best])], int(best.sum())
+
+    def take(self) -> pa.RecordBatch | None:
+        """The rows held, which are then forgotten."""
+        if not self.rows:
+            return None
+        self._cut()
+        columns, self.parts, self.rows = self.parts[0], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+
 def _scan_lists(k: int, block: int = 512):
-    """Rows (list, part, query, ids, v), of each part the vectors before the queries: best ``k`` of the part for each query."""
-    def best(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, own: list[int]) -> Iterator[tuple[int, int, float]]:
+    """Rows (list, part, query, ids, v), of each part the vectors before the queries: best ``k`` of the task for each query."""
+    def best(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, own: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        count = np.array([len(i) for i in ids])
+        flat, start = np.concatenate(ids).astype(np.int64), np.cumsum(count) - count
+        n = min(k + 9, len(vectors))
         for begin in range(0, len(queries), block):
             asked = queries[begin:begin + block]
-            rough = squared(asked, vectors)
-            n = min(k + 9, len(vectors))
-            top = np.argpartition(rough, n - 1, axis=1)[:, :n]
+            top = np.argpartition(squared(asked, vectors), n - 1, axis=1)[:, :n]
             offset = asked[:, None] - vectors[top]
-            exact = np.sqrt((offset * offset).sum(-1))
-            for row, query in enumerate(own[begin:begin + block]):
-                found = sorted((d, i) for d, t in zip(exact[row].tolist(), top[row].tolist()) for i in ids[t] if i != query)
-                for d, i in found[:k]:
-                    yield query, i, d
+            exact = np.sqrt((offset * offset).sum(-1)).ravel()
+            top = top.ravel()
+            several = count[top]
+            entry = np.repeat(np.arange(len(top)), several)
+            found = flat[start[top][entry] + np.arange(len(entry)) - (np.cumsum(several) - several)[entry]]
+            query = np.array(own[begin:begin + block], np.int64)[entry // n]
+            other = found != query
+            yield query[other], found[other], exact[entry[other]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, vectors, ids = None, [], []
         matrix = None
+        held = Best(k)
         for batch in batches:
             spots = list(zip(batch.column("list").to_pylist(), batch.column("part").to_pylist()))
             queries, own_ids, v = batch.column("query").to_pylist(), batch.column("ids").to_pylist(), _matrix(batch.column("v"))
-            out: list[tuple[int, int, float]] = []
             row = 0
             while row < len(spots):
                 if spots[row] != where:
@@ -225,11 +311,12 @@ def _scan_lists(k: int, block: int = 512):
                     ids += own_ids[row:stop]
                 elif ids:
                     matrix = np.concatenate(vectors) if matrix is None else matrix
-                    out += best(matrix, ids, v[row:stop], queries[row:stop])
+                    for rows in best(matrix, ids, v[row:stop], queries[row:stop]):
+                        if out := held.add(*rows):
+                            yield out
                 row = stop
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+        if out := held.take():
+            yield out
 
     return run
 
@@ -266,7 +353,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     found = stored.unionByName(routed).repartition(width, "list", "part") \
         .sortWithinPartitions("list", "part", F.col("query").asc_nulls_first()) \
         .mapInArrow(_scan_lists(k), "query_id long, vec_id long, score double")
-    # A query has at most k rows from each part that it searched.
+    # A query has at most k rows from each task that searched for it, more only where a task's rows exceed a bound.
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
