@@ -30,15 +30,14 @@ def _first(column: str):
     return rounded(F.element_at(column, 1)).alias(column)
 
 
-def _data(spark: SparkSession, sf: str, features: str = "", urgent: bool = False) -> FitInput:
+def _data(spark: SparkSession, sf: str, features: str = "", cold: bool = False) -> FitInput:
     """Clustered ratings of one session, shared by the queries that use them."""
-    key = (spark.sparkContext.applicationId, sf, features, urgent)
+    key = (spark.sparkContext.applicationId, sf, features, cold)
     if key not in _DATA:
-        rows = v.ratings(spark, sf, urgent)
-        if not urgent:
-            rows = folds.assign_folds(rows, v.N_FOLDS, 42)
+        rows = folds.assign_folds(v.ratings(spark, sf), v.N_FOLDS, 42)
+        wide = (lambda ids: v.with_cold(spark, sf, ids)) if cold else (lambda ids: ids)
         table = {"": lambda: None, "scalars": lambda: v.scalar_features(spark, sf), "type": lambda: v.type_feature(spark, sf)}
-        _DATA[key] = prepare(rows, v.users(spark, sf), v.items(spark, sf), table[features]())
+        _DATA[key] = prepare(rows, wide(v.users(spark, sf)), wide(v.items(spark, sf)), table[features]())
     return _DATA[key]
 
 
@@ -96,10 +95,10 @@ def item_step(spark, sf):
 
 @query(
     "cold_passthrough",
-    f"WITH {fit_sql(PLAIN, 2, v.URGENT + ', cold AS (SELECT *, -1 AS fold FROM ratings)', 'cold')} {ITEM_OUT} FROM items2",
+    f"WITH {fit_sql(PLAIN, 2, cold=True)} {ITEM_OUT} FROM items2",
 )
 def cold_passthrough(spark, sf):
-    fit = fit_runs(_data(spark, sf, urgent=True), PLAIN)
+    fit = fit_runs(_data(spark, sf, cold=True), PLAIN)
     return fit.items.select("item_id", _first("v"), v.r6("b_i"))
 
 

@@ -44,13 +44,17 @@ def fit_sql(
     source: str = "folded",
     features: bool = False,
     edges: str | None = None,
+    cold: bool = False,
 ) -> str:
     """CTEs users{t}, items{t}, means{t}: state after t iterations (0 = start).
 
-    All runs must refit their projections on every iteration.
+    All runs must refit their projections on every iteration. ``cold`` adds users
+    and items without ratings; they have no features.
     """
     shift0 = "0.0"
-    parts = [ratings, runs_sql(runs)]
+    parts = [ratings, runs_sql(runs)] + ([v.COLD] if cold else [])
+    user, users = ("user_id", "wide_users") if cold else ("c_custkey", "customer")
+    item, items = ("item_id", "wide_items") if cold else ("p_partkey", "part")
     if features:
         parts.append(v.SCALARS)
         parts.append(
@@ -63,9 +67,9 @@ def fit_sql(
     parts.append(
         f"""tr AS (SELECT run_id, user_id, item_id, rating FROM {source} f JOIN runs r ON r.fold IS NULL OR f.fold <> r.fold),
 means0 AS (SELECT run_id, avg(rating) AS mu FROM tr GROUP BY 1),
-users0 AS (SELECT run_id, c_custkey AS user_id, {normal_sql(42, 'U', 'c_custkey', '0')} AS u, 0.0 AS b_u FROM runs, customer),
-items0 AS (SELECT run_id, p_partkey AS item_id, {normal_sql(42, 'V', 'p_partkey', '0')} AS v, {shift0} AS f, 0.0 AS b_i
-  FROM runs CROSS JOIN part {join0})"""
+users0 AS (SELECT run_id, {user} AS user_id, {normal_sql(42, 'U', user, '0')} AS u, 0.0 AS b_u FROM runs, {users}),
+items0 AS (SELECT run_id, {item} AS item_id, {normal_sql(42, 'V', item, '0')} AS v, {shift0} AS f, 0.0 AS b_i
+  FROM runs CROSS JOIN {items} {join0})"""
     )
     if edges:
         parts.append(edges)

@@ -84,29 +84,27 @@ def global_mean(spark, sf):
 
 @query(
     "item_counts",
-    f"""WITH {v.URGENT} SELECT p_partkey AS item_id, count(rating) AS n
-FROM part LEFT JOIN ratings ON p_partkey = item_id GROUP BY 1""",
+    f"WITH {v.RATINGS}, {v.COLD} SELECT item_id, count(rating) AS n FROM wide_items LEFT JOIN ratings USING (item_id) GROUP BY 1",
 )
 def item_counts(spark, sf):
-    return source.counts_per(v.ratings(spark, sf, urgent=True), v.items(spark, sf), "item_id")
+    return source.counts_per(v.ratings(spark, sf), v.with_cold(spark, sf, v.items(spark, sf)), "item_id")
 
 
 @query(
     "user_counts",
-    f"""WITH {v.URGENT} SELECT c_custkey AS user_id, count(rating) AS n
-FROM customer LEFT JOIN ratings ON c_custkey = user_id GROUP BY 1""",
+    f"WITH {v.RATINGS}, {v.COLD} SELECT user_id, count(rating) AS n FROM wide_users LEFT JOIN ratings USING (user_id) GROUP BY 1",
 )
 def user_counts(spark, sf):
-    return source.counts_per(v.ratings(spark, sf, urgent=True), v.users(spark, sf), "user_id")
+    return source.counts_per(v.ratings(spark, sf), v.with_cold(spark, sf, v.users(spark, sf)), "user_id")
 
 
 @query(
     "item_reg",
-    f"""WITH {v.URGENT}, c AS (SELECT p_partkey AS item_id, count(rating) AS n FROM part LEFT JOIN ratings ON p_partkey = item_id GROUP BY 1)
+    f"""WITH {v.RATINGS}, {v.COLD}, c AS (SELECT item_id, count(rating) AS n FROM wide_items LEFT JOIN ratings USING (item_id) GROUP BY 1)
 SELECT item_id, round(6.0, 6) AS reg_uniform, round(6.0 / sqrt(n + 1.0), 6) AS reg_inverse_sqrt FROM c""",
 )
 def item_reg(spark, sf):
-    counts = source.counts_per(v.ratings(spark, sf, urgent=True), v.items(spark, sf), "item_id")
+    counts = source.counts_per(v.ratings(spark, sf), v.with_cold(spark, sf, v.items(spark, sf)), "item_id")
     return counts.select(
         "item_id",
         F.round(F.lit(6.0), 6).alias("reg_uniform"),
@@ -368,42 +366,46 @@ def item_bias(spark, sf):
 
 
 COUNTS = "counts AS (SELECT p_partkey AS item_id, count(rating) AS n FROM part LEFT JOIN ratings ON p_partkey = item_id GROUP BY 1)"
-QUANTILE = f"""{COUNTS}, raw_edges AS (SELECT quantile_cont(n, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM counts),
+COLD_COUNTS = f"{v.COLD}, counts AS (SELECT item_id, count(rating) AS n FROM wide_items LEFT JOIN ratings USING (item_id) GROUP BY 1)"
+BINS = """raw_edges AS (SELECT quantile_cont(n, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS e FROM counts),
 edges AS (SELECT list_reduce(list_transform(e, lambda y: [CAST(y AS DOUBLE)]), lambda a, b:
   list_concat(a, [CASE WHEN b[1] <= a[-1] THEN a[-1] + 1e-9 ELSE b[1] END])) AS e FROM raw_edges),
 bins AS (SELECT item_id, n, CAST(greatest(0, least(4, len(list_filter(e, lambda y: y <= n)) - 1)) AS INTEGER) AS bin FROM counts, edges)"""
+QUANTILE = f"{COUNTS}, {BINS}"
+COLD_QUANTILE = f"{COLD_COUNTS}, {BINS}"
 
 
-def _counts(spark, sf, urgent=True):
-    return source.counts_per(v.ratings(spark, sf, urgent=urgent), v.items(spark, sf), "item_id")
+def _counts(spark, sf, cold=True):
+    universe = v.items(spark, sf)
+    return source.counts_per(v.ratings(spark, sf), v.with_cold(spark, sf, universe) if cold else universe, "item_id")
 
 
 def _edge_rows(edges):
     return edges.select(F.posexplode("edges").alias("j", "edge")).select("j", v.r6("edge", 9))
 
 
-@query("pop_edges_quantile", f"WITH {v.URGENT}, {QUANTILE} SELECT CAST(i AS INTEGER) AS j, round(e[i + 1], 9) AS edge FROM edges, range(6) AS r(i)")
+@query("pop_edges_quantile", f"WITH {v.RATINGS}, {COLD_QUANTILE} SELECT CAST(i AS INTEGER) AS j, round(e[i + 1], 9) AS edge FROM edges, range(6) AS r(i)")
 def pop_edges_quantile(spark, sf):
     return _edge_rows(metrics.bin_edges(_counts(spark, sf), 5))
 
 
 @query(
     "pop_edges_uniform",
-    f"""WITH {v.URGENT}, {COUNTS} SELECT CAST(i AS INTEGER) AS j, round(lo + (hi - lo) * i / 4.0, 9) AS edge
+    f"""WITH {v.RATINGS}, {COLD_COUNTS} SELECT CAST(i AS INTEGER) AS j, round(lo + (hi - lo) * i / 4.0, 9) AS edge
 FROM (SELECT min(n) AS lo, max(n) AS hi FROM counts), range(5) AS r(i)""",
 )
 def pop_edges_uniform(spark, sf):
     return _edge_rows(metrics.bin_edges(_counts(spark, sf), 4, "uniform"))
 
 
-@query("pop_bins", f"WITH {v.URGENT}, {QUANTILE} SELECT item_id, n, bin FROM bins")
+@query("pop_bins", f"WITH {v.RATINGS}, {COLD_QUANTILE} SELECT item_id, n, bin FROM bins")
 def pop_bins(spark, sf):
     return metrics.popularity_bins(_counts(spark, sf), 5)
 
 
 @query("valid_by_popbin", f"WITH {v.FOLDED}, {QUANTILE} SELECT user_id, item_id, bin FROM folded JOIN bins USING (item_id) WHERE fold = 0")
 def valid_by_popbin(spark, sf):
-    bins = metrics.popularity_bins(_counts(spark, sf, urgent=False), 5)
+    bins = metrics.popularity_bins(_counts(spark, sf, cold=False), 5)
     return folds.valid_split(v.folded(spark, sf), 0).join(bins, "item_id").select(*KEYS, "bin")
 
 
@@ -414,7 +416,7 @@ by_bin AS (SELECT variant, fold, bin, rmse FROM grid LEFT JOIN found USING (vari
 
 def _by_bin(spark, sf):
     errors = baselines.item_errors(v.guesses(spark, sf))
-    bins = metrics.popularity_bins(_counts(spark, sf, urgent=False), 5)
+    bins = metrics.popularity_bins(_counts(spark, sf, cold=False), 5)
     groups = errors.select("variant", "fold").distinct()
     return metrics.rmse_by_bin(errors, bins, groups, 5)
 

@@ -36,23 +36,14 @@ def r6(name: str, digits: int = 6):
 RATINGS = """ratings AS (
   SELECT o_custkey AS user_id, l_partkey AS item_id, AVG(l_quantity) / 10.0 AS rating
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
-URGENT = """ratings AS (
-  SELECT o_custkey AS user_id, l_partkey AS item_id, AVG(l_quantity) / 10.0 AS rating
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_returnflag = 'R' AND o_orderpriority = '1-URGENT' GROUP BY 1, 2)"""
-
+COLD = """wide_users AS (SELECT c_custkey AS user_id FROM customer UNION ALL SELECT -1 - s_suppkey FROM supplier),
+wide_items AS (SELECT p_partkey AS item_id FROM part UNION ALL SELECT -1 - s_suppkey FROM supplier)"""
 
-def ratings(spark: SparkSession, sf: str, urgent: bool = False) -> DataFrame:
-    """Mean quantity per customer and part as a rating from 0.1 to 5.
 
-    ``urgent`` takes the urgent orders with returns, which leaves some parts
-    and customers without any rating.
-    """
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    if urgent:
-        lines = lines.where(F.col("l_returnflag") == "R")
-        orders = orders.where(F.col("o_orderpriority") == "1-URGENT")
+def ratings(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean quantity per customer and part as a rating from 0.1 to 5."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     return joined.groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).agg(
         (F.avg("l_quantity") / 10.0).alias("rating")
@@ -67,6 +58,11 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"))
 
 
+def with_cold(spark: SparkSession, sf: str, universe: DataFrame) -> DataFrame:
+    """``universe`` and one id without any rating for each supplier, below zero."""
+    return universe.unionAll(table(spark, sf, "supplier").select(-1 - F.col("s_suppkey")))
+
+
 FOLDED = f"""{RATINGS}, folded AS (
   SELECT *, CAST(ntile({N_FOLDS}) OVER (
     ORDER BY md5(concat_ws(':', '42', user_id, item_id)), user_id, item_id) - 1 AS INTEGER) AS fold
