@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -33,14 +34,29 @@ def _log_range(u: Column, low: float, high: float) -> Column:
     return F.lit(low) * F.pow(F.lit(high / low), u)
 
 
-def param_grid(trials: DataFrame, feature_names: list[str], seed: int = DEFAULT_SEED) -> DataFrame:
+@dataclass(frozen=True)
+class SearchSpace:
+    """Bounds of a random search, both ends included; ``n_iters`` is fixed."""
+
+    n_factors: tuple[int, int] = RANK_RANGE
+    n_iters: int = N_ITERS
+    penalty: tuple[float, float] = PENALTY_RANGE
+    update_w_every: tuple[int, int] = UPDATE_EVERY_RANGE
+    alpha: tuple[float, float] = ALPHA_RANGE
+    topk: tuple[int, int] = TOPK_RANGE
+    graph_eps: tuple[float, float] = GRAPH_EPS_RANGE
+
+
+def param_grid(
+    trials: DataFrame, feature_names: list[str], seed: int = DEFAULT_SEED, space: SearchSpace = SearchSpace()
+) -> DataFrame:
     """Random-search parameters for each ``trial``, from a hash of its number."""
 
     def draw(name: str) -> Column:
         return uniform(seed, "grid." + name, F.col("trial"))
 
     def penalty(name: str) -> Column:
-        return _log_range(draw(name), *PENALTY_RANGE)
+        return _log_range(draw(name), *space.penalty)
 
     choices = feature_names or [NO_GRAPH]
     graph = F.element_at(F.array(*[F.lit(c) for c in choices]), _whole(draw("graph_feature"), 1, len(choices)))
@@ -50,17 +66,17 @@ def param_grid(trials: DataFrame, feature_names: list[str], seed: int = DEFAULT_
     )
     return trials.select(
         "trial",
-        _whole(draw("n_factors"), *RANK_RANGE).alias("n_factors"),
-        F.lit(N_ITERS).alias("n_iters"),
+        _whole(draw("n_factors"), *space.n_factors).alias("n_factors"),
+        F.lit(space.n_iters).alias("n_iters"),
         penalty("lambda_u").alias("lambda_u"),
         penalty("lambda_v").alias("lambda_v"),
         penalty("lambda_bu").alias("lambda_bu"),
         penalty("lambda_bi").alias("lambda_bi"),
         F.when(draw("pop_reg_mode") >= 0.5, "inverse_sqrt").alias("pop_reg_mode"),
-        _whole(draw("update_w_every"), *UPDATE_EVERY_RANGE).alias("update_w_every"),
-        (F.lit(ALPHA_RANGE[0]) + draw("alpha") * (ALPHA_RANGE[1] - ALPHA_RANGE[0])).alias("alpha"),
-        _whole(draw("S_topk"), *TOPK_RANGE).alias("S_topk"),
-        _log_range(draw("S_eps"), *GRAPH_EPS_RANGE).alias("S_eps"),
+        _whole(draw("update_w_every"), *space.update_w_every).alias("update_w_every"),
+        (F.lit(space.alpha[0]) + draw("alpha") * (space.alpha[1] - space.alpha[0])).alias("alpha"),
+        _whole(draw("S_topk"), *space.topk).alias("S_topk"),
+        _log_range(draw("S_eps"), *space.graph_eps).alias("S_eps"),
         graph.alias("graph_feature"),
         lambda_w.alias("lambda_w"),
     )
@@ -225,49 +241,71 @@ def run_study(
     tol: float | None = STUDY_TOL,
     min_iters: int = STUDY_MIN_ITERS,
     seed: int = DEFAULT_SEED,
+    folds_seed: int = DEFAULT_SEED,
     saved_folds: tuple[DataFrame, DataFrame] | None = None,
 ) -> StudyResult:
     """Fit and score the trials of ``params`` (trial + parameter columns).
 
     Trials are fitted together, fold after fold. After each fold the median
     rule drops the trials that fall behind the finished ones. With ``path`` the
-    scores of every group of ``save_every`` trials are written, and a restarted
-    study skips the trials found there.
+    scores of every group of ``save_every`` trials are written with the tables
+    made of them, and a restarted study skips the trials found there. Tables that
+    cannot be written between groups are a warning, at the end an error.
     """
     spark = folded.sparkSession
     data = prepare(folded, users, items, features)
-    if saved_folds is not None:
-        require_matching_folds(*saved_folds, folded, data.users, data.items)
-    if features is not None:
-        require_finite(features)
-    names = [name for name, _, _ in data.slices]
-    clipped = normalize_params(params, data.users, data.items, names).orderBy("trial")
-    settings = {r.trial: config_from_row(r, seed) for r in clipped.select("trial", *PARAMETERS).collect()}
-    known = _saved_scores(spark, path)
-    waiting = sorted(set(settings) - {r.trial for r in known})
-    rows = [tuple(r) for r in known]
-    n_startup = min(5, max(2, len(settings) // 6))
-    began = time.monotonic()
-    size = max(1, save_every)
-    left = max(0, n_startup - sum(1 for n in _count(rows).values() if n == n_folds))
-    groups, rest = [waiting[:left]], waiting[left:]
-    groups += [rest[i : i + size] for i in range(0, len(rest), size)]
-    for number, group in enumerate(g for g in groups if g):
-        if timeout_sec is not None and number and time.monotonic() - began > timeout_sec:
-            break
-        found = _score_group(data, settings, group, n_folds, rows, n_startup, tol, min_iters)
-        rows += found
-        if path:
-            spark.createDataFrame(found, SCORES_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/scores")
-    data.release()
-    scores = spark.createDataFrame(rows, SCORES_SCHEMA)
-    trials = summarize_trials(scores).join(params, "trial")
-    result = StudyResult(trials, study_summary(trials), best_trial(trials), path)
+    try:
+        if saved_folds is not None:
+            require_matching_folds(*saved_folds, folded, data.users, data.items)
+        if features is not None:
+            require_finite(features)
+        names = [name for name, _, _ in data.slices]
+        clipped = normalize_params(params, data.users, data.items, names).orderBy("trial")
+        settings = {r.trial: config_from_row(r, seed) for r in clipped.select("trial", *PARAMETERS).collect()}
+        context = {
+            "study": F.lit(study), "seed": F.lit(seed), "folds_seed": F.lit(folds_seed), "n_folds": F.lit(n_folds),
+            "es_tol": F.lit(tol).cast("double"), "es_min_iters": F.lit(min_iters),
+            "matrix_shape": F.array(F.lit(data.users.count()), F.lit(data.items.count())),
+            "feature_names": F.array(*[F.lit(x) for x in names]).cast("array<string>"),
+        }
+        rows = [tuple(r) for r in _saved_scores(spark, path)]
+        waiting = sorted(set(settings) - {r[0] for r in rows})
+        n_startup = min(5, max(2, len(settings) // 6))
+        began = time.monotonic()
+        size = max(1, save_every)
+        left = max(0, n_startup - sum(1 for n in _count(rows).values() if n == n_folds))
+        groups, rest = [waiting[:left]], waiting[left:]
+        groups += [rest[i : i + size] for i in range(0, len(rest), size)]
+        groups = [g for g in groups if g]
+        for number, group in enumerate(groups):
+            if timeout_sec is not None and number and time.monotonic() - began > timeout_sec:
+                break
+            found = _score_group(data, settings, group, n_folds, rows, n_startup, tol, min_iters)
+            rows += found
+            if path:
+                spark.createDataFrame(found, SCORES_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/scores")
+                if number + 1 < len(groups):
+                    _save_between(_result(spark, rows, params, path), path, study, context)
+    finally:
+        data.release()
+    result = _result(spark, rows, params, path)
     if path:
-        save_study(result, path, study, seed, tol, min_iters)
+        save_study(result, path, study, context)
     return result
 
 
+def _result(spark: SparkSession, rows: list[tuple], params: DataFrame, path: str | None) -> StudyResult:
+    trials = summarize_trials(spark.createDataFrame(rows, SCORES_SCHEMA)).join(params, "trial")
+    return StudyResult(trials, study_summary(trials), best_trial(trials), path)
+
+
+def _save_between(result: StudyResult, path: str, study: str, context: dict[str, Column]) -> None:
+    try:
+        save_study(result, path, study, context)
+    except Exception as error:  # the scores are safe, the next group writes the tables again
+        warnings.warn(f"tables of study {study} not written: {error}", stacklevel=2)
+
+
 SCORES_SCHEMA = "trial long, fold int, rmse double, iters int, n_iters int, n_folds int, seconds double"
 
 
@@ -317,21 +355,19 @@ def _count(rows: list[tuple]) -> dict[int, int]:
     return counts
 
 
-def save_study(result: StudyResult, path: str, study: str, seed: int, tol: float | None, min_iters: int) -> None:
-    """Trials as CSV; summary and best parameters as JSON."""
+def save_study(result: StudyResult, path: str, study: str, context: dict[str, Column]) -> None:
+    """Trials as CSV; summary and best parameters as JSON, each with the settings of the study."""
     def one(df: DataFrame):
-        return df.coalesce(1).write.mode("overwrite")
+        return df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False)
 
-    context = {"study": F.lit(study), "seed": F.lit(seed), "es_tol": F.lit(tol), "es_min_iters": F.lit(min_iters)}
     one(trials_for_csv(result.trials).orderBy("trial")).option("header", True).csv(f"{path}/{study}_trials")
-    one(result.summary.withColumns(context)).json(f"{path}/{study}_summary")
-    best = result.best
-    attributes = ["mean_iters", "early_stopped_folds", "iters_per_fold", "fold_rmse"]
-    one(
-        best.select(
-            F.col("value").alias("best_value"),
-            F.col("trial").alias("best_trial"),
-            F.struct(*PARAMETERS).alias("params"),
-            F.struct(*attributes).alias("user_attrs"),
-        )
-    ).json(f"{path}/{study}_best_params")
+    attributes = ["mean_iters", "early_stopped_folds", "target_n_iters", "iters_per_fold", "fold_rmse"]
+    best = result.best.select(
+        F.col("value").alias("best_value"),
+        F.col("trial").alias("best_trial"),
+        F.struct(*PARAMETERS).alias("params"),
+        F.struct(*attributes).alias("user_attrs"),
+    )
+    one(best.withColumns(context)).json(f"{path}/{study}_best_params")
+    summary = result.summary.join(best.select("best_trial", "user_attrs"), "best_trial", "left")  # one row
+    one(summary.withColumns(context)).json(f"{path}/{study}_summary")

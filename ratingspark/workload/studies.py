@@ -41,10 +41,10 @@ CASE WHEN floor({_u('graph_feature')} * 2) = 0 THEN 'price' ELSE 'size' END AS g
 DOUBLES = ["lambda_u", "lambda_v", "lambda_bu", "lambda_bi", "alpha"]
 
 
-def _grid(spark: SparkSession, sf: str) -> DataFrame:
+def _grid(spark: SparkSession, sf: str, space: study.SearchSpace = study.SearchSpace()) -> DataFrame:
     """One trial per supplier."""
     trials = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("trial"))
-    return study.param_grid(trials, NAMES)
+    return study.param_grid(trials, NAMES, space=space)
 
 
 def _flat(params: DataFrame, *keys: str) -> DataFrame:
@@ -215,26 +215,15 @@ def cv_score(spark, sf):
     )
 
 
-def _small(params: DataFrame, rank: int = 3, iters: int = 2) -> DataFrame:
-    """Sampled parameters with the rank and length of a trial fit."""
-    return params.withColumns(
-        {
-            "n_factors": F.pmod("n_factors", F.lit(rank)).cast("int") + 1,
-            "n_iters": F.lit(iters),
-            "S_topk": F.pmod("S_topk", F.lit(20)).cast("int") + 1,
-        }
-    )
-
-
-def _first_trials(spark, sf, n: int) -> DataFrame:
-    return _small(_grid(spark, sf).orderBy("trial").limit(n))
+# Search space of the study queries: low ranks, one neighbour list per feature.
+LOW_RANKS = study.SearchSpace(n_factors=(1, 3), n_iters=2, topk=(10, 10), graph_eps=(1e-8, 1e-8))
 
 
 @query("tune_study")
 def tune_study(spark, sf):
-    """Random search over a few trials with pruning between folds."""
+    """Random search, one trial per supplier, with pruning between folds."""
     result = study.run_study(
-        assign_folds(v.ratings(spark, sf), 3), v.scalar_features(spark, sf), _first_trials(spark, sf, 3), 3,
+        assign_folds(v.ratings(spark, sf), 3), v.scalar_features(spark, sf), _grid(spark, sf, LOW_RANKS), 3,
         users=v.users(spark, sf), items=v.items(spark, sf),
     )
     return result.trials.select("trial", "state", F.round("value", 6).alias("value"), "mean_iters", "n_factors")
@@ -242,12 +231,13 @@ def tune_study(spark, sf):
 
 @query("study_resume")
 def study_resume(spark, sf):
-    """A study stopped after its start-up trials and continued from its saved scores."""
+    """A study that runs out of time after its start-up trials and goes on from its saved scores."""
     path = v.scratch_path(spark, "study")
     where = dict(users=v.users(spark, sf), items=v.items(spark, sf), path=path)
     folded = assign_folds(v.ratings(spark, sf), 3)
-    study.run_study(folded, None, _first_trials(spark, sf, 2), 3, **where)
-    result = study.run_study(folded, None, _first_trials(spark, sf, 3), 3, **where)
+    trials = _grid(spark, sf, LOW_RANKS)
+    study.run_study(folded, None, trials, 3, timeout_sec=0.0, **where)
+    result = study.run_study(folded, None, trials, 3, **where)
     return result.trials.select("trial", "state", F.round("value", 6).alias("value"), "mean_iters")
 
 
