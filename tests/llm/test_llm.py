@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratingspark.llm import (components, hmm_lm, language_id, line_dedup, mixing, pieces, posting_lists, quality,
-                             secret_scan, simhash_trie, toxicity)
+from ratingspark.llm import (components, hmm_lm, language_id, line_dedup, mixing, near_dedup, pieces, posting_lists,
+                             quality, secret_scan, simhash_trie, toxicity)
 from ratingspark.llm.common import store
 from ratingspark.llm.queries import ORACLES, QUERIES
 from ratingspark.workload.check import connect, difference
@@ -214,6 +214,43 @@ def test_keep_one(spark, awkward, empty):
         awkward.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))).collect()})
 
 
+def jaccard_groups(rows):
+    """Smallest (id, text) of each group of texts that a chain of 5-word Jaccard >= 0.8 joins."""
+    sets = []
+    for r in rows:
+        words = r.text.encode("utf-8").lower().split()
+        sets.append(frozenset(tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root = [root[j] if x == root[i] else x for x in root]
+    groups = {}
+    for r, x in zip(rows, root):
+        groups.setdefault(x, []).append((r.doc_id is None, r.doc_id or 0))
+    return sorted(min(g)[1] for g in groups.values())
+
+
+def test_near_dedup_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(60):
+        words = [rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 9) for _ in range(rng.choice([6, 40, 150, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // rng.choice([40, 50, 70, 100]))):
+                changed[at] = "new"
+            texts.append(" ".join(changed))
+    docs = store(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5))
+    kept = sorted(r.doc_id for r in near_dedup.keep_one_row(docs).collect())
+    want = jaccard_groups(docs.orderBy("doc_id").collect())
+    assert kept == want and len(want) < len(texts) - 30
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    assert len(simhash_trie.keep_one(docs).collect()) > len(want)
+
+
 # 5 lines
 
 def test_lines_against_brute_force(spark, awkward, empty):
