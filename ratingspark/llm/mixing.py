@@ -8,6 +8,12 @@ add up in one number for each domain and are projected lazily, r = max(0, 1 - po
 where the targets can be met, these are the rates nearest to 1 that meet them. A round is one
 aggregation over the documents that returns a row of domain totals.
 
+``op2_mixing`` and the pipeline mix two things at once. Sources are the values of the column ``source``,
+which is given for each document, so that membership is whole; their target weights are the parameter
+``weights``, by default the same for each source. The soft domains are languages (``lang`` of the rows that
+``labels`` covers), with smoothed totals as targets. ``fit_sources`` meets both sets of totals,
+and rates may fall below one.
+
 The classifier is Bernoulli naive Bayes over words that a document holds or not. Its
 ``features`` words are those whose share of documents differs most between domains in
 at most ``max_rows`` labelled rows (those of smallest hash). Posteriors, totals and rates
@@ -22,8 +28,10 @@ there are no domains and all rates are 1. Repeated rows get equal rates.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,20 +175,157 @@ def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str, domain:
     return docs.select("doc_id", F.col(domain).alias("domain")).join(labels, "doc_id", "left_semi")
 
 
-def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+@dataclass(frozen=True)
+class SourceMixture:
+    """Rates over sources and soft domains: base[s] * max(0, 1 - source_steps[s] - posterior . steps).
+
+    Place 0 of the lists by source is for rows without a source; ``sources`` names the places from 1.
+    """
+
+    sources: list[str]
+    base: list[float]
+    source_steps: list[float]
+    steps: list[float]
+    source_targets: list[float]
+    source_totals: list[float]
+    targets: list[float]
+    totals: list[float]
+    rounds: int
+    off_target: float
+    met: bool
+
+
+def _place(source: Column, sources: list[str]) -> Column:
+    names = F.lit(sources) if sources else F.array().cast("array<string>")
+    return F.coalesce(F.array_position(names, source.cast("string")), F.lit(0)).cast("int")
+
+
+def source_rate(source: Column, posterior: Column, mix: SourceMixture) -> Column:
+    place = _place(source, mix.sources) + 1
+    moved = F.aggregate(F.zip_with(posterior, _numbers(mix.steps), lambda p, s: p * s), F.element_at(_numbers(mix.source_steps), place),
+                        lambda a, b: a + b)
+    return F.element_at(_numbers(mix.base), place) * F.greatest(F.lit(0.0), F.lit(1.0) - moved)
+
+
+def source_shares(tokens: list[float], sources: list[str], weights: dict[str, float] | None) -> list[float]:
+    """Target share of each place: in proportion to ``weights`` (None: the same for each source that holds tokens).
+
+    Rows without a source, and sources without a weight, keep their share of the tokens.
+    """
+    total = sum(tokens)
+    given = [None] + [(1.0 if n else None) if weights is None else weights.get(name) for name, n in zip(sources, tokens[1:])]
+    if any(w is not None and not (w >= 0 and math.isfinite(w)) for w in given):
+        raise ValueError("weights of sources are finite and not negative")
+    kept = [t / total if w is None and total else 0.0 for t, w in zip(tokens, given)]
+    asked = sum(w for w in given if w is not None)
+    return [k if w is None or not asked else w / asked * (1 - sum(kept)) for k, w in zip(kept, given)]
+
+
+def fit_sources(members: DataFrame, n_domains: int, weights: dict[str, float] | None = None, power: float = 0.7,
+                max_rounds: int = 40) -> SourceMixture:
+    """Rates by which sources meet ``weights`` and soft domains their smoothed totals at once.
+
+    ``members`` (n_tokens, posterior, source; stored). A rate starts as what its source needs and
+    the shares of a source and of the domains in it are corrected by Newton steps of the same
+    least-squares problem, halved while they bring no gain. A round is one aggregation by source.
+    Sources of ``weights`` that hold no tokens cannot be met and count for ``met``.
+    """
+    d = n_domains
+    found = {r["source"]: float(r["n"] or 0) for r in members.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("n_tokens").alias("n")).collect()}
+    sources = sorted(({*found} | {*(weights or {})}) - {None})
+    tokens = [found.get(None, 0.0), *(found.get(name, 0.0) for name in sources)]
+    p = [F.col("posterior")[i] for i in range(d)]
+    domain_tokens = [float(x or 0.0) for x in members.agg(*(F.sum(F.col("n_tokens") * x) for x in p)).first()] if d else []
+    targets = smoothed_targets(domain_tokens, power)
+    volume = sum(targets) if d else sum(tokens)
+    source_targets = [volume * share for share in source_shares(tokens, sources, weights)]
+    base = [t / n if n else 1.0 for t, n in zip(source_targets, tokens)]
+    want = np.array(source_targets + targets)
+    placed = members.select(_place(F.col("source"), sources).alias("place"), "source", "n_tokens", "posterior")
+
+    def measure(mix: SourceMixture) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of all places and domains, and their change with the steps."""
+        now = F.col("n_tokens") * source_rate(F.col("source"), F.col("posterior"), mix)
+        free = F.when(now > 0, F.col("n_tokens") * F.element_at(_numbers(base), F.col("place") + 1)).otherwise(0.0)
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        rows = placed.withColumn("now", now).withColumn("free", free).groupBy("place").agg(
+            F.sum("now").alias("now"), F.sum("free").alias("free"), *(F.sum(F.col("now") * p[i]).alias(f"n{i}") for i in range(d)),
+            *(F.sum(F.col("free") * p[i]).alias(f"f{i}") for i in range(d)),
+            *(F.sum(F.col("free") * p[i] * p[j]).alias(f"c{i}_{j}") for i, j in pairs)).collect()
+        k = len(tokens)
+        total, curve = np.zeros(k + d), np.zeros((k + d, k + d))
+        for r in rows:
+            at = r["place"]
+            total[at], curve[at, at] = r["now"] or 0.0, r["free"] or 0.0
+            for i in range(d):
+                total[k + i] += r[f"n{i}"] or 0.0
+                curve[at, k + i] = curve[k + i, at] = r[f"f{i}"] or 0.0
+            for i, j in pairs:
+                curve[k + i, k + j] += r[f"c{i}_{j}"] or 0.0
+                curve[k + j, k + i] = curve[k + i, k + j]
+        return total, curve
+
+    def mixture(steps: np.ndarray, total: np.ndarray, rounds: int) -> SourceMixture:
+        k = len(tokens)
+        off = float(max(np.abs(total - want) / np.maximum(want, 1.0), default=0.0))
+        if any(w > 0 and not found.get(name) for name, w in (weights or {}).items()):
+            off = max(off, 1.0)
+        return SourceMixture(sources, base, steps[:k].tolist(), steps[k:].tolist(), source_targets, total[:k].tolist(), targets,
+                             total[k:].tolist(), rounds, off, off <= TOLERANCE)
+
+    steps = np.zeros(len(want))
+    total, curve = measure(mixture(steps, want, 0))
+    best = mixture(steps, total, 0)
+    move, length = None, 1.0
+    for n in range(1, max_rounds + 1):
+        if best.met or length < 1e-3:
+            break
+        if move is None:
+            size = 1 / np.sqrt(np.maximum(np.diag(curve), 1.0))
+            move = size * np.linalg.lstsq(curve * np.outer(size, size), size * (total - want), rcond=1e-10)[0]
+        after, bent = measure(mixture(steps + length * move, want, n))
+        if np.linalg.norm(after - want) < np.linalg.norm(total - want):
+            steps, total, curve, move, length = steps + length * move, after, bent, None, 1.0
+            best = mixture(steps, total, n)
+        else:
+            length /= 2
+    return best
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """``weights`` are target weights of the values of ``source``; None gives each source the same."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     model = fit_domains(docs, labelled_domains(spark, docs, sf_dir))
-    members = store(posteriors(docs, model).select("doc_id", "n_tokens", "posterior"))
-    mixture = fit_rates(members, len(model.names))
+    members = store(posteriors(docs, model).select("doc_id", "source", "n_tokens", "posterior"))
+    mix = fit_sources(members, len(model.names), weights)
     names = F.lit(model.names) if model.names else F.array().cast("array<string>")
-    r = rate(F.col("posterior"), mixture.steps)
+    r = source_rate(F.col("source"), F.col("posterior"), mix)
+    place = _place(F.col("source"), mix.sources) + 1
     return members.select(
-        "doc_id", "n_tokens", F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")).alias("domain"),
-        "posterior", r.alias("rate"), copies(r, F.col("doc_id")).alias("copies"), F.lit(mixture.met).alias("targets_met"))
+        "doc_id", "source", "n_tokens", F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")).alias("domain"),
+        "posterior", r.alias("rate"), copies(r, F.col("doc_id")).alias("copies"),
+        F.element_at(_numbers(mix.source_targets), place).alias("source_target"),
+        F.element_at(_numbers(mix.source_totals), place).alias("source_total"),
+        F.lit(mix.off_target).alias("off_target"), F.lit(mix.met).alias("targets_met"))
+
+
+def mix_rows(docs: DataFrame, model: DomainModel, weights: dict[str, float] | None = None, power: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, source and others) as often as the rates of ``fit_sources`` say, some not at all.
+
+    Texts without tokens bear on no target and stay once. Missed targets are warned of, with the largest gap.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text", "doc_id", F.col("source").cast("string").alias("source"))
+    members = store(posteriors(packed.select("text", "source"), model).select("n_tokens", "posterior", "source"))
+    mix = fit_sources(members, len(model.names), weights, power)
+    if not mix.met:
+        warnings.warn(f"target weights not met: off by {mix.off_target:.3g} of a target after {mix.rounds} rounds", stacklevel=2)
+    n = F.when(F.col("n_tokens") == 0, 1).otherwise(copies(source_rate(F.col("source"), F.col("posterior"), mix), F.col("doc_id")))
+    return posteriors(packed, model).select("row", n.alias("_n")).filter("_n > 0") \
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
 
 
 def repeat_rows(docs: DataFrame, model: DomainModel, power: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text and others) as often as their fitted rates say.
+    """Rows of ``docs`` (doc_id, text and others) as often as the rates of their soft domains say; sources are not read.
 
     With smoothed targets no domain shrinks; a rate that falls below one all the same
     (a document between domains) still leaves one copy.

@@ -136,6 +136,29 @@ def test_mixing_awkward(spark, awkward, empty, labels):
     assert mixing.repeat_rows(empty, model).count() == 0
 
 
+def test_mixing_meets_weights_of_sources(spark, sf):
+    weights = {f"src{i}": 1.0 + i % 4 for i in range(20)}
+    rows = mixing.op2_mixing(spark, sf, weights).collect()
+    got = Counter()
+    for r in rows:
+        got[r.source] += r.n_tokens * r.rate
+    volume = sum(got.values())
+    assert all(r.targets_met and r.off_target <= 1e-6 and r.rate >= 0 for r in rows)
+    assert all(abs(got[s] / volume - w / sum(weights.values())) < 1e-5 for s, w in weights.items())
+
+
+def test_mixing_reports_missed_weights(spark, awkward, empty):
+    members = store(spark.createDataFrame([(100, [1.0, 0.0], "a"), (900, [0.0, 1.0], "b"), (50, [0.5, 0.5], None), (0, [0.5, 0.5], "c")],
+                                          "n_tokens long, posterior array<double>, source string"))
+    mix = mixing.fit_sources(members, 2, {"a": 1.0, "b": 1.0, "absent": 2.0})
+    assert not mix.met and mix.off_target >= 1
+    model = mixing.fit_domains(awkward, awkward.select("doc_id", F.col("lang").alias("domain")))
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.mix_rows(awkward, model, {"absent": 1.0})
+    assert mixing.mix_rows(awkward, model).columns == awkward.columns
+    assert mixing.mix_rows(empty, model).count() == 0
+
+
 # 3 pieces
 
 def test_pieces_equal_the_library(spark, awkward, empty):
