@@ -274,6 +274,15 @@ def test_near_dedup_against_brute_force(spark):
     assert len(simhash_trie.keep_one(docs).collect()) > len(want)
 
 
+def test_near_dedup_by_row(spark):
+    """Unrelated texts under one id stay, an id's copy of another group goes, null texts stay, of empty texts one."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (2, two), (2, three), (3, three + " more"), (1, one), (4, None), (5, None), (6, ""), (7, " "), (None, two)]
+    docs = store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, one), (2, two), (2, three), (4, None), (5, None), (6, "")])
+
+
 # 5 lines
 
 def test_lines_against_brute_force(spark, awkward, empty):
