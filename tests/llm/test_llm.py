@@ -54,7 +54,7 @@ def empty(spark):
 
 
 def test_queries_give_rows(spark, sf):
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0] == "op1_hmm_lm" and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0] == "op1_hmm_lm" and len(QUERIES) == 13
     assert set(ORACLES) <= set(QUERIES)
 
 
