@@ -9,9 +9,10 @@ language.
    node with one container for each next word, so the trie stays shallow and only busy
    prefixes have nodes. Beyond ``LIMIT`` entries the largest subtrees are spilled whole, as runs
    sorted by their words, until half is left.
-2. Runs go to the partition of their prefix, the first two words, so that one busy word does not
-   end up in one task. There they are sorted and merged by a stream that adds up equal
-   neighbours.
+2. A run is cut by prefix partition, a hash of language and first two words, so that one busy word does not
+   end up in one task. Each cut travels as one compressed Arrow block. The blocks of a
+   prefix partition are merged by adding up equal phrases, some million entries at a time, and
+   only phrases that occur often enough leave the task.
 3. Words and pairs are counted first. A longer phrase is counted where both phrases of one word less are
    in a Bloom filter of those found often enough. The filter's size is bounded (32 MB); false
    positives only add work, and every count is exact.
@@ -39,7 +40,9 @@ from ratingspark.llm.common import discard, documents, store, text_slices
 BURST, LIMIT, WORDS = 4_096, 1_000_000, 1_000_000
 #: The Bloom filter: bits for each phrase, at most 2^28 bits, probes.
 BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
-COUNTS = "lang string, prefix string, rest string, f long"
+#: Prefix partitions for each partition of the shuffle; entries that are merged at once.
+FINER, HELD = 8, 2_000_000
+COUNTS = "lang string, phrase string, words int, f long"
 
 _SEPARATOR = b"\xff"  # no byte of UTF-8
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _SEPARATOR * 10)
@@ -165,8 +168,8 @@ def _holds(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 class _Counter:
     """The tries of a task, one for each language and phrase length, over one table of word ids."""
 
-    def __init__(self, limit: int, burst: int, bloom: np.ndarray | None):
-        self.limit, self.burst, self.bloom = limit, burst, bloom
+    def __init__(self, limit: int, burst: int, bloom: np.ndarray | None, buckets: int):
+        self.limit, self.burst, self.bloom, self.buckets = limit, burst, bloom, buckets
         self.tries: dict[tuple[str, int], HatTrie] = {}
         self.totals: dict[str, int] = defaultdict(int)
         self.clear()
@@ -181,7 +184,7 @@ class _Counter:
         found = np.fromiter(map(self.ids.__getitem__, tokens(texts)), np.int64)
         word = found > 0
         self.totals[lang] += int(word.sum())
-        if self.bloom is not None and len(self.ids) > len(self.hashes):
+        if len(self.ids) > len(self.hashes):
             names = list(self.ids)[len(self.hashes):]
             self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)])
         for n in sizes:
@@ -208,38 +211,56 @@ class _Counter:
         rank = np.empty(len(self.ids), np.int64)
         rank[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(self.ids))
         for (lang, n), trie in self.tries.items():
-            keep = 0 if everything or full else trie.size // 2
             keys: list[bytes] = []
             counts: list[int] = []
-            for prefix, node in trie.take(keep):
+            for prefix, node in trie.take(0 if everything or full else trie.size // 2):
                 _entries(prefix, node, keys, counts)
-                if len(keys) >= 50_000:
-                    yield _run(lang, n, names, rank, keys, counts)
-                    keys, counts = [], []
             if keys:
-                yield _run(lang, n, names, rank, keys, counts)
+                ids = np.frombuffer(b"".join(keys), ">u4").reshape(-1, n).astype(np.int64)
+                buckets = (_prefix_hashes(lang, self.hashes, ids) % np.uint64(self.buckets)).astype(np.int64)
+                yield from _run(lang, names, rank, ids, np.array(counts, np.int64), buckets)
         if everything or full:
             self.tries.clear()
             self.clear()
 
 
-def _run(lang: str, n: int, names: pa.Array, rank: np.ndarray, keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(keys), ">u4").reshape(-1, n).astype(np.int64)
-    order = np.lexsort(rank[ids].T[::-1])
-    columns = [names.take(pa.array(ids[order, k])) for k in range(n)]
-    blank = pa.scalar(b" ")
-    prefix = pa.compute.binary_join_element_wise(*columns[:2], blank) if n > 1 else columns[0]
-    rest = pa.compute.binary_join_element_wise(*columns[2:], blank) if n > 2 else pa.array([b""] * len(keys), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(keys)), prefix.cast(pa.string(), safe=False), rest.cast(pa.string(), safe=False), pa.array(np.array(counts, np.int64)[order])],
-        names=["lang", "prefix", "rest", "f"])
+def _prefix_hashes(lang: str, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    salt = np.uint64(xxhash.xxh3_64_intdigest(lang))
+    if ids.shape[1] == 1:
+        return phrase_hashes(hashes[ids[:, 0]] ^ salt, 1)
+    return _two(hashes[ids[:, :2]] ^ salt)
 
 
-def _count(sizes: list[int], bloom, limit: int, burst: int):
-    """Runs of phrases of these lengths; the empty prefix has the number of words."""
+def _two(hashes: np.ndarray) -> np.ndarray:
+    """``phrase_hashes`` of many pairs at once."""
+    return phrase_hashes(np.ascontiguousarray(hashes).ravel(), 2)[::2]
+
+
+def _run(lang: str, names: pa.Array, rank: np.ndarray, ids: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A sorted run, as one block for each prefix partition."""
+    order = np.lexsort((*rank[ids].T[::-1], buckets))
+    ids, buckets = ids[order], buckets[order]
+    columns = [names.take(pa.array(ids[:, k])) for k in range(ids.shape[1])]
+    phrases = pa.compute.binary_join_element_wise(*columns, pa.scalar(b" ")) if len(columns) > 1 else columns[0]
+    run = pa.RecordBatch.from_arrays([phrases, pa.array(counts[order])], names=["phrase", "f"])
+    cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
+    options = pa.ipc.IpcWriteOptions(compression="lz4")
+    blocks = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, run.schema, options=options) as writer:
+            writer.write_batch(run.slice(a, b - a))
+        blocks.append(sink.getvalue().to_pybytes())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(buckets[cuts[:-1]]), pa.array([lang] * len(blocks)), pa.array([len(columns)] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())],
+        names=["bucket", "lang", "words", "block"])
+
+
+def _count(sizes: list[int], bloom, limit: int, burst: int, buckets: int):
+    """Blocks of runs of phrases of these lengths; those of no words hold the number of words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(limit, burst, None if bloom is None else np.frombuffer(bloom.value, np.uint64))
+        counter = _Counter(limit, burst, None if bloom is None else np.frombuffer(bloom.value, np.uint64), buckets)
         for piece in text_slices(batches):
             by_lang: dict[str, list] = defaultdict(list)
             for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").cast(pa.binary()).to_pylist()):
@@ -248,41 +269,62 @@ def _count(sizes: list[int], bloom, limit: int, burst: int):
                 counter.count(lang, texts, sizes)
             yield from counter.spill()
         yield from counter.spill(everything=True)
-        if 1 in sizes and counter.totals:
-            langs, totals = zip(*counter.totals.items())
+        for lang, total in counter.totals.items() if 1 in sizes else ():
+            sink = pa.BufferOutputStream()
+            block = pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([total], pa.int64())], names=["phrase", "f"])
+            with pa.ipc.new_stream(sink, block.schema) as writer:
+                writer.write_batch(block)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs), pa.array([""] * len(langs)), pa.array([""] * len(langs)), pa.array(totals, pa.int64())],
-                names=["lang", "prefix", "rest", "f"])
+                [pa.array([0], pa.int64()), pa.array([lang]), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["bucket", "lang", "words", "block"])
+
+    return run
+
+
+def _add_up(blocks: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(blocks).group_by("phrase", use_threads=False).aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+
+
+def _merge(min_count: int):
+    """Blocks ordered by (bucket, lang, words): each phrase of at least ``min_count`` with the sum of its counts."""
+
+    def finish(key, held: list[pa.Table]) -> pa.RecordBatch:
+        _, lang, words = key
+        rows = _add_up(held)
+        rows = rows.filter(pa.compute.greater_equal(rows["f"], min_count if words else 0)).combine_chunks()
+        phrase = rows["phrase"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * rows.num_rows, pa.string()), phrase.cast(pa.string(), safe=False), pa.array([words] * rows.num_rows, pa.int32()),
+             rows["f"].combine_chunks() if rows.num_rows else pa.array([], pa.int64())], names=["lang", "phrase", "words", "f"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, size = None, [], 0
+        for batch in batches:
+            blocks = batch.column("block")
+            for row, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "words")))):
+                if key != current:
+                    if held:
+                        yield finish(current, held)
+                    current, held, size = key, [], 0
+                held.append(pa.ipc.open_stream(blocks[row].as_buffer()).read_all())
+                size += held[-1].num_rows
+                if size > HELD:
+                    held = [_add_up(held)]
+                    size = held[0].num_rows // 2  # merge again when there is as much new
+        if held:
+            yield finish(current, held)
 
     return run
 
 
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by phrase: one row for each, with the sum of its counts."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        new = np.zeros(rows.num_rows, bool)
-        new[0] = True
-        for name in ("lang", "prefix", "rest"):
-            column = rows.column(name)
-            new[1:] |= pa.compute.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(new)
-        sums = np.add.reduceat(rows.column("f").to_numpy(), starts)
-        merged = rows.take(pa.array(starts)).set_column(3, "f", pa.array(sums))
-        held = merged.slice(merged.num_rows - 1)
-        yield merged.slice(0, merged.num_rows - 1)
-    if held is not None:
-        yield held
-
-
-def count_phrases(docs: DataFrame, sizes: list[int], bloom=None, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
-    """(lang, prefix, rest, f): all phrases of these lengths; ``docs`` has lang and text."""
+def count_phrases(docs: DataFrame, sizes: list[int], min_count: int, bloom=None, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases of these lengths that occur often enough; ``docs`` has lang and text.
+
+    With length 1 there is a row of no words for each language, with its number of words.
+    """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = docs.mapInArrow(_count(sizes, bloom, limit, burst), COUNTS)
-    return runs.repartition(width, "lang", "prefix").sortWithinPartitions("lang", "prefix", "rest").mapInArrow(_merge, COUNTS)
+    blocks = docs.mapInArrow(_count(sizes, bloom, limit, burst, FINER * width), "bucket long, lang string, words int, block binary")
+    return blocks.repartition(width, "bucket").sortWithinPartitions("bucket", "lang", "words").mapInArrow(_merge(min_count), COUNTS)
 
 
 def _positions(n: int, bits: int):
@@ -300,11 +342,6 @@ def _positions(n: int, bits: int):
     return run
 
 
-def _two(hashes: np.ndarray) -> np.ndarray:
-    """``phrase_hashes`` of many pairs at once."""
-    return phrase_hashes(hashes.ravel(), 2)[::2]
-
-
 def bloom_filter(phrases: DataFrame, n: int):
     """A broadcast filter that holds the hashes of all ``phrases`` (lang, phrase) of n words."""
     spark = phrases.sparkSession
@@ -319,10 +356,6 @@ def bloom_filter(phrases: DataFrame, n: int):
     return spark.sparkContext.broadcast(bloom.tobytes())
 
 
-def _phrase() -> F.Column:
-    return F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
-
-
 def _long(count: F.Column) -> F.Column:
     return count.cast("decimal(19,0)")
 
@@ -357,16 +390,14 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
                  cover: int = 50, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    often = store(count_phrases(source, [1, 2], None, limit, burst).filter((F.col("f") >= min_count) | (F.col("prefix") == "")))
-    tables = [often]
-    words = F.size(F.split("prefix", " "))
-    counts = often.filter("prefix != ''").select("lang", words.alias("words"), F.col("prefix").alias("phrase"), "f")
+    tables = [store(count_phrases(source, [1, 2], min_count, None, limit, burst))]
+    n_words = tables[0].filter("words = 0").select("lang", F.col("f").alias("n"))
+    counts = tables[0].filter("words > 0")
     for n in range(3, longest + 1):
-        bloom = bloom_filter(counts.filter(F.col("words") == n - 1).select("lang", "phrase"), n - 1)
-        tables.append(store(count_phrases(source, [n], bloom, limit, burst).filter(F.col("f") >= min_count)))
-        counts = counts.unionByName(tables[-1].select("lang", F.lit(n).alias("words"), _phrase().alias("phrase"), "f"))
+        bloom = bloom_filter(counts.filter(F.col("words") == n - 1), n - 1)
+        tables.append(store(count_phrases(source, [n], min_count, bloom, limit, burst)))
+        counts = counts.unionByName(tables[-1])
         bloom.destroy()
-    n_words = often.filter("prefix = ''").select("lang", F.col("f").alias("n"))
     scored = score(counts, cover).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
