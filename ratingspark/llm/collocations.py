@@ -10,7 +10,7 @@ language.
    prefixes have nodes. Beyond ``LIMIT`` entries the largest subtrees are spilled whole, as runs
    sorted by their words, until half is left.
 2. A run is cut by prefix partition, a hash of language and first two words, so that one busy word does not
-   end up in one task. Each cut travels as one compressed Arrow block. The blocks of a
+   end up in one task. Each cut, of all languages, travels as one compressed Arrow block. The blocks of a
    prefix partition are merged by adding up equal phrases, some million entries at a time, and
    only phrases that occur often enough leave the task.
 3. Words and pairs are counted first. A longer phrase is counted where both phrases of one word less are
@@ -40,8 +40,10 @@ from ratingspark.llm.common import discard, documents, store, text_slices
 BURST, LIMIT, WORDS = 4_096, 1_000_000, 1_000_000
 #: The Bloom filter: bits for each phrase, at most 2^28 bits, probes.
 BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
+#: A row of the shuffle: the batches of ``block`` hold the phrases of one language and length each.
+BLOCKS = "bucket long, langs array<string>, words array<int>, block binary"
 #: Prefix partitions for each partition of the shuffle; entries that are merged at once.
-FINER, HELD = 8, 2_000_000
+FINER, HELD = 4, 2_000_000
 COUNTS = "lang string, phrase string, words int, f long"
 
 _SEPARATOR = b"\xff"  # no byte of UTF-8
@@ -210,6 +212,7 @@ class _Counter:
         names = pa.array(list(self.ids), pa.binary())
         rank = np.empty(len(self.ids), np.int64)
         rank[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(self.ids))
+        runs: dict[int, list[tuple[str, int, pa.RecordBatch]]] = defaultdict(list)
         for (lang, n), trie in self.tries.items():
             keys: list[bytes] = []
             counts: list[int] = []
@@ -217,8 +220,15 @@ class _Counter:
                 _entries(prefix, node, keys, counts)
             if keys:
                 ids = np.frombuffer(b"".join(keys), ">u4").reshape(-1, n).astype(np.int64)
+                del keys
                 buckets = (_prefix_hashes(lang, self.hashes, ids) % np.uint64(self.buckets)).astype(np.int64)
-                yield from _run(lang, names, rank, ids, np.array(counts, np.int64), buckets)
+                for bucket, run in _runs(names, rank, ids, np.array(counts, np.int64), buckets):
+                    runs[bucket].append((lang, n, run))
+        if everything:
+            for lang, total in self.totals.items():
+                runs[0].append((lang, 0, pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([total], pa.int64())], names=["phrase", "f"])))
+        if runs:
+            yield _blocks(runs)
         if everything or full:
             self.tries.clear()
             self.clear()
@@ -236,24 +246,31 @@ def _two(hashes: np.ndarray) -> np.ndarray:
     return phrase_hashes(np.ascontiguousarray(hashes).ravel(), 2)[::2]
 
 
-def _run(lang: str, names: pa.Array, rank: np.ndarray, ids: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A sorted run, as one block for each prefix partition."""
+def _runs(names: pa.Array, rank: np.ndarray, ids: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A sorted run of each prefix partition."""
     order = np.lexsort((*rank[ids].T[::-1], buckets))
     ids, buckets = ids[order], buckets[order]
     columns = [names.take(pa.array(ids[:, k])) for k in range(ids.shape[1])]
     phrases = pa.compute.binary_join_element_wise(*columns, pa.scalar(b" ")) if len(columns) > 1 else columns[0]
     run = pa.RecordBatch.from_arrays([phrases, pa.array(counts[order])], names=["phrase", "f"])
-    cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
+    cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]])).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(buckets[a]), run.slice(a, b - a)
+
+
+def _blocks(runs: dict[int, list[tuple[str, int, pa.RecordBatch]]]) -> pa.RecordBatch:
     options = pa.ipc.IpcWriteOptions(compression="lz4")
     blocks = []
-    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+    for parts in runs.values():
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, run.schema, options=options) as writer:
-            writer.write_batch(run.slice(a, b - a))
+        with pa.ipc.new_stream(sink, parts[0][2].schema, options=options) as writer:
+            for *_, run in parts:
+                writer.write_batch(run)
         blocks.append(sink.getvalue().to_pybytes())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(buckets[cuts[:-1]]), pa.array([lang] * len(blocks)), pa.array([len(columns)] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())],
-        names=["bucket", "lang", "words", "block"])
+    return pa.RecordBatch.from_arrays([
+        pa.array(list(runs), pa.int64()), pa.array([[p[0] for p in parts] for parts in runs.values()], pa.list_(pa.string())),
+        pa.array([[p[1] for p in parts] for parts in runs.values()], pa.list_(pa.int32())), pa.array(blocks, pa.binary())],
+        names=["bucket", "langs", "words", "block"])
 
 
 def _count(sizes: list[int], bloom, limit: int, burst: int, buckets: int):
@@ -269,50 +286,44 @@ def _count(sizes: list[int], bloom, limit: int, burst: int, buckets: int):
                 counter.count(lang, texts, sizes)
             yield from counter.spill()
         yield from counter.spill(everything=True)
-        for lang, total in counter.totals.items() if 1 in sizes else ():
-            sink = pa.BufferOutputStream()
-            block = pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([total], pa.int64())], names=["phrase", "f"])
-            with pa.ipc.new_stream(sink, block.schema) as writer:
-                writer.write_batch(block)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0], pa.int64()), pa.array([lang]), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                names=["bucket", "lang", "words", "block"])
 
     return run
 
 
-def _add_up(blocks: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(blocks).group_by("phrase", use_threads=False).aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
+def _add_up(runs: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(runs).group_by("phrase", use_threads=False).aggregate([("f", "sum")]).rename_columns(["phrase", "f"])
 
 
 def _merge(min_count: int):
-    """Blocks ordered by (bucket, lang, words): each phrase of at least ``min_count`` with the sum of its counts."""
+    """Blocks ordered by bucket: each phrase of at least ``min_count`` with the sum of its counts."""
 
-    def finish(key, held: list[pa.Table]) -> pa.RecordBatch:
-        _, lang, words = key
-        rows = _add_up(held)
-        rows = rows.filter(pa.compute.greater_equal(rows["f"], min_count if words else 0)).combine_chunks()
-        phrase = rows["phrase"].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * rows.num_rows, pa.string()), phrase.cast(pa.string(), safe=False), pa.array([words] * rows.num_rows, pa.int32()),
-             rows["f"].combine_chunks() if rows.num_rows else pa.array([], pa.int64())], names=["lang", "phrase", "words", "f"])
+    def finish(held: dict[tuple[str, int], list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for (lang, words), runs in held.items():
+            rows = _add_up(runs)
+            rows = rows.filter(pa.compute.greater_equal(rows["f"], min_count if words else 0))
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * rows.num_rows), rows["phrase"].combine_chunks().cast(pa.string(), safe=False),
+                     pa.array([words] * rows.num_rows, pa.int32()), rows["f"].combine_chunks()], names=["lang", "phrase", "words", "f"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, size = None, [], 0
+        current, size, most = None, 0, HELD
+        held: dict[tuple[str, int], list[pa.Table]] = defaultdict(list)
         for batch in batches:
             blocks = batch.column("block")
-            for row, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "words")))):
-                if key != current:
-                    if held:
-                        yield finish(current, held)
-                    current, held, size = key, [], 0
-                held.append(pa.ipc.open_stream(blocks[row].as_buffer()).read_all())
-                size += held[-1].num_rows
-                if size > HELD:
-                    held = [_add_up(held)]
-                    size = held[0].num_rows // 2  # merge again when there is as much new
-        if held:
-            yield finish(current, held)
+            for row, (bucket, langs, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "langs", "words")))):
+                if bucket != current:
+                    yield from finish(held)
+                    held.clear()
+                    current, size, most = bucket, 0, HELD
+                for lang, n, part in zip(langs, words, pa.ipc.open_stream(blocks[row].as_buffer())):
+                    held[lang, n].append(pa.Table.from_batches([part]))
+                    size += part.num_rows
+                if size > most:
+                    held = defaultdict(list, {key: [_add_up(runs)] for key, runs in held.items()})
+                    size = sum(runs[0].num_rows for runs in held.values())
+                    most = HELD + 2 * size
+        yield from finish(held)
 
     return run
 
@@ -320,11 +331,11 @@ def _merge(min_count: int):
 def count_phrases(docs: DataFrame, sizes: list[int], min_count: int, bloom=None, limit: int = LIMIT, burst: int = BURST) -> DataFrame:
     """(lang, phrase, words, f) of the phrases of these lengths that occur often enough; ``docs`` has lang and text.
 
-    With length 1 there is a row of no words for each language, with its number of words.
+    A row of no words for each language has its number of words.
     """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.mapInArrow(_count(sizes, bloom, limit, burst, FINER * width), "bucket long, lang string, words int, block binary")
-    return blocks.repartition(width, "bucket").sortWithinPartitions("bucket", "lang", "words").mapInArrow(_merge(min_count), COUNTS)
+    blocks = docs.mapInArrow(_count(sizes, bloom, limit, burst, FINER * width), BLOCKS)
+    return blocks.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(min_count), COUNTS)
 
 
 def _positions(n: int, bits: int):
@@ -395,7 +406,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     counts = tables[0].filter("words > 0")
     for n in range(3, longest + 1):
         bloom = bloom_filter(counts.filter(F.col("words") == n - 1), n - 1)
-        tables.append(store(count_phrases(source, [n], min_count, bloom, limit, burst)))
+        tables.append(store(count_phrases(source, [n], min_count, bloom, limit, burst).filter("words > 0")))
         counts = counts.unionByName(tables[-1])
         bloom.destroy()
     scored = score(counts, cover).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
