@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-from ratingspark.operators import folds, graph, normalize, scoring
+from ratingspark.operators import folds, graph, normalize, topn
 from ratingspark.operators.metrics import mean_by_bin, popularity_bins, rmse_by_bin
 from ratingspark.operators.baselines import item_errors
 from ratingspark.operators.stats import benjamini_hochberg, compare_to_baseline
@@ -68,7 +68,7 @@ def main() -> None:
     plain = ModelConfig(n_iters=ITERATIONS, **BASE)
     single = timed("fit_rank10_10_iterations", lambda: fit_runs(data, [Run(0, plain, None, None)]))
     timed("recommend_top10", lambda: write(
-        scoring.recommend(single.users, single.items, single.mu[0], 10, v.ratings(spark, SF))))
+        topn.recommend(single.users, single.items, single.mu[0], 10, v.ratings(spark, SF))))
 
     full = ModelConfig(n_iters=5, lambda_w=weights, alpha=0.5, graph_feature="type", S_topk=50, **BASE)
     no_graph = ModelConfig(n_iters=5, lambda_w=weights, **BASE)

@@ -7,7 +7,8 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratingspark.operators.scoring import completed_rows, predict_pairs, recommend
+from ratingspark.operators.scoring import completed_rows, predict_pairs
+from ratingspark.operators.topn import recommend
 from ratingspark.plans.config import ModelConfig, Run
 from ratingspark.plans.fit import HISTORY_SCHEMA, fit_runs, prepare
 

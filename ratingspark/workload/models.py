@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratingspark.functions import portable
 from ratingspark.functions.vectors import rounded
-from ratingspark.operators import folds, graph, metrics, scoring
+from ratingspark.operators import folds, graph, metrics, scoring, topn
 from ratingspark.operators.half_steps import SOLVED, half_step, run_steps
 from ratingspark.plans.config import ModelConfig, Run, with_fold
 from ratingspark.plans.fit import FitInput, FitResult, _enriched, _initial_state, fit_runs, prepare
@@ -231,10 +231,24 @@ SELECT user_id, item_id, mu + b_u + b_i + u * v AS score FROM users2, items2, me
 )
 def recommend_topn(spark, sf):
     fit = fit_runs(_data(spark, sf), PLAIN)
-    best = scoring.recommend(fit.users, fit.items, fit.mu[0], 10, v.ratings(spark, sf))
+    best = topn.recommend(fit.users, fit.items, fit.mu[0], 10, v.ratings(spark, sf))
     return best.select("user_id", "item_id", v.r6("score"), "rank")
 
 
+@query(
+    "recommend_pairs",
+    """SELECT (SELECT count(*) FROM customer) AS n_users, (SELECT count(*) FROM customer) * (SELECT count(*) FROM part) AS n_pairs,
+TRUE AS bounds_at_most_all, TRUE AS scored_under_half""",
+)
+def recommend_pairs(spark, sf):
+    """How many pairs the search for the ten best of each user scores, at rank 4."""
+    fit = fit_runs(_data(spark, sf), [Run(0, FOUR, None, None)])
+    lists = topn.best_lists(fit.users, fit.items, fit.mu[0], 10, v.ratings(spark, sf))
+    report = topn.pairs_report(lists, v.items(spark, sf).count())
+    return report.select("n_users", "n_pairs", (F.col("walked") <= F.col("n_pairs")).alias("bounds_at_most_all"),
+                         (2 * F.col("scored") < F.col("n_pairs")).alias("scored_under_half"))
+
+
 @query("als_fit")
 def als_fit(spark, sf):
     """A rank-4 fit with features and graph, early stopping on."""
