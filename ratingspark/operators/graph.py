@@ -7,18 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ratingspark.functions.keyed_sums import sum_vectors
 from ratingspark.functions.vectors import dot, sum_squares
 from ratingspark.operators.half_steps import OTHER, _Block, _by_run, _list_array, _matrix, _state_rows, pack
 from ratingspark.operators.layout import Layout, build_layout
+from ratingspark.operators.neighbours import top_neighbours
 from ratingspark.plans.config import Run
-from ratingspark.session import cut_lineage, shuffle_width
-
-TILE_BYTES = 64 << 20  # vectors on one side of a tile
-STRIP_CELLS = 4_000_000  # similarities held at a time
-RANK_DIGITS = 9  # similarities equal to this many digits count as tied
 
 
 def unit_vectors(features: DataFrame, feature: str, eps: float) -> DataFrame:
@@ -32,113 +28,6 @@ def unit_vectors(features: DataFrame, feature: str, eps: float) -> DataFrame:
     )
 
 
-def top_neighbours(vectors: DataFrame, topk: int) -> DataFrame:
-    """The ``topk`` most similar items of each item: (src, dst, sim), no zeros.
-
-    Items with equal vectors share one list, and of each distinct vector only
-    the topk+1 smallest ids can ever be listed; so indicator features cost a
-    product of their few distinct vectors, not of all items. Distinct vectors
-    are compared tile by tile, each tile keeping its best topk+1 per row.
-    """
-    spark = vectors.sparkSession
-    width = shuffle_width(spark)
-    keep = topk + 1
-    groups = vectors.groupBy("unit").agg(F.min("item_id").alias("gid"))
-    members = cut_lineage(vectors.join(groups, "unit"))
-    ranked = members.withColumn(
-        "place", F.row_number().over(Window.partitionBy("gid").orderBy("item_id"))
-    ).where(F.col("place") <= keep)
-    left = members.where(F.col("item_id") == F.col("gid")).select("gid", "unit")
-    shape = ranked.agg(
-        F.count("*").alias("right"),
-        F.count_if(F.col("item_id") == F.col("gid")).alias("left"),
-        F.max(F.size("unit")).alias("d"),
-    ).first()
-    if not shape.right:
-        return spark.createDataFrame([], "src long, dst long, sim double")
-    cap = max(256, TILE_BYTES // (8 * max(1, shape.d)))
-    rows = max(-(-shape.left // cap), min(width, -(-shape.left // 256)))
-    cols = -(-shape.right // cap)
-    # A tile is one (row block, column block) pair.
-    left_tiles = left.select(
-        F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col_block"), "gid", "unit"
-    ).select(
-        (F.pmod(F.xxhash64("gid"), F.lit(rows)).cast("long") * cols + F.col("col_block")).alias("tile"), "gid", "unit"
-    )
-    right_tiles = ranked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("row_block"),
-        F.col("item_id").alias("dst"),
-        F.col("unit").alias("vector"),
-    ).select(
-        (F.col("row_block").cast("long") * cols + F.pmod(F.xxhash64("dst"), F.lit(cols))).alias("tile"), "dst", "vector"
-    )
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        gids, dsts, sims, sizes = [], [], [], []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("dst")
-            dst = right["dst"].to_numpy()
-            columns = _matrix(right["vector"]).T
-            units, ids = _matrix(left["unit"]), left["gid"].to_numpy()
-            strip = max(1, STRIP_CELLS // len(dst))
-            for start in range(0, len(ids), strip):
-                exact = units[start : start + strip] @ columns
-                tied = np.round(exact, RANK_DIGITS)
-                for row in range(len(exact)):
-                    values = tied[row]
-                    if len(dst) > keep:
-                        floor = np.partition(values, len(dst) - keep)[len(dst) - keep]
-                        above = np.flatnonzero(values > floor)
-                        level = np.flatnonzero(values == floor)[: keep - len(above)]
-                        chosen = np.r_[above, level]
-                    else:
-                        chosen = np.arange(len(dst))
-                    gids.append(ids[start + row])
-                    sizes.append(len(chosen))
-                    dsts.append(dst[chosen])
-                    sims.append(exact[row, chosen])
-        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        near = pa.StructArray.from_arrays(
-            [
-                pa.array(np.concatenate(dsts) if dsts else np.zeros(0, np.int64), pa.int64()),
-                pa.array(np.concatenate(sims) if sims else np.zeros(0), pa.float64()),
-            ],
-            names=["dst", "sim"],
-        )
-        return pa.table({"gid": pa.array(gids, pa.int64()), "near": pa.ListArray.from_arrays(offsets, near)})
-
-    lists = (
-        left_tiles.groupBy("tile")
-        .cogroup(right_tiles.groupBy("tile"))
-        .applyInArrow(best, "gid long, near array<struct<dst: long, sim: double>>")
-    )
-    if cols > 1:  # merge the lists of the column blocks
-        order = Window.partitionBy("gid").orderBy(F.round("near.sim", RANK_DIGITS).desc(), "near.dst")
-        lists = (
-            lists.select("gid", F.explode("near").alias("near"))
-            .withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= keep)
-            .groupBy("gid")
-            .agg(F.collect_list("near").alias("near"))
-        )
-    # The item itself stands in its own row with similarity zero.
-    entry = lambda sim, dst: F.struct(
-        (-F.round(sim, RANK_DIGITS)).alias("rank"), dst.alias("dst"), sim.alias("sim")
-    )
-    others = F.filter("near", lambda e: e["dst"] != F.col("src"))
-    row = F.concat(
-        F.transform(others, lambda e: entry(e["sim"], e["dst"])),
-        F.array(entry(F.lit(0.0), F.col("src"))),
-    )
-    return (
-        members.select(F.col("item_id").alias("src"), "gid")
-        .join(lists, "gid")
-        .select("src", F.explode(F.slice(F.sort_array(row), 1, topk)).alias("e"))
-        .where((F.col("e.dst") != F.col("src")) & (F.col("e.sim") != 0))
-        .select("src", F.col("e.dst").alias("dst"), F.col("e.sim").alias("sim"))
-    )
-
-
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Larger of the two directions; a direction that was dropped counts as 0."""
     both = edges.unionByName(

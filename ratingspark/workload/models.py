@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratingspark.functions import portable
 from ratingspark.functions.vectors import rounded
-from ratingspark.operators import folds, graph, metrics, scoring, topn
+from ratingspark.operators import folds, graph, metrics, neighbours, scoring, topn
 from ratingspark.operators.half_steps import SOLVED, half_step, run_steps
 from ratingspark.plans.config import ModelConfig, Run, with_fold
 from ratingspark.plans.fit import FitInput, FitResult, _enriched, _initial_state, fit_runs, prepare
@@ -309,6 +309,23 @@ def graph_topk_indicators(spark, sf):
     return _edges(spark, sf, "type", 5, whole=False).select("src", "dst", v.r6("sim"))
 
 
+@query(
+    "graph_products",
+    f"""WITH {TYPE_VEC}, d AS (SELECT count(DISTINCT x) AS n FROM vec) SELECT 'type' AS feature, n AS n_vectors, TRUE AS under_all_pairs FROM d, part GROUP BY ALL HAVING n < count(*)
+UNION ALL SELECT 'emb', count(*), TRUE FROM (SELECT DISTINCT embedding FROM embeddings)""",
+)
+def graph_products(spark, sf):
+    """Distinct vectors of a graph, and whether fewer products than pairs of items were taken (cells of 64 at least)."""
+    out = None
+    for name, table in (("type", v.type_feature(spark, sf)), ("emb", v.embedding_feature(spark, sf))):
+        units = graph.unit_vectors(table, name, 1e-8).persist()
+        n_items = units.count()
+        row = neighbours.products_report(units, 10, cell=64).select(
+            F.lit(name).alias("feature"), "n_vectors", (F.col("n_products") < 0.8 * n_items * n_items).alias("under_all_pairs"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("graph_symmetric", f"WITH {EMB_EDGES} SELECT src, dst, round(sim, 6) + 0.0 AS sim FROM edges")
 def graph_symmetric(spark, sf):
     return _edges(spark, sf, "emb", 10).select("src", "dst", v.r6("sim"))

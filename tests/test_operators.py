@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ratingspark.functions import portable
 from ratingspark.functions.keyed_sums import sum_vectors
-from ratingspark.operators import folds, graph, metrics, normalize, stats
+from ratingspark.operators import folds, graph, metrics, neighbours, normalize, stats
 from ratingspark.plans import ablation, study
 from ratingspark.plans.config import RUNS_SCHEMA, ModelConfig, Run, runs_from_table, runs_table
 from ratingspark.plans.fit import batches
@@ -257,14 +257,41 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, topk, kind):
         "repeated": [[1.0, 0.5]] * 25 + [[rng.random(), -rng.random()] for _ in range(15)],
     }[kind]
     if kind == "dense":
-        monkeypatch.setattr(graph, "TILE_BYTES", 1)  # smallest tiles
-        monkeypatch.setattr(graph, "STRIP_CELLS", 100)
+        monkeypatch.setattr(neighbours, "BLOCK_BYTES", 1)  # smallest blocks
+        monkeypatch.setattr(neighbours, "STRIP", 3)
     want = brute_force(rows, topk)
-    got = {(r.src, r.dst): r.sim for r in graph.top_neighbours(graph.unit_vectors(feature(spark, rows), "f", 1e-8), topk).collect()}
+    units = graph.unit_vectors(feature(spark, rows), "f", 1e-8)
+    got = {(r.src, r.dst): r.sim for r in graph.top_neighbours(units, topk, hot_rows=5, cell=4).collect()}
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_clustered_vectors_cost_few_products(spark):
+    rng = random.Random(0)
+    centres = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(12)]
+    rows = [[c + 0.05 * rng.gauss(0, 1) for c in rng.choice(centres)] for _ in range(900)]
+    units = graph.unit_vectors(feature(spark, rows), "f", 1e-8)
+    got = {(r.src, r.dst): r.sim for r in graph.top_neighbours(units, 5, cell=40).collect()}
+    want = brute_force(rows, 5)
+    assert set(got) == set(want)
+    report = neighbours.products_report(units, 5, cell=40).first()
+    assert report.n_vectors == 900 and report.n_products < 0.25 * 900 ** 2
+    whole = neighbours.products_report(graph.unit_vectors(feature(spark, [[rng.gauss(0, 1) for _ in range(24)] for _ in range(600)]), "f", 1e-8), 5, cell=60).first()
+    assert whole.n_products < 0.65 * 600 ** 2
+
+
+def test_items_of_few_levels_are_dealt_evenly(spark):
+    """A level with a third of all items is no single task's work."""
+    levels = spark.range(60_000, numPartitions=12).select(
+        F.col("id").alias("item_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 6).alias("level"))
+    units = levels.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (i == F.col("level")).cast("double")).alias("unit"))
+    near = graph.top_neighbours(units, 3, hot_rows=2_000)
+    sizes = [r["count"] for r in near.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 180_000 and max(sizes) <= 5 * sorted(sizes)[len(sizes) // 2]
+    assert {(r.dst) for r in near.where("src = 3").collect()} == {0, 6, 9}
+    assert {(r.dst) for r in near.where("src = 59999").collect()} == {5, 11, 17}
+
+
 def test_symmetrize_drops_one_way_negatives(spark):
     edges = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.4), (1, 3, 0.2), (3, 4, -0.1), (5, 6, -0.3), (6, 5, -0.2)], "src long, dst long, sim double")
     got = {(r.src, r.dst): r.sim for r in graph.symmetrize(edges).collect()}
