@@ -6,13 +6,14 @@ import time
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ratingspark.functions.portable import uniform
 from ratingspark.operators.normalize import require_finite
 from ratingspark.operators.folds import require_matching_folds
-from ratingspark.plans.config import DEFAULT_SEED, NO_GRAPH, PARAMETERS, RUNS_SCHEMA, Run, config_from_row
+from ratingspark.plans.config import DEFAULT_SEED, NO_GRAPH, PARAMETERS, RUNS_SCHEMA, ModelConfig, Run, config_from_row
 from ratingspark.plans.fit import FitInput, FitResult, fit_runs, prepare
+from ratingspark.plans.parzen import propose
 
 # Bounds of the search space and stopping rule of studies.
 RANK_RANGE = (1, 150)
@@ -229,7 +230,7 @@ class StudyResult:
 def run_study(
     folded: DataFrame,
     features: DataFrame | None,
-    params: DataFrame,
+    params: DataFrame | ModelBased,
     n_folds: int,
     *,
     users: DataFrame | None = None,
@@ -244,13 +245,18 @@ def run_study(
     folds_seed: int = DEFAULT_SEED,
     saved_folds: tuple[DataFrame, DataFrame] | None = None,
 ) -> StudyResult:
-    """Fit and score the trials of ``params`` (trial + parameter columns).
+    """Fit and score the trials of ``params`` (trial + parameter columns, or a model-based search).
 
     Trials are fitted together, fold after fold. After each fold the median
     rule drops the trials that fall behind the finished ones. With ``path`` the
     scores of every group of ``save_every`` trials are written with the tables
     made of them, and a restarted study skips the trials found there. Tables that
     cannot be written between groups are a warning, at the end an error.
+    A group is a folder of its own that counts once its success marker stands and is
+    replaced when written again, so a crash at any point leaves each trial at most once.
+
+    A ``ModelBased`` search draws its first trials at random; the parameters of every later group
+    are proposed from all trials finished by then.
     """
     spark = folded.sparkSession
     data = prepare(folded, users, items, features)
@@ -260,17 +266,34 @@ def run_study(
         if features is not None:
             require_finite(features)
         names = [name for name, _, _ in data.slices]
-        clipped = normalize_params(params, data.users, data.items, names).orderBy("trial")
-        settings = {r.trial: config_from_row(r, seed) for r in clipped.select("trial", *PARAMETERS).collect()}
+        searching = isinstance(params, ModelBased)
+        settings: dict[int, ModelConfig] = {}
+        known: list[tuple] = []  # trial and parameters as proposed
+
+        def settle(table: DataFrame) -> None:
+            table = table.select("trial", *PARAMETERS)
+            known.extend(tuple(r) for r in table.collect())  # one row per trial
+            clipped = normalize_params(table, data.users, data.items, names).orderBy("trial")
+            settings.update({r.trial: config_from_row(r, seed) for r in clipped.select("trial", *PARAMETERS).collect()})
+
+        if searching:
+            trials = list(range(params.n_trials))
+        else:
+            settle(params)
+            trials = sorted(settings)
         context = {
             "study": F.lit(study), "seed": F.lit(seed), "folds_seed": F.lit(folds_seed), "n_folds": F.lit(n_folds),
             "es_tol": F.lit(tol).cast("double"), "es_min_iters": F.lit(min_iters),
             "matrix_shape": F.array(F.lit(data.users.count()), F.lit(data.items.count())),
             "feature_names": F.array(*[F.lit(x) for x in names]).cast("array<string>"),
         }
-        rows = [tuple(r) for r in _saved_scores(spark, path)]
-        waiting = sorted(set(settings) - {r[0] for r in rows})
-        n_startup = min(5, max(2, len(settings) // 6))
+        rows = [tuple(r) for r in _saved(spark, path, "scores", SCORES_SCHEMA)]
+        if searching:
+            kept = [tuple(r) for r in _saved(spark, path, "params", TRIALS_SCHEMA)]
+            if kept:
+                settle(spark.createDataFrame(kept, TRIALS_SCHEMA))
+        waiting = sorted(set(trials) - {r[0] for r in rows})
+        n_startup = min(5, max(2, len(trials) // 6))
         began = time.monotonic()
         size = max(1, save_every)
         left = max(0, n_startup - sum(1 for n in _count(rows).values() if n == n_folds))
@@ -280,22 +303,46 @@ def run_study(
         for number, group in enumerate(groups):
             if timeout_sec is not None and number and time.monotonic() - began > timeout_sec:
                 break
+            new = [t for t in group if t not in settings]
+            if new:
+                settle(params.next_trials(spark, new, names, _trials(spark, rows, known) if rows else None, seed))
             found = _score_group(data, settings, group, n_folds, rows, n_startup, tol, min_iters)
             rows += found
             if path:
-                spark.createDataFrame(found, SCORES_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/scores")
+                if new:
+                    _save_group(spark.createDataFrame([k for k in known if k[0] in set(new)], TRIALS_SCHEMA), path, "params", group[0])
+                _save_group(spark.createDataFrame(found, SCORES_SCHEMA), path, "scores", group[0])
                 if number + 1 < len(groups):
-                    _save_between(_result(spark, rows, params, path), path, study, context)
+                    _save_between(_result(spark, rows, known, path), path, study, context)
     finally:
         data.release()
-    result = _result(spark, rows, params, path)
+    result = _result(spark, rows, known, path)
     if path:
         save_study(result, path, study, context)
     return result
 
 
-def _result(spark: SparkSession, rows: list[tuple], params: DataFrame, path: str | None) -> StudyResult:
-    trials = summarize_trials(spark.createDataFrame(rows, SCORES_SCHEMA)).join(params, "trial")
+@dataclass(frozen=True)
+class ModelBased:
+    """A search of ``n_trials`` trials; the first group is drawn at random, later ones are proposed."""
+
+    n_trials: int
+    space: SearchSpace = SearchSpace()
+    candidates: int = 24
+
+    def next_trials(self, spark: SparkSession, trials: list[int], feature_names: list[str], finished: DataFrame | None, seed: int) -> DataFrame:
+        new = spark.createDataFrame([(t,) for t in trials], "trial long")
+        if finished is None:
+            return param_grid(new, feature_names, seed, self.space)
+        return propose(new, finished, feature_names, self.space, seed, self.candidates)
+
+
+def _trials(spark: SparkSession, rows: list[tuple], known: list[tuple]) -> DataFrame:
+    return summarize_trials(spark.createDataFrame(rows, SCORES_SCHEMA)).join(spark.createDataFrame(known, TRIALS_SCHEMA), "trial")
+
+
+def _result(spark: SparkSession, rows: list[tuple], known: list[tuple], path: str | None) -> StudyResult:
+    trials = _trials(spark, rows, known)
     return StudyResult(trials, study_summary(trials), best_trial(trials), path)
 
 
@@ -309,15 +356,23 @@ def _save_between(result: StudyResult, path: str, study: str, context: dict[str,
 SCORES_SCHEMA = "trial long, fold int, rmse double, iters int, n_iters int, n_folds int, seconds double"
 
 
-def _saved_scores(spark: SparkSession, path: str | None) -> list:
+TRIALS_SCHEMA = T.StructType([T.StructField("trial", T.LongType()), *[RUNS_SCHEMA[name] for name in PARAMETERS]])
+
+
+def _save_group(rows: DataFrame, path: str, kind: str, group: int) -> None:
+    """Write a group in a folder of its own; written again, it takes the place of the first attempt."""
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{kind}/group={group:08d}")
+
+
+def _saved(spark: SparkSession, path: str | None, kind: str, schema) -> list:
+    """Rows of the groups whose success marker stands."""
     if not path:
         return []
-    try:
-        return spark.read.schema(SCORES_SCHEMA).parquet(f"{path}/scores").collect()  # trials x folds
-    except Exception as error:  # nothing saved yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{path}/{kind}/group=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    folders = [str(f.getPath().getParent()) for f in found or []]
+    return spark.read.schema(schema).parquet(*folders).collect() if folders else []  # trials x folds
 
 
 def _score_group(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ratingspark.operators import stats
 from ratingspark.operators.baselines import fold_scores
 from ratingspark.operators.folds import assign_folds
-from ratingspark.plans import ablation, study
+from ratingspark.plans import ablation, parzen, study
 from ratingspark.plans.config import RUNS_SCHEMA
 from ratingspark.plans.fit import fit_runs
 from ratingspark.workload import views as v
@@ -219,12 +219,46 @@ def cv_score(spark, sf):
 LOW_RANKS = study.SearchSpace(n_factors=(1, 3), n_iters=2, topk=(10, 10), graph_eps=(1e-8, 1e-8))
 
 
+def _side(good: str) -> str:
+    """Kernels of one side and what a density at ``p`` is."""
+    return f"""list(x ORDER BY x) FILTER ({good}) AS c, 0.6 * greatest(1.06 * coalesce(stddev_pop(x) FILTER ({good}), 0)
+* pow(greatest(count(x) FILTER ({good}), 1), -0.2), 1.0 / least(100, count(x) FILTER ({good}) + 1)) AS w"""
+
+
+DENSITY = """(1 + coalesce(list_sum(list_transform(c, lambda m: exp(-abs((p - m) / w)) / (w * pow(1 + exp(-abs((p - m) / w)), 2))
+/ (1 / (1 + exp(-(1 - m) / w)) - 1 / (1 + exp(m / w))))), 0)) / (coalesce(len(c), 0) + 1)"""
+
+
+@query(
+    "parzen_ratio",
+    f"""WITH {GRID}, t AS (SELECT grid.*, s_acctbal AS value, trial % 4 <> 0 AS done FROM grid JOIN supplier ON trial = s_suppkey),
+ranked AS (SELECT *, done AND row_number() OVER (ORDER BY CASE WHEN done THEN 0 ELSE 1 END, value, trial)
+<= least(ceil(0.1 * count(*) FILTER (done) OVER ()), 25) AS good FROM t),
+rows AS (SELECT param, good, greatest(0, least(1, x)) AS x FROM ranked, LATERAL (VALUES ('n_factors', (n_factors - 0.5) / 150),
+('lambda_u', ln(lambda_u / 1e-4) / ln(1e8)), ('alpha', alpha / 100), ('lambda_w_size', ln(lw_size / 1e-4) / ln(1e8))) AS u(param, x)),
+sides AS (SELECT param, 1 AS sign, {_side('good')} FROM rows GROUP BY 1 UNION ALL SELECT param, -1, {_side('NOT good')} FROM rows GROUP BY 1)
+SELECT param, p AS point, round(sum(sign * ln({DENSITY})), 6) + 0.0 AS log_ratio
+FROM sides, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS p) GROUP BY 1, 2""",
+)
+def parzen_ratio(spark, sf):
+    """How much likelier parameters are among the good trials; account balances stand for values."""
+    value = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("trial"), F.col("s_acctbal").cast("double").alias("value"))
+    state = F.when(F.col("trial") % 4 != 0, "COMPLETE").otherwise("PRUNED")
+    axes = [a for a in parzen.axes(study.SearchSpace(), NAMES) if a.name in ("n_factors", "lambda_u", "alpha", "lambda_w_size")]
+    row = parzen.densities(parzen.split_trials(_grid(spark, sf).join(value, "trial").withColumn("state", state)), axes)
+    points = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    each = row.select("*", points.alias("point")).select("point", F.explode(F.create_map(*[
+        x for a in axes for x in (F.lit(a.name), parzen.log_ratio(F.col("point"), F.col("of_" + a.name)))])).alias("param", "log_ratio"))
+    return each.select("param", "point", v.r6("log_ratio"))
+
+
 @query("tune_study")
 def tune_study(spark, sf):
-    """Random search, one trial per supplier, with pruning between folds."""
+    """As many trials as suppliers, in waves proposed from the finished ones, with pruning between folds."""
+    search = study.ModelBased(v.table(spark, sf, "supplier").count(), LOW_RANKS)
     result = study.run_study(
-        assign_folds(v.ratings(spark, sf), 3), v.scalar_features(spark, sf), _grid(spark, sf, LOW_RANKS), 3,
-        users=v.users(spark, sf), items=v.items(spark, sf),
+        assign_folds(v.ratings(spark, sf), 3), v.scalar_features(spark, sf), search, 3,
+        users=v.users(spark, sf), items=v.items(spark, sf), save_every=4,
     )
     return result.trials.select("trial", "state", F.round("value", 6).alias("value"), "mean_iters", "n_factors")
 
