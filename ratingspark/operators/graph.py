@@ -38,6 +38,49 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return largest.select("src", "dst", sim.alias("sim")).where(F.col("sim") != 0)
 
 
+def edge_violations(edges: DataFrame, items: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(rule, src, dst) of edges that no graph of ``items`` can have, one row per rule and directed edge.
+
+    Both ends have to be items, an edge stands once, has its reverse with the same similarity,
+    is no loop and is finite. One grouping by unordered pair answers all but the first;
+    no pair is compared with another.
+    """
+    forward = F.coalesce(F.col("src") <= F.col("dst"), F.lit(True))  # a missing end is an unknown one
+    pairs = edges.select(
+        F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"),
+        forward.alias("forward"), F.col("sim").cast("double").alias("sim"))
+    finite = F.col("sim").isNotNull() & ~F.isnan("sim") & (F.abs("sim") < float("inf"))
+    of = lambda side, value: F.when(F.col("forward") if side else ~F.col("forward"), value)
+    sides = pairs.groupBy("a", "b").agg(*[
+        expression.alias(name + tag) for tag, side in (("_ab", True), ("_ba", False)) for name, expression in (
+            ("n", F.count(of(side, F.lit(1)))), ("low", F.min(of(side, F.col("sim")))), ("high", F.max(of(side, F.col("sim")))),
+            ("bad", F.count_if(of(side, ~finite))))])
+    known = items.select("item_id").distinct()
+    for end in ("a", "b"):
+        sides = sides.join(known.select(F.col("item_id").alias(end), F.lit(True).alias("known_" + end)), end, "left")
+    loop = F.col("a").eqNullSafe(F.col("b"))
+    unlike = (F.abs(F.col("low_ab") - F.col("low_ba")) > tolerance) | (F.abs(F.col("high_ab") - F.col("high_ba")) > tolerance)
+    one_way = ~loop & ((F.col("n_ab") == 0) | (F.col("n_ba") == 0) | F.coalesce(unlike, F.lit(True)))
+    unknown = F.col("known_a").isNull() | F.col("known_b").isNull()
+
+    def rows(tag: str, src: str, dst: str) -> DataFrame:
+        here = F.col("n" + tag) > 0
+        rules = F.filter(F.array(
+            F.when(here & unknown, "unknown end"), F.when(here & (F.col("n" + tag) > 1), "repeated"), F.when(here & one_way, "one way"),
+            F.when(here & loop, "self"), F.when(here & (F.col("bad" + tag) > 0), "not finite")), lambda r: r.isNotNull())
+        return F.transform(rules, lambda r: F.struct(r.alias("rule"), F.col(src).alias("src"), F.col(dst).alias("dst")))
+
+    both = F.concat(rows("_ab", "a", "b"), rows("_ba", "b", "a"))
+    return sides.select(F.explode(both).alias("e")).select("e.*")
+
+
+def check_edges(name: str, edges: DataFrame, items: DataFrame) -> None:
+    """Raise, with examples, if ``edges`` is no symmetric graph of ``items``."""
+    bad = edge_violations(edges, items).take(5)
+    if bad:
+        raise ValueError(f"edges of graph {name!r}: " + ", ".join(f"{r.rule} {r.src} -> {r.dst}" for r in bad))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum("sim").alias("degree"))
 

@@ -12,6 +12,7 @@ same sums, which saves another pass over the ratings.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ratingspark.functions.keyed_sums import sum_vectors
 from ratingspark.operators.layout import Layout
+from ratingspark.operators.systems import DEFINITE, solve_systems
 from ratingspark.plans.config import EPS, Run
 
 VECTOR = T.ArrayType(T.DoubleType())
@@ -44,6 +46,8 @@ RESULT_SCHEMA = T.StructType(
         T.StructField("err", T.DoubleType()),  # sum of training residuals
         T.StructField("sq_err", T.DoubleType()),  # sum of their squares
         T.StructField("sums", VECTOR),  # sums of a part, of a feature column or of an item
+        T.StructField("status", T.IntegerType()),  # of the solved system, see ``systems``
+        T.StructField("seconds", T.DoubleType()),  # of a task for one run, on one row of it
     ]
 )
 RESULT_ARROW = to_arrow_schema(RESULT_SCHEMA)
@@ -210,11 +214,12 @@ def _quadratic(gram: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _solve(step: RunStep, sums: dict[str, np.ndarray], own: dict[str, np.ndarray | None]):
-    """Updated vectors and biases; owners without ratings keep theirs."""
+    """Updated vectors and biases, and how each system went; owners without ratings keep theirs."""
     vec, bias = own["vec"].copy(), own["bias"].copy()
     rated = sums["n"] > 0
+    status = np.full(len(vec), DEFINITE, dtype=np.int32)
     if not rated.any():
-        return vec, bias
+        return vec, bias, status
     n, s = sums["n"][rated], sums["s"][rated]
     penalty = step.penalty / np.sqrt(n + 1.0) if step.by_popularity else np.full(len(n), step.penalty)
     ridge = penalty + EPS
@@ -223,10 +228,10 @@ def _solve(step: RunStep, sums: dict[str, np.ndarray], own: dict[str, np.ndarray
         ridge = ridge + step.alpha * own["degree"][rated]
         rhs = rhs + step.alpha * own["pull"][rated]
     lhs = sums["G"][rated] + ridge[:, None, None] * np.eye(step.k)
-    vec[rated] = np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0]
+    vec[rated], status[rated] = solve_systems(lhs, rhs)
     left = sums["t"][rated] - np.einsum("ij,ij->i", s, vec[rated])
     bias[rated] = left / (n + step.bias_penalty + EPS)
-    return vec, bias
+    return vec, bias, status
 
 
 def _residuals(sums: dict[str, np.ndarray], bias: np.ndarray, z: np.ndarray):
@@ -273,7 +278,7 @@ def _list_array(matrix: np.ndarray | None, length: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def _result(kind, run_id, ids, vec=None, bias=None, shift=None, n=None, err=None, sq_err=None, sums=None):
+def _result(kind, run_id, ids, vec=None, bias=None, shift=None, n=None, err=None, sq_err=None, sums=None, status=None):
     size = len(ids)
 
     def column(values, type_):
@@ -291,11 +296,20 @@ def _result(kind, run_id, ids, vec=None, bias=None, shift=None, n=None, err=None
             column(err, pa.float64()),
             column(sq_err, pa.float64()),
             _list_array(sums, size),
+            column(status, pa.int32()),
+            pa.nulls(size, pa.float64()),
         ],
         schema=RESULT_ARROW,
     )
 
 
+def _timed(tables: list[pa.Table], seconds: float) -> None:
+    """Put the time of one run on the first row of its last result."""
+    if tables and tables[-1].num_rows:
+        column = pa.array([seconds] + [None] * (tables[-1].num_rows - 1), pa.float64())
+        tables[-1] = tables[-1].set_column(tables[-1].schema.get_field_index("seconds"), "seconds", column)
+
+
 class _Output:
     """Result rows of one group; the projection equations are summed per run."""
 
@@ -305,13 +319,13 @@ class _Output:
 
     def finish(self, run_id: int, step: RunStep, ids, sums, own) -> None:
         """Add the owners whose sums are complete."""
-        vec, bias = _solve(step, sums, own)
+        vec, bias, status = _solve(step, sums, own)
         shift = own["shift"]
         err = sq_err = None
         if step.measures_error:
             err, sq_err = _residuals(sums, bias, vec if shift is None else vec + shift)
         flat = _flatten(sums, np.arange(len(ids))) if step.keeps_sums else None
-        self.tables.append(_result(SOLVED, run_id, ids, vec, bias, shift, sums["n"], err, sq_err, flat))
+        self.tables.append(_result(SOLVED, run_id, ids, vec, bias, shift, sums["n"], err, sq_err, flat, status))
         if step.projections_due and sums["n"].any():
             new = _projection_equations(sums, vec, bias, own["x"])
             old = self.equations.get(run_id)
@@ -357,7 +371,7 @@ def _block_update(steps: dict[int, RunStep]) -> Callable[[pa.Table, pa.Table], p
         out = _Output()
         block = _Block(ratings)
         for run_id, own_rows, other_rows in _by_run(state):
-            step = steps[run_id]
+            step, began, before = steps[run_id], time.perf_counter(), len(out.tables)
             ids = own_rows["id"].to_numpy()
             own = _own_arrays(_matrix(own_rows["packed"], 1 + step.k), step)
             seen = _matrix(other_rows["packed"], 1 + step.k)
@@ -380,6 +394,7 @@ def _block_update(steps: dict[int, RunStep]) -> Callable[[pa.Table, pa.Table], p
                     sums = {name: value[whole] for name, value in sums.items()}
                 if whole.any():
                     out.finish(run_id, step, ids[some][whole], sums, _pick(_pick(own, some), whole))
+            _timed(out.tables[before:] and out.tables, time.perf_counter() - began)
         tables = out.drain()
         return pa.concat_tables(tables) if tables else RESULT_ARROW.empty_table()
 
@@ -396,10 +411,11 @@ def _parts_update(steps: dict[int, RunStep]):
             runs = table["run_id"].to_numpy()
             for run_id in np.unique(runs):
                 rows = table.filter(pa.array(runs == run_id))
-                step = steps[int(run_id)]
+                step, began = steps[int(run_id)], time.perf_counter()
                 sums = _unflatten(_matrix(rows["sums"]), step.k)
                 own = _own_arrays(_matrix(rows["packed"]), step)
                 out.finish(int(run_id), step, rows["id"].to_numpy(), sums, own)
+                _timed(out.tables, time.perf_counter() - began)
             tables, out.tables = out.tables, []
             for part in tables:
                 yield from part.combine_chunks().to_batches()
@@ -453,7 +469,7 @@ def half_step(layout: Layout, own: DataFrame, other: DataFrame, steps: dict[int,
 
 
 def held_out_errors(layout: Layout, users: DataFrame, items: DataFrame, steps: dict[int, RunStep]) -> DataFrame:
-    """(run_id, item_id, n, sq_err) over the ratings of each run's own fold.
+    """(run_id, item_id, n, sq_err, seconds) over the ratings of each run's own fold.
 
     Predictions are used where the ratings lie, so no vector is joined to a
     rating row; only one small sum per block, run and item leaves the task.
@@ -463,9 +479,9 @@ def held_out_errors(layout: Layout, users: DataFrame, items: DataFrame, steps: d
 
     def score(ratings: pa.Table, state: pa.Table) -> pa.Table:
         block = _Block(ratings)
-        out = {"run_id": [], "item_id": [], "n": [], "sq_err": []}
+        out = {"run_id": [], "item_id": [], "n": [], "sq_err": [], "seconds": []}
         for run_id, own_rows, other_rows in _by_run(state):
-            step = steps[run_id]
+            step, began = steps[run_id], time.perf_counter()
             item_ids = other_rows["id"].to_numpy()
             at, other_at = block.positions(own_rows["id"].to_numpy(), item_ids)
             held = block.fold == step.fold
@@ -479,13 +495,16 @@ def held_out_errors(layout: Layout, users: DataFrame, items: DataFrame, steps: d
             out["item_id"].append(item_ids[seen])
             out["n"].append(n[seen])
             out["sq_err"].append(np.bincount(other_at, weights=sq_err, minlength=len(item_ids))[seen])
+            out["seconds"].append(np.zeros(len(seen)))
+            out["seconds"][-1][:1] = time.perf_counter() - began
         return pa.table({name: np.concatenate(v) if v else np.zeros(0) for name, v in out.items()}).cast(
-            pa.schema([("run_id", pa.int32()), ("item_id", pa.int64()), ("n", pa.int64()), ("sq_err", pa.float64())])
+            pa.schema([("run_id", pa.int32()), ("item_id", pa.int64()), ("n", pa.int64()), ("sq_err", pa.float64()), ("seconds", pa.float64())])
         )
 
     part = (
         layout.ratings.groupBy("block")
         .cogroup(state.groupBy("block"))
-        .applyInArrow(score, "run_id int, item_id long, n long, sq_err double")
+        .applyInArrow(score, "run_id int, item_id long, n long, sq_err double, seconds double")
     )
-    return part.groupBy("run_id", "item_id").agg(F.sum("n").alias("n"), F.sum("sq_err").alias("sq_err"))
+    return part.groupBy("run_id", "item_id").agg(
+        F.sum("n").alias("n"), F.sum("sq_err").alias("sq_err"), F.sum("seconds").alias("seconds"))

@@ -148,3 +148,14 @@ def build_layout(
     )
     layout.route.count()
     return layout
+
+
+def require_unique(layout: Layout) -> None:
+    """Raise if some user has two ratings of an item.
+
+    Both lie in the same block, also when the user or item is cut into parts, so the grouping needs
+    no shuffle beyond that of the layout.
+    """
+    twice = layout.ratings.groupBy("block", "own", "other").count().where("count > 1").take(3)
+    if twice:
+        raise ValueError("ratings given more than once: " + ", ".join(f"({r.own}, {r.other}) {r['count']} times" for r in twice))

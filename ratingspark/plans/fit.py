@@ -8,7 +8,6 @@ Each iteration is two shuffles of state rows, never of ratings.
 from __future__ import annotations
 
 import math
-import time
 import warnings
 from dataclasses import dataclass, field
 from functools import reduce
@@ -19,10 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ratingspark.functions import portable
 from ratingspark.functions.vectors import add, finite_or_null, sum_squares
-from ratingspark.operators.graph import GraphStore
+from ratingspark.operators.graph import GraphStore, check_edges
 from ratingspark.operators.half_steps import SOLVED, half_step, held_out_errors, run_steps
-from ratingspark.operators.layout import MAX_ROWS, build_layout
+from ratingspark.operators.layout import MAX_ROWS, build_layout, require_unique
 from ratingspark.operators import projections
+from ratingspark.operators.systems import DEFINITE, STATUS
 from ratingspark.operators.projections import (
     check_features,
     iterate_projections,
@@ -52,12 +52,18 @@ class FitResult:
     history: list[tuple]
     weights: dict[int, np.ndarray]
     slices: list[tuple[str, int, int]]
-    seconds: dict[int, float]
-    held_out: DataFrame | None = None  # run_id, item_id, n, sq_err
+    seconds: dict[int, float]  # of tasks, for half steps and held-out predictions
+    held_out: DataFrame | None = None  # run_id, item_id, n, sq_err, seconds
+    issues: list[DataFrame] = field(default_factory=list)
 
     def history_frame(self) -> DataFrame:
         return self.users.sparkSession.createDataFrame(self.history, HISTORY_SCHEMA)
 
+    def solve_issues(self) -> DataFrame:
+        """Systems that were not definite: (run_id, iter, side, id, status)."""
+        none = self.users.sparkSession.createDataFrame([], "run_id int, iter int, side string, id long, status string")
+        return reduce(DataFrame.unionByName, self.issues, none)
+
     def iterations(self) -> dict[int, int]:
         done: dict[int, int] = {}
         for row in self.history:
@@ -105,7 +111,7 @@ def prepare(
     edges: dict[str, DataFrame] | None = None,
     max_rows: int = MAX_ROWS,
 ) -> FitInput:
-    """Cluster the ratings both ways and check the features.
+    """Cluster the ratings both ways and check ratings, features and edges.
 
     ``ratings`` is (user_id, item_id, rating) and optionally ``fold``;
     ``features`` is (feature, item_id, x); ``edges`` maps a graph feature to a
@@ -138,6 +144,7 @@ def prepare(
     all_users = universe(users, "user_id").persist()
     all_items = universe(items, "item_id").persist()
     by_user = build_layout(base, "user_id", "item_id", n_rows, max_rows)
+    require_unique(by_user)
     by_item = build_layout(base, "item_id", "user_id", n_rows, max_rows)
     all_users.count()
     scratch = [all_users, all_items]
@@ -147,6 +154,8 @@ def prepare(
         stacked, slices = stack_features(features)
         stacked = stacked.persist()
         scratch.append(stacked)
+    for name, table in (edges or {}).items():
+        check_edges(name, table, all_items)
     graphs = GraphStore(features, edges or {})
     base.unpersist()
     return FitInput(
@@ -209,7 +218,7 @@ def _enriched(items: DataFrame) -> DataFrame:
 
 
 def _measures(users: DataFrame, items: DataFrame) -> tuple[dict, dict]:
-    """Squared norms and error sums per run, in one job."""
+    """Squared norms, error sums, task seconds and doubtful systems per run, in one job."""
 
     def sums(df: DataFrame, side: str) -> DataFrame:
         errors = side == "item"
@@ -220,6 +229,8 @@ def _measures(users: DataFrame, items: DataFrame) -> tuple[dict, dict]:
             (F.sum("n") if errors else F.lit(0)).cast("double").alias("n"),
             (F.sum("err") if errors else F.lit(0.0)).alias("err"),
             (F.sum("sq_err") if errors else F.lit(0.0)).alias("sq_err"),
+            F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"),
+            F.count_if(F.col("status") != DEFINITE).alias("doubtful"),
         )
 
     found: dict[str, dict] = {"user": {}, "item": {}}
@@ -228,6 +239,12 @@ def _measures(users: DataFrame, items: DataFrame) -> tuple[dict, dict]:
     return found["user"], found["item"]
 
 
+def _doubtful(df: DataFrame, side: str, iteration: int) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    return df.where(F.col("status") != DEFINITE).select(
+        "run_id", F.lit(iteration).alias("iter"), F.lit(side).alias("side"), "id", names[F.col("status")].alias("status"))
+
+
 def _converged(curve: list[float], run: Run) -> bool:
     """Training error fell by at most ``tol`` over the last two iterations."""
     if run.tol is None or len(curve) < max(3, run.min_iters):
@@ -262,13 +279,13 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
     seconds = {run.run_id: 0.0 for run in runs}
     done_users: list[DataFrame] = []
     done_items: list[DataFrame] = []
+    issues: list[DataFrame] = []
     iteration = 0
     while active:
-        began = time.perf_counter()
         due = {r.run_id for r in active if data.slices and r.refits_projections(iteration)}
         users = cut_lineage(
             half_step(data.by_user, users, _enriched(items), run_steps(active, mu, "user"))
-            .select("run_id", "id", "vec", "bias")
+            .select("run_id", "id", "vec", "bias", "status", "seconds")
         )
         data.by_user.drop_scratch()
         wide = {r for r in due if data.slices[-1][2] * by_id[r].config.n_factors > projections.MAX_EQUATIONS}
@@ -282,9 +299,8 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
         steps = run_steps(active, mu, "item", direct, linked, bool(shift), wide)
         result = cut_lineage(half_step(data.by_item, own, users, steps))
         data.by_item.drop_scratch()
-        items = result.where(F.col("kind") == SOLVED).select(
-            "run_id", "id", "vec", "bias", "shift", "n", "err", "sq_err"
-        )
+        solved = result.where(F.col("kind") == SOLVED)
+        items = solved.select("run_id", "id", "vec", "bias", "shift", "n", "err", "sq_err")
         refit = {}
         if due:
             if direct:
@@ -297,8 +313,10 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
             fresh = with_shift(items.where(F.col("run_id").isin(sorted(due))), data.stacked, weights)
             items = fresh if len(due) == len(active) else fresh.unionByName(stale)
 
-        user_sums, item_sums = _measures(users, items)
-        spent = (time.perf_counter() - began) / len(active)
+        user_sums, item_sums = _measures(users, solved)
+        for side, table, found in (("user", users, user_sums), ("item", solved, item_sums)):
+            if any(row.doubtful for row in found.values()):
+                issues.append(_doubtful(table, side, iteration + 1))
         stopped = []
         for run in active:
             r, u, i = run.run_id, user_sums[run.run_id], item_sums[run.run_id]
@@ -315,7 +333,7 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
                 (r, iteration + 1, mu[r], rmse, math.sqrt(u.vec2), math.sqrt(i.vec2),
                  math.sqrt(u.bias2), math.sqrt(i.bias2))
             )
-            seconds[r] += spent
+            seconds[r] += u.seconds + i.seconds
             if iteration + 1 >= run.config.n_iters or _converged(curves[r], run) or not math.isfinite(rmse):
                 stopped.append(r)
         if stopped:
@@ -335,7 +353,7 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
     final_items = final_items.select(
         "run_id", F.col("id").alias("item_id"), F.col("vec").alias("v"), F.col("bias").alias("b_i"), "z"
     )
-    return FitResult(runs, final_users, final_items, mu, history, weights, data.slices, seconds)
+    return FitResult(runs, final_users, final_items, mu, history, weights, data.slices, seconds, None, issues)
 
 
 def score_held_out(data: FitInput, fit: FitResult) -> DataFrame:
@@ -354,6 +372,8 @@ def fit_runs(data: FitInput, runs: list[Run], score: bool = False) -> FitResult:
         part = _fit_batch(data, group)
         if score:
             part.held_out = cut_lineage(score_held_out(data, part))
+            for row in part.held_out.groupBy("run_id").agg(F.sum("seconds").alias("seconds")).collect():  # one row per run
+                part.seconds[row.run_id] += row.seconds
         parts.append(part)
     merged = parts[0]
     for part in parts[1:]:
@@ -367,5 +387,6 @@ def fit_runs(data: FitInput, runs: list[Run], score: bool = False) -> FitResult:
             merged.slices,
             {**merged.seconds, **part.seconds},
             merged.held_out.unionByName(part.held_out) if score else None,
+            merged.issues + part.issues,
         )
     return merged

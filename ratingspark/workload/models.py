@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratingspark.functions import portable
 from ratingspark.functions.vectors import rounded
-from ratingspark.operators import folds, graph, metrics, neighbours, scoring, topn
+from ratingspark.operators import folds, graph, metrics, neighbours, scoring, systems, topn
 from ratingspark.operators.half_steps import SOLVED, half_step, run_steps
 from ratingspark.plans.config import ModelConfig, Run, with_fold
 from ratingspark.plans.fit import FitInput, FitResult, _enriched, _initial_state, fit_runs, prepare
@@ -111,6 +111,28 @@ def ridge_solve(spark, sf):
     return users.select("run_id", F.col("id").alias("user_id"), F.col("vec").alias("u")).select("run_id", "user_id", _first("u"))
 
 
+@query(
+    "solve_report",
+    """WITH s AS (SELECT c_nationkey AS id, c_nationkey % 3 AS kind, count(*)::DOUBLE AS n, sum(CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 1 + c_custkey % 7 END)::DOUBLE AS b,
+sum(CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE (1 + c_custkey % 7) * (1 + c_custkey % 7) END)::DOUBLE - CASE WHEN c_nationkey % 3 = 1 THEN 100 * count(*) ELSE 0 END AS d,
+sum(c_custkey % 5)::DOUBLE AS p, sum(c_custkey % 11)::DOUBLE AS q FROM customer GROUP BY 1)
+SELECT id, CASE WHEN n * d = b * b THEN 'singular' WHEN n * d > b * b THEN 'definite' ELSE 'indefinite' END AS status,
+round(CASE WHEN n * d = b * b THEN (p + q) / (4 * n) ELSE (p * d - b * q) / (n * d - b * b) END, 9) + 0.0 AS x0,
+round(CASE WHEN n * d = b * b THEN (p + q) / (4 * n) ELSE (n * q - b * p) / (n * d - b * b) END, 9) + 0.0 AS x1 FROM s WHERE n > 2""",
+)
+def solve_report(spark, sf):
+    """A line through the customers of each nation: every third nation's system is singular, every third indefinite."""
+    kind, x = F.col("c_nationkey") % 3, 1 + F.col("c_custkey") % 7
+    rows = v.table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("id"), kind.alias("kind"), F.when(kind == 0, 1).otherwise(x).alias("x"), F.col("c_custkey").alias("c"))
+    sums = rows.groupBy("id", "kind").agg(
+        F.count("*").alias("n"), F.sum("x").alias("b"), F.sum(F.col("x") * F.col("x")).alias("d"), F.sum(F.col("c") % 5).alias("p"), F.sum(F.col("c") % 11).alias("q"))
+    last = F.col("d") - F.when(F.col("kind") == 1, 100 * F.col("n")).otherwise(0)
+    table = sums.where("n > 2").select("id", F.array("n", "b", "b", last).alias("lhs"), F.array("p", "q").alias("rhs"))
+    return systems.solve_report(table, 2, "id").select(
+        "id", "status", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")).select("id", "status", v.r6("x0", 9), v.r6("x1", 9))
+
+
 @query(
     "als_fit_k1",
     f"""WITH {fit_sql(TWO, 2)} SELECT run_id, 'U' AS side, user_id AS id, round(u, 6) + 0.0 AS factor, round(b_u, 6) + 0.0 AS bias FROM users2
@@ -336,6 +358,29 @@ def graph_degree(spark, sf):
     return graph.degrees(_edges(spark, sf, "type", 5)).select("src", v.r6("degree"))
 
 
+@query(
+    "edge_violations",
+    """WITH e AS (SELECT ps.a AS src, ps.b AS dst, ps.s AS sim FROM (
+SELECT l_partkey AS a, l_suppkey AS b, min(l_quantity)::DOUBLE AS s FROM lineitem GROUP BY 1, 2
+UNION ALL SELECT l_suppkey, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN 0.5 ELSE min(l_quantity)::DOUBLE END FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey, l_suppkey) ps),
+once AS (SELECT src, dst, count(*) AS n, min(sim) AS low, max(sim) AS high FROM e GROUP BY 1, 2),
+bad AS (SELECT 'repeated' AS rule, src, dst FROM once WHERE n > 1 UNION ALL SELECT 'self', src, dst FROM once WHERE src = dst
+UNION ALL SELECT 'one way', a.src, a.dst FROM once a LEFT JOIN once b ON a.src = b.dst AND a.dst = b.src
+  WHERE a.src <> a.dst AND (b.src IS NULL OR abs(a.low - b.low) > 1e-9 OR abs(a.high - b.high) > 1e-9)
+UNION ALL SELECT 'unknown end', src, dst FROM once WHERE src NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0)
+  OR dst NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0))
+SELECT rule, count(*) AS n_edges, sum(src)::BIGINT AS src_sum, sum(dst)::BIGINT AS dst_sum FROM bad GROUP BY 1""",
+)
+def edge_violations(spark, sf):
+    """What is wrong with edges between parts and suppliers taken as a graph of parts: counts by rule."""
+    pair = v.table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_quantity").cast("double").alias("s"))
+    back = pair.where("l_partkey % 7 <> 0").select(
+        F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_partkey") % 5 == 0, 0.5).otherwise(F.col("s")).alias("sim"))
+    edges = pair.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("s").alias("sim")).unionByName(back)
+    found = graph.edge_violations(edges, v.items(spark, sf).where("item_id % 9 <> 0"))
+    return found.groupBy("rule").agg(F.count("*").alias("n_edges"), F.sum("src").alias("src_sum"), F.sum("dst").alias("dst_sum"))
+
+
 LINKED_SQL = fit_sql(LINKED, 1, edges=TYPE_EDGES)
 
 
