@@ -230,6 +230,11 @@ def iterate_projections(
             turn = np.where(active & (before > 0), after / np.where(before > 0, before, 1.0), 0.0)[owner][:, None]
             s["way"] = np.where(active[owner][:, None], s["scale"] * s["left"] + turn * way, 0.0)
 
+    unfinished = {r: [slices[f][0] for f in np.flatnonzero(_open(s, slices))] for r, s in state.items() if np.any(_open(s, slices))}
+    if unfinished:
+        rows.unpersist()
+        raise ArithmeticError(f"projection equations not solved to {CG_TOLERANCE}, by run: {unfinished}; raise lambda_w or drop dependent columns")
+
     def measure(run_id, sums, vec, bias, x):
         err, sq_err = _residuals(sums, bias, vec + x @ state[run_id]["w"])
         out = np.zeros((width, 3))

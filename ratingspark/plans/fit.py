@@ -31,6 +31,7 @@ from ratingspark.operators.projections import (
     with_shift,
 )
 from ratingspark.plans.config import Run
+from ratingspark.plans.manifest import fit_key, load_state, save_state
 from ratingspark.session import cut_lineage
 
 STATE_CELLS = 160_000_000  # numbers of state a task may hold for its block
@@ -252,7 +253,7 @@ def _converged(curve: list[float], run: Run) -> bool:
     return curve[-3] - curve[-1] <= run.tol
 
 
-def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
+def _fit_batch(data: FitInput, runs: list[Run], resume: str | None = None) -> FitResult:
     by_id = {run.run_id: run for run in runs}
     mu = {run.run_id: data.mean_outside(run.fold) for run in runs}
     weights: dict[int, np.ndarray] = {}
@@ -265,12 +266,6 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
                     for name, start, end in data.slices
                 ]
             )
-    users = _initial_state(data.users, "user_id", "U", runs)
-    items = _initial_state(data.items, "item_id", "V", runs)
-    if data.slices:
-        items = with_shift(items, data.stacked, weights)
-    users, items = cut_lineage(users), cut_lineage(items)
-
     linked = data.graphs.usable(runs)
     shift = ["shift"] if data.slices else []
     active = list(runs)
@@ -281,6 +276,18 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
     done_items: list[DataFrame] = []
     issues: list[DataFrame] = []
     iteration = 0
+    saved = load_state(data.ratings.sparkSession, resume, fit_key(data, runs)) if resume else None
+    if saved is None:
+        users = _initial_state(data.users, "user_id", "U", runs)
+        items = _initial_state(data.items, "item_id", "V", runs)
+        if data.slices:
+            items = with_shift(items, data.stacked, weights)
+        users, items = cut_lineage(users), cut_lineage(items)
+    else:
+        iteration, mu, weights, curves, history, seconds = (
+            saved.iteration, saved.mu, saved.weights, saved.curves, saved.history, saved.seconds)
+        users, items, done_users, done_items = saved.users, saved.items, saved.done_users, saved.done_items
+        active = [run for run in runs if run.run_id in saved.active]
     while active:
         due = {r.run_id for r in active if data.slices and r.refits_projections(iteration)}
         users = cut_lineage(
@@ -343,6 +350,9 @@ def _fit_batch(data: FitInput, runs: list[Run]) -> FitResult:
             active = [run for run in active if run.run_id not in set(stopped)]
             users, items = users.where(~gone), items.where(~gone)
         iteration += 1
+        if resume:
+            save_state(resume, fit_key(data, runs), iteration, users, items, (done_users[-1], done_items[-1]) if stopped else None,
+                       [run.run_id for run in active], mu, weights, curves, history, seconds)
 
     final_users = reduce(DataFrame.unionByName, done_users).select(
         "run_id", F.col("id").alias("user_id"), F.col("vec").alias("u"), F.col("bias").alias("b_u")
@@ -364,12 +374,17 @@ def score_held_out(data: FitInput, fit: FitResult) -> DataFrame:
     return held_out_errors(data.by_user, users, items, steps)
 
 
-def fit_runs(data: FitInput, runs: list[Run], score: bool = False) -> FitResult:
-    """Fit every run; with ``score`` also measure it on its held-out fold."""
+def fit_runs(data: FitInput, runs: list[Run], score: bool = False, resume: str | None = None) -> FitResult:
+    """Fit every run; with ``score`` also measure it on its held-out fold.
+
+    With ``resume``, a folder that all machines share, the state is saved after each iteration, and
+    the same fit started again goes on behind the last one whose manifest stands. The folder has to
+    stay as long as the result is used. (``solve_issues`` then has those since the restart.)
+    """
     parts = []
     block_rows = max(data.by_user.block_rows, data.by_item.block_rows)
-    for group in batches(runs, block_rows):
-        part = _fit_batch(data, group)
+    for number, group in enumerate(batches(runs, block_rows)):
+        part = _fit_batch(data, group, f"{resume}/batch={number:05d}" if resume else None)
         if score:
             part.held_out = cut_lineage(score_held_out(data, part))
             for row in part.held_out.groupBy("run_id").agg(F.sum("seconds").alias("seconds")).collect():  # one row per run

@@ -27,11 +27,37 @@ class FittedModel:
     def _items(self, use_features: bool) -> DataFrame:
         return self.items if use_features else self.items.withColumn("z", F.col("v"))
 
-    def predict(self, pairs: DataFrame, use_features: bool = True) -> DataFrame:
-        """``pairs`` (user_id, item_id, ...) with a ``prediction`` column."""
+    def _given(self, features: DataFrame) -> DataFrame:
+        """Items under ``features`` (feature, item_id, x) instead of those of the fit.
+
+        A feature that is not given adds nothing; an item without a row of a given feature, likewise.
+        """
+        rows = features.groupBy("feature").agg(F.min(F.size("x")).alias("low"), F.max(F.size("x")).alias("high")).collect()
+        for row in rows:
+            if row.feature not in self.projections:
+                raise ValueError(f"the model knows no feature {row.feature!r}")
+            width = len(self.projections[row.feature])
+            if (row.low, row.high) != (width, width):
+                raise ValueError(f"feature {row.feature!r} has {row.low} to {row.high} numbers, the model {width}")
+        items = self.items.withColumn("z", F.col("v"))
+        for row in rows:
+            weights = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in self.projections[row.feature]])  # width x rank
+            part = features.where(F.col("feature") == row.feature).select("item_id", F.col("x").cast("array<double>").alias("x"))
+            moved = F.aggregate(
+                F.arrays_zip(F.col("x").alias("x"), weights.alias("w")), F.col("z"),
+                lambda z, e: F.zip_with(z, e["w"], lambda a, w: a + e["x"] * w))
+            items = items.join(part, "item_id", "left").withColumn("z", F.when(F.col("x").isNull(), F.col("z")).otherwise(moved)).drop("x")
+        return items
+
+    def predict(self, pairs: DataFrame, use_features: bool = True, features: DataFrame | None = None) -> DataFrame:
+        """``pairs`` (user_id, item_id, ...) with a ``prediction`` column.
+
+        ``features`` (feature, item_id, x) stand in for those of the fit, all or some of them.
+        """
         means = self.users.sparkSession.createDataFrame([(0, self.mu)], "run_id int, mu double")
         keyed = pairs.withColumn("run_id", F.lit(0))
-        return predict_pairs(self.users, self._items(use_features), means, keyed).drop("run_id")
+        items = self._items(use_features) if features is None else self._given(features)
+        return predict_pairs(self.users, items, means, keyed).drop("run_id")
 
     def predict_all(self, use_features: bool = True) -> DataFrame:
         return completed_rows(self.users, self._items(use_features), self.mu)
@@ -81,10 +107,12 @@ class RatingModel:
         edges: dict[str, DataFrame] | None = None,
         tol: float | None = 1e-3,
         min_iters: int = 5,
+        resume: str | None = None,
     ) -> FittedModel:
+        """``resume`` names a shared folder from which a fit that was broken off goes on."""
         data = prepare(ratings, users, items, features, edges)
         try:
-            result = fit_runs(data, [Run(0, self.config, None, tol, min_iters)])
+            result = fit_runs(data, [Run(0, self.config, None, tol, min_iters)], resume=resume)
         finally:
             data.release()
         weights = result.weights.get(0)
@@ -94,7 +122,7 @@ class RatingModel:
         )
         return self.fitted
 
-    def predict(self, pairs: DataFrame) -> DataFrame:
+    def predict(self, pairs: DataFrame, features: DataFrame | None = None) -> DataFrame:
         if self.fitted is None:
             raise RuntimeError("fit the model before predicting")
-        return self.fitted.predict(pairs)
+        return self.fitted.predict(pairs, features=features)
