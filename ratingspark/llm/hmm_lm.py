@@ -1,190 +1,230 @@
 """Hidden Markov language model: Baum-Welch counts over all training text, exact scores by scaled forward recursion.
 
 Texts are lower-cased (A-Z), cut into words at ASCII white space and closed by one
-end token. The model has ``states`` hidden states, and every training word has its own
-expected count in each state: a table (item, s0, s1, ...) in Spark with one row for each
-training word, which grows with the corpus.
-
-1. One pass cuts the texts into *slices* of about ``slice_bytes`` (a longer text is a slice of its own).
-   A slice holds the words of its documents once, and its texts as places in that list. Word counts
-   add up those of slices; a word of training text is an *item*.
-2. Slices are dealt over tasks once and cached with their lineage.
-3. Baum-Welch: each round every task runs the scaled forward and backward recursions over the training
-   documents of its slices, documents in step, and adds expected counts up by item. Their sums are
-   written as the next table. Rows of the ``head`` most frequent items are sent to all tasks (a bounded
-   table); rows of rarer items are joined to the slices that hold them. All training text is used in each round.
-4. The forward recursion over all documents gives their exact likelihood.
-
-A state emits word w with count n by (E (1 - discount / n) + prior p) / (T + prior), with E its expected count,
-T their sum and p = (n + 1) / (N + V + 1) the overall share. What the discount takes is the state's
-probability of a word never seen. So probabilities of a state add up to one over all words and the unseen.
-
-The driver gets ``head`` rows, and of each round states x states sums. Ids may repeat or be null (a
-null id has the remainder of empty text). Null and empty texts consist of the end token. With nothing to
-train on, the table of counts is empty and all words are unknown.
+end token. The model has ``states`` hidden states. A state emits a *symbol*: the end,
+one of the ``symbols`` most frequent words, or one of ``buckets`` hash classes of all
+other words; a word of a class is then drawn by its own count,
+(c + 1) / (C + V + 1) with the class's C tokens and V words, the last 1 for words never
+seen. So every text has a proper probability, yet the emission table has a fixed size.
+
+1. Word counts of all training documents: each task counts before the shuffle.
+2. One pass encodes every text as symbols (16 bits each) with its share of the score
+   from the ``head`` most frequent words, whose counts are sent to the tasks; its
+   rarer words are kept by name. This table is written once, and later passes read it.
+3. Baum-Welch: each round every task runs the scaled forward and backward
+   recursions over its documents, all documents of a slice in step, and adds expected
+   counts up before the shuffle. The driver gets the sums: ``symbols + buckets`` rows.
+   All training text is used in every round.
+4. The forward recursion over all documents gives their exact likelihood. Rarer words
+   are joined to the counts by word; that join adds to the score and to the base.
+
+What is sent to tasks is bounded by ``head``, ``symbols``, ``buckets`` and ``states``;
+counts of rarer words are never collected. Rows are known by a number given
+when the encoded table is written, so ids may repeat or be null (a null id has
+the remainder of empty text). Null and empty texts consist of the end token. With
+nothing to train on, the table of counts is empty and all words are unknown.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import discard, documents, remainder, store, text_slices
-from ratingspark.session import shuffle_width
+from ratingspark.llm.common import documents, remainder, store, text_slices
 
 #: The end token in the table of counts; no word is empty.
 END = b""
 HELD_OUT = 2
-#: Rows of sums that belong to no word; moves from state j are ``MOVES - j``.
-STARTS, TOTALS, GIVEN, LIKELIHOOD, MOVES = -2, -3, -4, -5, -6
-#: Tokens whose forward and backward variables are held at once, one document at least.
-STEP_TOKENS = 500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _cut(slice_bytes: int):
-    schema = pa.schema([("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
-                        ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
+@dataclass(frozen=True)
+class Cut:
+    """The tokens of some texts: ``codes`` are places in ``words``, place 0 is the end."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, limit=slice_bytes):
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(piece.column("text"), "")))
-            words = lists.flatten()
-            real = pc.greater(pc.binary_length(words), 0)
-            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[real.to_numpy(zero_copy_only=False)]
-            known = words.filter(real).dictionary_encode()
-            lengths = np.bincount(owner, minlength=len(lists)) + 1
-            inner = np.ones(lengths.sum(), bool)
-            inner[np.cumsum(lengths) - 1] = False
-            codes = np.zeros(len(inner), np.int32)  # place 0 is the end
-            codes[inner] = known.indices.to_numpy() + 1
-            held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            vocabulary = [END, *known.dictionary.cast(pa.binary()).to_pylist()]
-            times = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(vocabulary))
-            row = (piece.column("doc_id").to_pylist(), held.tolist(), lengths.tolist(), codes.tobytes(), vocabulary, times.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([value], f.type) for value, f in zip(row, schema)], schema=schema)
+    words: list[bytes]
+    codes: np.ndarray
+    lengths: np.ndarray  # tokens of each text
 
-    return run
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+
+def cut(texts: pa.Array) -> Cut:
+    """The same tokens as ``tokens`` finds, of many texts at once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[real.to_numpy(zero_copy_only=False)]
+    known = words.filter(real).dictionary_encode()
+    lengths = np.bincount(owner, minlength=len(lists)) + 1
+    inner = np.ones(lengths.sum(), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    codes = np.zeros(len(inner), np.int32)
+    codes[inner] = known.indices.to_numpy() + 1
+    return Cut([END, *known.dictionary.cast(pa.binary()).to_pylist()], codes, lengths)
+
+
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece in text_slices(batches, limit=16_000_000):
+        found = cut(piece.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(found.words, pa.binary()), pa.array(np.bincount(found.codes, minlength=len(found.words)))], names=["word", "n"])
 
 
 @dataclass(frozen=True)
-class Corpus:
-    """Cut texts and their words. ``slices`` (slice, docs, held, lengths, codes, links) is cached."""
+class Counts:
+    """What tasks know of the counts: totals, the most frequent words, sums of the classes."""
 
-    slices: DataFrame
-    rare: DataFrame  # slice, pos, item: words of a slice whose rows are joined
-    table: DataFrame  # word, n, item of training text
     n_tokens: int
     n_words: int
-    head: np.ndarray  # items sent to all tasks, in order
-    stored: tuple[DataFrame, ...]
-
-    def share(self, n: np.ndarray) -> np.ndarray:
-        return (n + 1) / (self.n_tokens + self.n_words + 1)
-
-    def release(self) -> None:
-        self.slices.unpersist()
-        for df in self.stored:
-            discard(df)
-
-
-def cut_corpus(docs: DataFrame, head: int = 150_000, slice_bytes: int = 16_000_000) -> Corpus:
-    """``docs`` has doc_id, text and held_out."""
-    cut = store(docs.select(F.col("doc_id").cast("long"), "text", "held_out").mapInArrow(
-        _cut(slice_bytes), "docs array<long>, held array<boolean>, lengths array<long>, codes binary, words array<binary>, times array<long>")
-        .withColumn("slice", F.monotonically_increasing_id()))
-    words = cut.select("slice", F.posexplode(F.arrays_zip("words", "times")).alias("pos", "w")) \
-        .select("slice", "pos", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    table = store(words.filter("times > 0").groupBy("word").agg(F.sum("times").alias("n")).withColumn("item", F.monotonically_increasing_id()))
+    words: list[bytes]
+    counts: np.ndarray
+    n_symbols: int  # the first of ``words`` have a symbol of their own; the end is one of them
+    class_tokens: np.ndarray
+    class_words: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return self.n_symbols + len(self.class_tokens)
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 1) / (self.n_tokens + self.n_words + 1))
+
+    def symbol(self, word: bytes) -> int:
+        """Symbol of a word that has none of its own."""
+        return self.n_symbols + zlib.crc32(word) % len(self.class_tokens)
+
+
+def count_words(training: DataFrame, head: int = 150_000, symbols: int = 60_000, buckets: int = 4_096) -> tuple[DataFrame, Counts]:
+    """The stored table of all counts (word, n), and the bounded part that tasks need: ``head`` words at most."""
+    if symbols + buckets > 1 << 16:
+        raise ValueError("symbols and buckets together are 65,536 at most: encoded texts hold 16 bits for each")
+    table = store(training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     totals = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # The head: whole size classes of counts from the top, ``head`` words at most.
+    # Words by size class of their count: whole classes from the top, ``head`` words at most.
     size = F.floor(F.log2("n") * 16)
-    least, taken = None, 0
+    least, taken = math.inf, 0
     for row in sorted(table.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
         if (taken := taken + row["count"]) > head:
             break
         least = row["size"]
-    top = table.filter(F.lit(False) if least is None else size >= F.lit(least)).select("item", "n").toArrow()
-    cutoff = min(top.column("n").to_pylist(), default=2**62)
-    width = shuffle_width(docs.sparkSession)
-    linked = store(words.join(table, "word", "left").select("slice", "pos", F.coalesce("item", F.lit(-1)).alias("item"), F.coalesce("n", F.lit(0)).alias("n")))
-    links = linked.repartition(width, "slice").groupBy("slice").agg(F.collect_list(F.struct("pos", "item", "n")).alias("links"))
-    slices = cut.select("slice", "docs", "held", "lengths", "codes").repartition(width, "slice").join(links, "slice") \
-        .persist(StorageLevel.DISK_ONLY)
-    rare = linked.filter((F.col("n") > 0) & (F.col("n") < cutoff)).select("slice", "pos", "item")
-    return Corpus(slices, rare, table, totals["n"], totals["v"], np.sort(top.column("item").to_numpy()), (cut, table, linked))
-
-
-@dataclass(frozen=True)
-class Model:
-    start: np.ndarray  # states
-    move: np.ndarray  # states x states
-    totals: np.ndarray  # expected tokens of each state
-    given: np.ndarray  # what a discount of one token for each word would take
-    head: np.ndarray  # expected counts of the head's items
-    discount: float
-    prior: float
-
-    def emissions(self, expected: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Probability of each word (rows) in each state; ``expected`` is zero for words with n = 0."""
-        own = expected * (1 - self.discount / np.maximum(n, 1))[:, None]
-        own[n == 0] = self.discount * self.given
-        return (own + self.prior * share[:, None]) / (self.totals + self.prior)
+    top = [] if least == math.inf else table.filter(size >= F.lit(least)).collect()
+    found = {bytes(r["word"]): r["n"] for r in top}
+    if END not in found:
+        found[END] = table.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # The end is the first symbol; then the most frequent words.
+    words = sorted(found, key=lambda w: (w != END, -found[w], w))
+    counts = np.array([found[w] for w in words], np.int64)
+    n_symbols = min(symbols, len(words))
+    sums = table.groupBy((F.crc32("word") % buckets).cast("int").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    class_tokens, class_words = np.zeros(buckets), np.zeros(buckets)
+    for r in sums:
+        class_tokens[r["class"]], class_words[r["class"]] = r["n"], r["v"]
+    for word, n in zip(words[:n_symbols], counts):
+        if n:
+            class_tokens[zlib.crc32(word) % buckets] -= n
+            class_words[zlib.crc32(word) % buckets] -= 1
+    return table, Counts(totals["n"], totals["v"], words, counts, n_symbols, class_tokens, class_words)
+
+
+def _encode(known: Counts):
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base", pa.float64()), ("within", pa.float64()), ("symbols", pa.binary()),
+                        ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(known.words)}
+        symbol = np.array([i if i < known.n_symbols else known.symbol(w) for i, w in enumerate(known.words)], np.int64)
+        base = known.base(known.counts)
+        kind = np.maximum(symbol - known.n_symbols, 0)
+        within = np.where(symbol < known.n_symbols, 0.0, np.log10((known.counts + 1) / (known.class_tokens[kind] + known.class_words[kind] + 1)))
+        for piece in text_slices(batches, limit=8_000_000):
+            found = cut(piece.column("text"))
+            at = np.fromiter(map(place.get, found.words, repeat(-1)), np.int64, len(found.words))
+            unknown = at < 0
+            codes = np.where(unknown, 0, symbol[at]) if len(symbol) else np.zeros(len(at), np.int64)
+            codes[unknown] = [known.symbol(found.words[i]) for i in np.flatnonzero(unknown).tolist()]
+            owner, n = found.owner, len(found.lengths)
+
+            def sums(values: np.ndarray) -> np.ndarray:
+                """Totals by text of a value of each word, nothing for rarer words."""
+                return np.bincount(owner, np.where(unknown, 0, values[at])[found.codes], n)
+
+            rare = unknown[found.codes]
+            pairs, times = np.unique(owner[rare] * len(at) + found.codes[rare], return_counts=True)
+            names = pa.array(found.words, pa.binary()).take(pa.array(pairs % len(at)))
+            begins = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(at)), pa.int32())
+            flat = codes[found.codes].astype(np.uint16)
+            ends = np.append(0, np.cumsum(found.lengths) * flat.itemsize).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                piece.column("doc_id"), piece.column("held_out"), pa.array(found.lengths), pa.array(sums(known.counts > 0).astype(np.int64)),
+                pa.array(sums(base)), pa.array(sums(within)), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(flat)]),
+                pa.ListArray.from_arrays(begins, names), pa.ListArray.from_arrays(begins, pa.array(times, pa.int32()))], schema=schema)
 
-def _names(states: int) -> list[str]:
-    return [f"s{k}" for k in range(states)]
+    return run
 
 
-def first_sums(corpus: Corpus, states: int) -> DataFrame:
-    """Expected counts to begin with: a word's count, dealt over the states by a hash of word and state."""
-    tilt = [F.exp(F.pmod(F.xxhash64("word", F.lit(k)), F.lit(1 << 24)) / float(1 << 24)) for k in range(states)]
-    return corpus.table.select("item", "n", F.array(*tilt).alias("t")).select(
-        "item", *((F.col("n") * F.col("t")[k] / F.aggregate("t", F.lit(0.0), lambda a, b: a + b)).alias(f"s{k}") for k in range(states)), "n")
+def encode(docs: DataFrame, known: Counts) -> DataFrame:
+    """The stored table of encoded texts; ``docs`` has doc_id, held_out, text."""
+    encoded = docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(
+        _encode(known), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, within double, "
+        "symbols binary, rare array<binary>, times array<int>")
+    return store(encoded.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _matrix(table: pa.Table, states: int) -> np.ndarray:
-    return np.stack([table.column(n).to_numpy() for n in _names(states)], axis=1).reshape(-1, states)
+@dataclass(frozen=True)
+class Model:
+    start: np.ndarray  # states
+    move: np.ndarray  # states x states
+    emit: np.ndarray  # symbols x states
 
 
-def _head(corpus: Corpus, sums: DataFrame, states: int) -> np.ndarray:
-    found = sums.join(F.broadcast(corpus.table.sparkSession.createDataFrame(pa.table({"item": corpus.head}))), "item") \
-        .select("item", *_names(states)).toArrow() if len(corpus.head) else None
-    out = np.zeros((len(corpus.head), states))
-    if found is not None:
-        out[np.searchsorted(corpus.head, found.column("item").to_numpy())] = _matrix(found, states)
-    return out
+def first_model(known: Counts, states: int) -> Model:
+    """Persistent states whose emissions are the word frequencies, tilted by a hash of (symbol, state)."""
+    weight = np.concatenate([known.counts[:known.n_symbols], known.class_tokens]).astype(float) + 1
+    mixed = (np.arange(known.size, dtype=np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64)) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    tilt = (mixed >> np.uint64(40)).astype(float) / 2**24
+    emit = weight[:, None] * np.exp(tilt)
+    move = np.full((states, states), 0.1 / max(1, states - 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-class Steps:
+class Slice:
     """Documents in step: position by position, longest first, so those still running are a prefix."""
 
-    def __init__(self, codes: np.ndarray, lengths: np.ndarray):
+    def __init__(self, rows: list[bytes]):
+        codes = [np.frombuffer(r, np.uint16) for r in rows]
+        lengths = np.array([len(c) for c in codes], np.int64)
         self.order = np.argsort(-lengths, kind="stable")
-        begins = (np.cumsum(lengths) - lengths)[self.order]
         lengths = lengths[self.order]
-        steps = int(lengths[0])
+        steps = int(lengths[0]) if len(lengths) else 0
         self.running = np.searchsorted(-lengths, -np.arange(steps), "left")  # documents longer than t
         self.begin = np.append(0, np.cumsum(self.running))
         position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.flat = self.begin[position] + np.repeat(np.arange(len(lengths)), lengths)
-        self.codes = np.empty(len(position), np.int64)
-        self.codes[self.flat] = codes[np.repeat(begins, lengths) + position]
-        self.owner = np.repeat(self.order, lengths)
+        flat = self.begin[position] + np.repeat(np.arange(len(lengths)), lengths)
+        self.codes = np.empty(lengths.sum(), np.int64)
+        self.codes[flat] = np.concatenate([codes[i] for i in self.order]) if len(lengths) else []
+        self.flat, self.owner = flat, np.repeat(self.order, lengths)
 
-    def forward(self, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def forward(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward variables, scales, and emissions, of each position."""
-        emit = table[self.codes]
+        emit = model.emit[self.codes]
         alpha = np.empty_like(emit)
         scale = np.empty(len(emit))
         begin, running = self.begin.tolist(), self.running.tolist()
@@ -202,12 +242,12 @@ class Steps:
         return alpha, scale, emit
 
     def log_likelihood(self, scale: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each document, in the given order."""
+        """log10 of the probability of each row, in the given order."""
         return np.bincount(self.owner, np.log10(scale)[self.flat], len(self.order))
 
-    def expected(self, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts: emissions (places x states), moves, starts; and the log likelihood."""
-        alpha, scale, emit = self.forward(model, table)
+    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts: emissions (symbols x states), moves, starts; and the log likelihood."""
+        alpha, scale, emit = self.forward(model)
         emit /= scale[:, None]
         beta = np.ones_like(alpha)
         begin, running = self.begin.tolist(), self.running.tolist()
@@ -220,153 +260,102 @@ class Steps:
         before = later - np.repeat(self.running[:-1], self.running[1:])
         moves = model.move * (alpha[before].T @ emit[later])
         beta *= alpha  # now the posterior of each state
-        emissions = np.stack([np.bincount(self.codes, beta[:, k], len(table)) for k in range(beta.shape[1])], axis=1)
+        emissions = np.stack([np.bincount(self.codes, beta[:, k], len(model.emit)) for k in range(beta.shape[1])], axis=1)
         return emissions, moves, beta[:len(self.order)].sum(axis=0), float(np.log10(scale).sum())
 
 
-class Slice:
-    """One row of ``slices`` with the emissions of its words."""
-
-    def __init__(self, row: dict, model: Model, head: np.ndarray, n_all: int):
-        self.docs, self.held = row["docs"], np.array(row["held"].as_py(), bool)
-        self.lengths = row["lengths"].values.to_numpy()
-        self.codes = np.frombuffer(row["codes"].as_buffer(), np.int32)
-        links = row["links"].values
-        pos = links.field("pos").to_numpy()
-        self.items, self.n = np.empty(len(pos), np.int64), np.empty(len(pos), np.int64)
-        self.items[pos], self.n[pos] = links.field("item").to_numpy(), links.field("n").to_numpy()
-        states = len(model.start)
-        expected = np.zeros((len(pos), states))
-        if len(head):
-            at = np.minimum(np.searchsorted(head, self.items), len(head) - 1)
-            known = head[at] == self.items
-            expected[known] = model.head[at[known]]
-        if row["rows"].is_valid:
-            rows = row["rows"].values
-            expected[rows.field("pos").to_numpy()] = np.stack([rows.field(n).to_numpy() for n in _names(states)], axis=1)
-        self.share = (self.n + 1) / n_all
-        self.table = model.emissions(expected, self.n, self.share)
-
-    def steps(self, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, Steps]]:
-        """Some of the chosen documents at a time."""
-        begins = np.cumsum(self.lengths) - self.lengths
-        group, held = [], 0
-        for doc in [*np.flatnonzero(chosen).tolist(), None]:
-            if group and (doc is None or held + self.lengths[doc] > STEP_TOKENS):
-                codes = np.concatenate([self.codes[begins[d]:begins[d] + self.lengths[d]] for d in group])
-                yield np.array(group), Steps(codes, self.lengths[group])
-                group, held = [], 0
-            if doc is not None:
-                group.append(doc)
-                held += int(self.lengths[doc])
-
-
-def _each(batches: Iterable[pa.RecordBatch], model: Model, head: np.ndarray, n_all: int) -> Iterator[Slice]:
+def _like_lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows cut by size, those of like length together: steps that only a few long documents take are then rare."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield Slice({name: batch.column(name)[i] for name in batch.schema.names}, model, head, n_all)
+        yield from text_slices([batch.take(pc.array_sort_indices(pc.binary_length(batch.column("symbols"))))], "symbols", limit=1_000_000)
 
 
-def _expect(model: Model, head: np.ndarray, n_all: int):
+def _expect(model: Model):
     states = len(model.start)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((len(head), states))  # head items add up over the slices of a task
-        extra = np.zeros((4 + states, states))
+        # Rows: symbols, then moves of each state, starts, and the likelihood.
+        total = np.zeros((len(model.emit) + states + 2, states))
         used = False
-
-        def rows(items: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(items), *(pa.array(sums[:, k]) for k in range(states))], names=["item", *_names(states)])
-
-        for part in _each(batches, model, head, n_all):
-            total = np.zeros_like(part.table)
-            for _, steps in part.steps(~part.held):
-                emissions, moves, starts, likelihood = steps.expected(model, part.table)
-                total += emissions
-                extra[0] += starts
-                extra[3, 0] += likelihood
-                extra[4:] += moves
-                used = True
-            extra[1] += total.sum(axis=0)
-            extra[2] += (total / np.maximum(part.n, 1)[:, None]).sum(axis=0)
-            seen = total.any(axis=1)
-            if len(head):
-                at = np.minimum(np.searchsorted(head, part.items), len(head) - 1)
-                known = head[at] == part.items
-                held[at[known]] += total[known]
-                seen &= ~known
-            if seen.any():
-                yield rows(part.items[seen], total[seen])
+        for piece in _like_lengths(batches):
+            emissions, moves, starts, likelihood = Slice(piece.column("symbols").to_pylist()).expected(model)
+            total[:len(emissions)] += emissions
+            total[len(emissions):-2] += moves
+            total[-2] += starts
+            total[-1, 0] += likelihood
+            used = True
         if used:
-            some = held.any(axis=1)
-            yield rows(head[some], held[some])
-            yield rows(np.array([STARTS, TOTALS, GIVEN, LIKELIHOOD, *(MOVES - j for j in range(states))]), extra)
+            rows = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), *(pa.array(total[rows, k]) for k in range(states))], names=["item", *(f"s{k}" for k in range(states))])
 
     return run
 
 
-def _with_rows(corpus: Corpus, sums: DataFrame, states: int) -> DataFrame:
-    """Slices with the rows of their rarer words."""
-    rows = corpus.rare.join(sums.select("item", *(F.col(n).cast("float").alias(n) for n in _names(states))), "item") \
-        .repartition(shuffle_width(sums.sparkSession), "slice").groupBy("slice").agg(F.collect_list(F.struct("pos", *_names(states))).alias("rows"))
-    return corpus.slices.join(rows.hint("merge"), "slice", "left")
-
-
-def baum_welch(corpus: Corpus, states: int = 6, rounds: int = 5, prior: float = 1000.0, discount: float = 0.5) -> tuple[Model, DataFrame, list[float]]:
-    """The model, the table of expected counts of every training word, and the log likelihood before each round.
+def baum_welch(encoded: DataFrame, known: Counts, states: int = 6, rounds: int = 5, prior: float = 1.0) -> tuple[Model, list[float]]:
+    """Train on the rows of ``encoded`` that are not held out; also the log likelihood before each round.
 
-    ``prior`` tokens of the overall word frequencies are added to each state; ``discount`` tokens of each
-    word go to words never seen.
+    ``prior`` tokens of the overall word frequencies are added to each state.
     """
-    names = _names(states)
-    sums = store(first_sums(corpus, states))
-    begun = sums.agg(*(F.sum(n).alias(n) for n in names), *(F.sum(F.col(n) / F.col("n")).alias(f"g{n}") for n in names)).first()
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    model = Model(np.full(states, 1 / states), move, np.array([begun[n] or 0.0 for n in names]), np.array([begun[f"g{n}"] or 0.0 for n in names]),
-                  _head(corpus, sums, states), discount, prior)
-    history: list[float] = []
-    n_all = corpus.n_tokens + corpus.n_words + 1
-    for _ in range(rounds if corpus.n_tokens else 0):
-        counted = _with_rows(corpus, sums, states).mapInArrow(_expect(model, corpus.head, n_all), "item long, " + ", ".join(f"{n} double" for n in names))
-        after = store(counted.groupBy("item").agg(*(F.sum(n).alias(n) for n in names)))
-        discard(sums)
-        sums = after
-        extra = {r["item"]: np.array([r[n] for n in names]) for r in sums.filter("item < 0").collect()}
-        history.append(float(extra[LIKELIHOOD][0]))
-        move, start = np.array([extra[MOVES - j] for j in range(states)]) + 0.1, extra[STARTS] + 0.1
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), extra[TOTALS], extra[GIVEN], _head(corpus, sums, states), discount, prior)
-    return model, sums, history
-
-
-def _likelihood(model: Model, head: np.ndarray, n_tokens: int, n_all: int):
+    model, history = first_model(known, states), []
+    weight = np.concatenate([known.counts[:known.n_symbols], known.class_tokens]).astype(float) + 1
+    weight /= weight.sum()
+    names = [f"s{k}" for k in range(states)]
+    training = encoded.filter(~F.col("held_out")).select("symbols")
+    for _ in range(rounds):
+        sums = training.mapInArrow(_expect(model), "item long, " + ", ".join(f"{n} double" for n in names)) \
+            .groupBy("item").agg(*(F.sum(n).alias(n) for n in names)).collect()
+        if not sums:
+            break
+        total = np.zeros((known.size + states + 2, states))
+        for row in sums:
+            total[row["item"]] = [row[n] for n in names]
+        history.append(total[-1, 0])
+        emit = total[:known.size] + prior * known.size * weight[:, None]
+        move = total[known.size:-2] + 0.1
+        start = total[-2] + 0.1
+        model = replace(model, emit=emit / emit.sum(axis=0), move=move / move.sum(axis=1, keepdims=True), start=start / start.sum())
+    return model, history
+
+
+def _likelihood(model: Model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _each(batches, model, head, n_all):
-            owner = np.repeat(np.arange(len(part.lengths)), part.lengths)
-            found = np.empty(len(part.lengths))
-            for docs, steps in part.steps(np.ones(len(part.lengths), bool)):
-                found[docs] = steps.log_likelihood(steps.forward(model, part.table)[1])
-            yield pa.RecordBatch.from_arrays([
-                part.docs.values, pa.array(part.held), pa.array(part.lengths),
-                pa.array(np.bincount(owner, part.n[part.codes] > 0, len(found)).astype(np.int64)), pa.array(np.full(len(found), n_tokens)),
-                pa.array(np.bincount(owner, np.log10(part.share)[part.codes], len(found))), pa.array(found)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for piece in _like_lengths(batches):
+            part = Slice(piece.column("symbols").to_pylist())
+            found = part.log_likelihood(part.forward(model)[1])
+            names = [c for c in piece.schema.names if c != "symbols"]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(found)], names=[*names, "likelihood"])
 
     return run
 
 
-def score(corpus: Corpus, model: Model, sums: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    return _with_rows(corpus, sums, len(model.start)).mapInArrow(
-        _likelihood(model, corpus.head, corpus.n_tokens, corpus.n_tokens + corpus.n_words + 1),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def score(encoded: DataFrame, table: DataFrame, known: Counts, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every encoded row."""
+    spark = encoded.sparkSession
+    kept = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "within", "symbols")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "symbols")
+    scored = kept.mapInArrow(_likelihood(model), f"{fields}, likelihood double")
+    buckets = len(known.class_tokens)
+    classes = spark.createDataFrame(
+        [(i, float(t + v + 1)) for i, (t, v) in enumerate(zip(known.class_tokens, known.class_words))], "class int, mass double")
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    c = F.coalesce("n", F.lit(0))
+    priced = rare.join(table, "word", "left") \
+        .withColumn("class", (F.crc32("word") % buckets).cast("int")).join(F.broadcast(classes), "class") \
+        .groupBy("row").agg(
+            F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(known.n_tokens + known.n_words + 1)))).alias("rare_base"),
+            F.sum(F.col("times") * F.log10((c + 1) / F.col("mass"))).alias("rare_within"),
+            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    zero = F.lit(0.0)
+    return scored.join(priced, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(known.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
+        (F.col("likelihood") + F.col("within") + F.coalesce("rare_within", zero)).alias("score"))
 
 
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (remainder(F.col("doc_id"), 7) == HELD_OUT).alias("held_out"))
-    corpus = cut_corpus(docs)
-    model, sums, _ = baum_welch(corpus)
-    scored = store(score(corpus, model, sums))
-    corpus.release()
-    discard(sums)
-    return scored
+    table, known = count_words(docs.filter(~F.col("held_out")))
+    encoded = encode(docs, known)
+    model, _ = baum_welch(encoded, known)
+    return score(encoded, table, known, model)

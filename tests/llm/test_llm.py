@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -64,68 +66,57 @@ def test_oracle(spark, sf, name):
 
 # 1 language model
 
-def brute_hmm(words, model, rows, counts):
-    n_all = sum(counts.values()) + len(counts) + 1
+def brute_hmm(words, model, known, counts):
+    symbols = {w: i for i, w in enumerate(known.words[:known.n_symbols])}
     total, state = 0.0, None
     for word in words:
-        n = counts[word]
-        own = rows[word] * (1 - model.discount / n) if n else model.discount * sum(rows[w] / counts[w] for w in rows)
-        emit = (own + model.prior * (n + 1) / n_all) / (sum(rows.values()) + model.prior)
-        state = (model.start if state is None else state @ model.move) * emit
+        symbol = symbols.get(word)
+        if symbol is None:
+            kind = zlib.crc32(word) % len(known.class_tokens)
+            symbol = known.n_symbols + kind
+            total += math.log10((counts[word] + 1) / (known.class_tokens[kind] + known.class_words[kind] + 1))
+        state = (model.start if state is None else state @ model.move) * model.emit[symbol]
         total += math.log10(state.sum())
         state = state / state.sum()
     return total
 
 
-def brute_round(texts, model, rows, counts):
-    """Expected counts of every word by the textbook recursions, one document at a time."""
-    n_all = sum(counts.values()) + len(counts) + 1
-    emit = {w: (rows[w] * (1 - model.discount / counts[w]) + model.prior * (counts[w] + 1) / n_all) / (sum(rows.values()) + model.prior) for w in rows}
-    out = {w: np.zeros(len(model.start)) for w in rows}
-    for words in texts:
-        forward = [model.start * emit[words[0]]]
-        for w in words[1:]:
-            forward.append((forward[-1] @ model.move) * emit[w] / forward[-1].sum())
-        back = np.ones(len(model.start))
-        for at in range(len(words) - 1, -1, -1):
-            post = forward[at] * back
-            out[words[at]] += post / post.sum()
-            back = model.move @ (emit[words[at]] * back)
-            back /= back.sum()
-    return out
-
-
-@pytest.mark.parametrize("head,discount", [(6, 0.5), (0, 0.0), (10_000, 0.0)])
-def test_language_model_against_brute_force(spark, awkward, head, discount, monkeypatch):
+def test_language_model_against_brute_force(spark, awkward):
     docs = awkward.select("doc_id", "text", (F.coalesce("doc_id", F.lit(2)) % 4 == 2).alias("held_out"))
-    corpus = hmm_lm.cut_corpus(docs, head=head, slice_bytes=200)
-    model, sums, history = hmm_lm.baum_welch(corpus, states=3, rounds=4, prior=1e-9 if not discount else 5.0, discount=discount)
-    if not discount:
-        assert all(b > a - 1e-4 for a, b in zip(history, history[1:]))
-    texts = [[*hmm_lm.tokens(r.text), b""] for r in docs.collect() if not r.held_out]
-    counts = Counter(w for t in texts for w in t)
+    table, known = hmm_lm.count_words(docs.filter("not held_out"), head=14, symbols=6, buckets=3)
+    encoded = hmm_lm.encode(docs, known)
+    model, history = hmm_lm.baum_welch(encoded, known, states=3, rounds=4, prior=1e-9)
+    assert all(b > a - 1e-6 for a, b in zip(history[1:], history[2:]))
+    counts = Counter(w for r in docs.collect() if not r.held_out for w in [*hmm_lm.tokens(r.text), b""])
     n, v = sum(counts.values()), len(counts)
-
-    def table(df):
-        return {bytes(r.word): np.array([r.s0, r.s1, r.s2]) for r in df.join(corpus.table, "item").select("word", "s0", "s1", "s2").collect()}
-
-    rows = table(sums)
-    assert rows.keys() == counts.keys() and all(abs(rows[w].sum() - counts[w]) < 1e-4 for w in rows)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4))
-                 for r in hmm_lm.score(corpus, model, sums).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+                 for r in hmm_lm.score(encoded, table, known, model).collect())
     want = []
     for r in docs.collect():
         w = [*hmm_lm.tokens(r.text), b""]
         want.append((r.doc_id if r.doc_id is not None else -1, len(w), sum(counts[x] > 0 for x in w),
-                     round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6), round(brute_hmm(w, model, rows, counts), 4)))
-    got, want = np.array(got), np.array(sorted(want))
-    assert np.allclose(got[:, :4], want[:, :4], atol=2e-5) and np.allclose(got[:, 4], want[:, 4], rtol=1e-4, atol=2e-3)
-    # One round more adds up to the same counts as the recursions document by document.
-    first, begun, _ = hmm_lm.baum_welch(corpus, states=3, rounds=0, prior=5.0, discount=discount)
-    _, once, _ = hmm_lm.baum_welch(corpus, states=3, rounds=1, prior=5.0, discount=discount)
-    brute, spark_rows = brute_round(texts, first, table(begun), counts), table(once)
-    assert all(np.allclose(brute[w], spark_rows[w], rtol=1e-4, atol=1e-5) for w in brute)
-    corpus.release()
+                     round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6), round(brute_hmm(w, model, known, counts), 6)))
+    assert np.allclose(np.array(got), np.array(sorted(want)), atol=2e-5)
+
+
+def test_language_model_of_nothing(spark, empty, awkward):
+    docs = awkward.select("doc_id", "text", F.lit(True).alias("held_out"))
+    table, known = hmm_lm.count_words(docs.filter("not held_out"))
+    encoded = hmm_lm.encode(docs, known)
+    model, _ = hmm_lm.baum_welch(encoded, known, states=2)
+    assert all(math.isfinite(r.score) for r in hmm_lm.score(encoded, table, known, model).collect())
+    nothing = hmm_lm.encode(empty.select("doc_id", "text", F.lit(False).alias("held_out")), known)
+    assert hmm_lm.score(nothing, table, known, model).count() == 0
+
+
+def test_texts_cut_together_have_the_same_tokens():
+    rng = np.random.default_rng(3)
+    letters = np.array(list(" \t\n\x0b\x0c\r\x1c\x85\u2003aAbB\u00e9\u0130\x00.\U0001f600"))
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 500)] + [None, "", " "]
+    found = hmm_lm.cut(pa.array(texts))
+    words = iter([found.words[i] for i in found.codes])
+    assert [[next(words) for _ in range(n)] for n in found.lengths] == [[*hmm_lm.tokens(t), b""] for t in texts]
+    assert len(hmm_lm.cut(pa.array([], pa.string())).lengths) == 0
 
 
 def test_language_model_learns(spark, sf):
@@ -133,15 +124,6 @@ def test_language_model_learns(spark, sf):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_language_model_of_nothing(spark, empty, awkward):
-    corpus = hmm_lm.cut_corpus(awkward.select("doc_id", "text", F.lit(True).alias("held_out")))
-    model, sums, _ = hmm_lm.baum_welch(corpus, states=2)
-    assert all(math.isfinite(r.score) for r in hmm_lm.score(corpus, model, sums).collect())
-    nothing = hmm_lm.cut_corpus(empty.select("doc_id", "text", F.lit(False).alias("held_out")))
-    model, sums, _ = hmm_lm.baum_welch(nothing, states=2)
-    assert hmm_lm.score(nothing, model, sums).count() == 0
-
-
 # 2 mixing
 
 def test_mixing_meets_targets(spark, sf):
