@@ -22,7 +22,8 @@ cover all documents and whole texts.
 Only DataFrame expressions are used: there is one scan for the posteriors, whose small
 rows are written once, and no shuffle of documents. Null and empty texts have no
 tokens and the prior as posterior. Null domains are not learned. Without labelled rows
-there are no domains and all rates are 1. Repeated rows get equal rates.
+there are no domains and all rates are 1. Copies are drawn by id and text, so that rows of a null or
+repeated id are drawn apart; rows equal in both get the same number.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def fit_rates(members: DataFrame, n_domains: int, targets: list[float] | None =
 
 
 def copies(rate_column: Column, *keys: Column) -> Column:
-    """A whole number of copies whose mean over documents is the rate; a hash of ``keys`` decides."""
+    """A whole number of copies whose mean over documents is the rate; a hash of ``keys`` (id and text) decides."""
     draw = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate_column) + (draw < rate_column - F.floor(rate_column)).cast("int")).cast("int")
 
@@ -296,14 +297,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str, weights: dict[str, float] | Non
     """``weights`` are target weights of the values of ``source``; None gives each source the same."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     model = fit_domains(docs, labelled_domains(spark, docs, sf_dir))
-    members = store(posteriors(docs, model).select("doc_id", "source", "n_tokens", "posterior"))
+    members = store(posteriors(docs, model).select("doc_id", "source", "n_tokens", "posterior", F.xxhash64("text").alias("text_hash")))
     mix = fit_sources(members, len(model.names), weights)
     names = F.lit(model.names) if model.names else F.array().cast("array<string>")
     r = source_rate(F.col("source"), F.col("posterior"), mix)
     place = _place(F.col("source"), mix.sources) + 1
     return members.select(
         "doc_id", "source", "n_tokens", F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")).alias("domain"),
-        "posterior", r.alias("rate"), copies(r, F.col("doc_id")).alias("copies"),
+        "posterior", r.alias("rate"), copies(r, F.col("doc_id"), F.col("text_hash")).alias("copies"),
         F.element_at(_numbers(mix.source_targets), place).alias("source_target"),
         F.element_at(_numbers(mix.source_totals), place).alias("source_total"),
         F.lit(mix.off_target).alias("off_target"), F.lit(mix.met).alias("targets_met"))
@@ -319,7 +320,7 @@ def mix_rows(docs: DataFrame, model: DomainModel, weights: dict[str, float] | No
     mix = fit_sources(members, len(model.names), weights, power)
     if not mix.met:
         warnings.warn(f"target weights not met: off by {mix.off_target:.3g} of a target after {mix.rounds} rounds", stacklevel=2)
-    n = F.when(F.col("n_tokens") == 0, 1).otherwise(copies(source_rate(F.col("source"), F.col("posterior"), mix), F.col("doc_id")))
+    n = F.when(F.col("n_tokens") == 0, 1).otherwise(copies(source_rate(F.col("source"), F.col("posterior"), mix), F.col("doc_id"), F.xxhash64("text")))
     return posteriors(packed, model).select("row", n.alias("_n")).filter("_n > 0") \
         .select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
 
@@ -333,5 +334,5 @@ def repeat_rows(docs: DataFrame, model: DomainModel, power: float = 0.7) -> Data
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.col("doc_id").alias("doc_id"))
     members = store(posteriors(packed.select("text"), model).select("n_tokens", "posterior"))
     mixture = fit_rates(members, len(model.names), power=power)
-    n = F.greatest(F.lit(1), copies(rate(F.col("posterior"), mixture.steps), F.col("doc_id")))
+    n = F.greatest(F.lit(1), copies(rate(F.col("posterior"), mixture.steps), F.col("doc_id"), F.xxhash64("text")))
     return posteriors(packed, model).select("row", F.explode(F.sequence(F.lit(1), n)).alias("_copy")).select("row.*")

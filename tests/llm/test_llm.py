@@ -163,6 +163,13 @@ def test_mixing_meets_weights_of_sources(spark, sf):
     assert all(abs(got[s] / volume - w / sum(weights.values())) < 1e-5 for s, w in weights.items())
 
 
+def test_mixing_draws_rows_of_one_id_apart(spark):
+    rows = spark.createDataFrame([(None, f"alpha w{i}", "en", "a" if i < 400 else "b") for i in range(640)], "doc_id long, text string, lang string, source string")
+    model = mixing.fit_domains(rows, rows.filter("false").select("doc_id", F.col("lang").alias("domain")))
+    kept = {r["source"]: r["count"] for r in mixing.mix_rows(rows, model).groupBy("source").count().collect()}
+    assert 280 <= kept["a"] <= 360 and 280 <= kept["b"] <= 360
+
+
 def test_mixing_reports_missed_weights(spark, awkward, empty):
     members = store(spark.createDataFrame([(100, [1.0, 0.0], "a"), (900, [0.0, 1.0], "b"), (50, [0.5, 0.5], None), (0, [0.5, 0.5], "c")],
                                           "n_tokens long, posterior array<double>, source string"))
