@@ -8,7 +8,9 @@ range of suffixes that begin with it: these are the edges. They are sorted by
 position and relaxed: in each round every chunk takes its best edge - highest
 score, then leftmost - that joins two present symbols, until none is left. That
 is the order of a BPE vocabulary's merges, for all chunks at a time. Edges whose
-ends are gone are dropped, so rounds shrink quickly.
+ends are gone are dropped, so rounds shrink quickly. A chunk of more than ``LONG`` bytes
+(an unbroken token) would need a round for each of its merges; its edges are taken
+in the same order from a heap, so that time grows with its length times a logarithm.
 
 Characters without a piece become byte pieces where the vocabulary has them.
 Decoding joins the pieces; for any text without U+2581 decoding an encoding gives the text again
@@ -26,6 +28,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Bytes of text that are indexed together.
 SLICE = 2_000_000
+#: Chunks of more bytes are relaxed by a heap.
+LONG = 96
 #: Chunks: a line end, spaces with what follows, or spaces alone.
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 
@@ -84,6 +89,52 @@ def radix_order(columns: np.ndarray) -> np.ndarray:
     return order
 
 
+def relax_long(start: np.ndarray, end: np.ndarray, piece: np.ndarray, score: np.ndarray,
+               present: np.ndarray, label: np.ndarray) -> None:
+    """Join the symbols of one chunk by its edges (sorted by position), best score first, then leftmost.
+
+    ``present`` and ``label`` hold the chunk's characters and are changed in place. An edge enters the heap
+    when its two symbols stand side by side; one whose symbols have gone since is passed over.
+    """
+    n = len(present)
+    symbols = np.flatnonzero(present)
+    after = np.full(n + 1, -1, np.int64)
+    before = np.full(n + 1, -1, np.int64)
+    after[symbols] = np.append(symbols[1:], n)
+    before[np.append(symbols[1:], n)] = symbols
+    # Equal scores get equal ranks; the edge's number decides between them, hence its position.
+    rank = np.unique(-score, return_inverse=True)[1].astype(np.int64) << 32 | np.arange(len(start))
+    ready = (after[start] < end) & (after[np.maximum(after[start], 0)] == end) if len(start) else np.zeros(0, bool)
+    heap = rank[ready].tolist()
+    heapify(heap)
+    opens = memoryview(np.searchsorted(start, np.arange(n + 1)).astype(np.int64))
+    begins, ends, ranks = (memoryview(np.ascontiguousarray(x, np.int64)) for x in (start, end, rank))
+    after, before = memoryview(after), memoryview(before)
+    taken = memoryview(np.full(n, -1, np.int64))
+    while heap:
+        edge = heappop(heap) & 0xFFFFFFFF
+        left, stop = begins[edge], ends[edge]
+        right = after[left]
+        if right < 0 or right >= stop or after[right] != stop:
+            continue
+        after[left], before[stop] = stop, left
+        after[right] = -1
+        taken[left], taken[right] = edge, -2
+        if (previous := before[left]) >= 0:
+            for e in range(opens[previous], opens[previous + 1]):
+                if ends[e] == stop:
+                    heappush(heap, ranks[e])
+        if stop < n:
+            beyond = after[stop]
+            for e in range(opens[left], opens[left + 1]):
+                if ends[e] == beyond:
+                    heappush(heap, ranks[e])
+    chosen = np.asarray(taken)
+    present[chosen == -2] = False
+    whole = np.flatnonzero(chosen >= 0)
+    label[whole] = piece[chosen[whole]]
+
+
 class Matcher:
     """Finds the edges of a text: which pieces stand where."""
 
@@ -137,6 +188,13 @@ class Matcher:
         start, end, piece, label = self.edges(text)
         score = self.vocabulary.scores[piece].astype(np.float32)
         chunk = owner[start]
+        if (long := np.flatnonzero(sizes > LONG)).size:
+            bounds = np.searchsorted(start, np.column_stack([first[long], first[long] + sizes[long]]))
+            for (low, high), at, size in zip(bounds, first[long], sizes[long]):
+                relax_long(start[low:high] - at, end[low:high] - at, piece[low:high], score[low:high],
+                           present[at:at + size], label[at:at + size])
+            others = (sizes <= LONG)[chunk]
+            start, end, piece, score, chunk = (x[others] for x in (start, end, piece, score, chunk))
         while len(start):
             count = np.concatenate([np.zeros(1, np.int32), np.cumsum(present, dtype=np.int32)])
             symbols = count[end] - count[start]
