@@ -5,14 +5,16 @@ reporting, other. It is composed with transducers that mark what they have read:
 
 * negation - insults and threats up to three words behind "not" become *negated*;
 * reported speech - behind a reporting verb, to the end of the clause, *reported*;
-* target - behind a word that points at someone, *directed*.
+* target - behind a word that points at someone, or up to three words before one, *directed*.
 
-The composed machine turns a clause (up to ``.!?;:`` or a line end) into events;
-the score of a document comes from its matched clauses, not from isolated words.
+The composed machine reads a clause (up to ``.!?;:`` or a line end) forwards, a last one backwards, and
+turns it into events; the score of a document comes from its matched clauses, not from isolated words: a clause
+counts for each kind of event with its strongest word of that kind.
 
 Learned from labelled rows only: which words and word beginnings insult (log odds
-of toxic against clean documents), and the weight of each kind of event (logistic
-regression). The fit uses at most ``max_rows`` labelled rows, those of smallest
+of toxic against clean documents, which are their strength), and the weight of each kind of event, by logistic
+regression around fixed prior weights. In it directed events never weigh less than undirected ones, and both more than
+negated or reported ones, so that kinds which the labels do not show (threats, say) keep their prior. The fit uses at most ``max_rows`` labelled rows, those of smallest
 hash; everything else covers all documents. Nothing but the text enters a score.
 
 Scoring is one scan without a shuffle. Null and empty texts match nothing and get
@@ -24,6 +26,7 @@ Labels that contradict each other count as toxic; null labels are not used.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from ratingspark.llm.common import documents, remainder, text_slices
 
 #: Small word lists in English, German, French and Spanish.
-INSULTS = "idiot moron stupid pathetic worthless scum trash loser disgusting clown".split()
+INSULTS = ("idiot moron stupid pathetic worthless scum trash loser disgusting clown "
+           "trottel arschloch abschaum versager dummkopf widerlich crétin connard minable ordure imbécile abruti "
+           "imbécil estúpido basura asqueroso perdedor payaso").split()
 THREATS = "kill hurt destroy shoot stab strangle umbringen töten tuer frapper matar golpear".split()
 TARGETS = ("you your youre he she they them him her this these those du ihr sie dich dein "
            "tu toi vous ton il elle ils tú usted ustedes ellos ella").split()
@@ -48,7 +53,11 @@ REPORTING = ("said says called calls quoted quote wrote claimed claims according
 OTHER, INSULT, THREAT, TARGET, NEGATE, REPORT = range(6)
 NEGATED, REPORTED, DIRECTED = 8, 16, 32
 END = 64  # a word that closes its clause
-EVENTS = [kind | marks for kind in (INSULT, THREAT) for marks in range(0, 64, 8)]
+#: Events of a kind by rising weight: silenced (negated or reported) or plain, and each undirected, then directed.
+RANKS = 4
+#: Prior weight of an event beyond the one before it, insults then threats; the intercept without labels.
+PRIOR = (0.5, 0.5, 3.0, 3.0, 0.25, 0.25, 2.0, 5.0)
+INTERCEPT, LEAST = -3.0, 0.1
 MIN_STEM, MAX_STEM = 4, 7
 PUNCTUATION = ".,;:!?\"'()[]{}<>#*$%&|-_=+~`/\\“”„«»…"
 LEET = str.maketrans("013457@$", "oieastas")
@@ -92,7 +101,9 @@ def _marker(trigger: int, mark: int, memory: int | None) -> Transducer:
     return Transducer(tuple(arcs))
 
 
+#: Read forwards, then (targets that follow) backwards.
 GRAMMAR = _marker(NEGATE, NEGATED, 3).compose(_marker(REPORT, REPORTED, None)).compose(_marker(TARGET, DIRECTED, None))
+BACKWARD = _marker(TARGET, DIRECTED, 3)
 
 
 def stems(word: str) -> Iterator[str]:
@@ -123,31 +134,38 @@ class Lexicon(dict):
         return code
 
 
+def clause_events(codes: list[int], strengths: list[float]) -> dict[int, float]:
+    """Events of a clause, given the classes of its words: place of the kind of event → its greatest strength."""
+    state, symbols = 0, []
+    for code in codes:
+        state, symbol = GRAMMAR.arcs[state][code & 7]
+        symbols.append(symbol)
+    state, found = 0, {}
+    for symbol, strength in zip(reversed(symbols), reversed(strengths)):
+        state, symbol = BACKWARD.arcs[state][symbol]
+        if symbol & 7 in (INSULT, THREAT):
+            place = RANKS * (symbol & 7 == THREAT) + 2 * (not symbol & (NEGATED | REPORTED)) + bool(symbol & DIRECTED)
+            found[place] = max(found.get(place, 0.0), strength)
+    return found
+
+
 def events_of(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Clauses by kind of event (log scale), then total and greatest strength of its insults."""
-    out = np.zeros(len(EVENTS) + 2)
+    """Strength of the clauses by kind of event, added up (log scale)."""
+    out = np.zeros(2 * RANKS)
     words = (text or "").lower().replace("\n", " . ").split()
     codes = [lexicon[w] for w in words]
     if not {INSULT, THREAT, INSULT | END, THREAT | END}.intersection(codes):
         return out
-    arcs, state, found = GRAMMAR.arcs, 0, Counter()
-    clause: set[int] = set()
-    for word, code in zip(words, codes):
-        state, symbol = arcs[state][code & 63]
-        if symbol & 7 in (INSULT, THREAT):
-            clause.add(symbol)
-            if symbol & 7 == INSULT:
-                strength = lexicon.strength.get(word, 0.0)
-                out[-2] += strength
-                out[-1] = max(out[-1], strength)
-        if code & END:
-            found.update(clause)
-            clause, state = set(), 0
-    found.update(clause)
-    for place, event in enumerate(EVENTS):
-        out[place] = math.log1p(found[event])
-    out[-2] = math.log1p(out[-2])
-    return out
+    stops = [i + 1 for i, code in enumerate(codes) if code & END] + [len(codes)]
+    done = 0
+    for at, code in enumerate(codes):
+        if code & 7 in (INSULT, THREAT) and at >= done:
+            place = bisect_right(stops, at)
+            begin, done = stops[place - 1] if place else 0, stops[place]
+            strengths = [lexicon.strength.get(w, 1.0) for w in words[begin:done]]
+            for event, strength in clause_events(codes[begin:done], strengths).items():
+                out[event] += strength
+    return np.log1p(out)
 
 
 def _stem_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +190,29 @@ def _features(weights: dict[str, float]):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the first weight is the intercept."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 500) -> np.ndarray:
+    """Intercept and event weights: ridge logistic regression around ``PRIOR``, by Newton steps for one weight at a time.
+
+    The unknowns are what each event weighs beyond the one before it in its kind, ``LEAST`` at least: that orders the weights.
+    """
+    beyond = np.concatenate([np.cumsum(part[:, ::-1], axis=1)[:, ::-1] for part in np.split(x, 2, axis=1)], axis=1)
+    columns = [np.ones(len(x)), *np.ascontiguousarray(beyond.T)]
+    prior, penalty = np.array([INTERCEPT, *PRIOR]), np.array([1e-3] + [ridge] * len(PRIOR))
+    w = prior.copy()
+    z = sum(c * v for c, v in zip(columns, w))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        moved = 0.0
+        for i, column in enumerate(columns):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = column @ (y - p) - penalty[i] * (w[i] - prior[i])
+            step = np.clip(slope / ((column * column) @ (p * (1 - p)) + penalty[i]), -1.0, 1.0)
+            step = step if i == 0 else max(step, LEAST - w[i])
+            w[i] += step
+            z += step * column
+            moved = max(moved, abs(step))
+        if moved < 1e-6:
             break
-    return w
+    return np.concatenate([w[:1], *(np.cumsum(part) for part in np.split(w[1:], 2))])
 
 
 @dataclass(frozen=True)
@@ -209,10 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_stems: i
     weights = {w + "$": 1.0 for w in INSULTS}
     if not n_toxic or not n_clean:
         sample.unpersist()
-        first = [0.0] * (len(EVENTS) + 2)
-        for place, event in enumerate(EVENTS):
-            first[place] = 1.0 if event & (NEGATED | REPORTED) else 6.0
-        return ToxicityModel(weights, (-3.0, *first))
+        return ToxicityModel(weights, (INTERCEPT, *(float(w) for part in np.split(np.array(PRIOR), 2) for w in np.cumsum(part))))
     # So many toxic documents and no clean one would be chance with probability exp(-40).
     support = max(5, 40 / math.log((n_toxic + n_clean) / n_toxic))
     odds = F.log((F.col("a") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("b") + 0.5) / F.lit(n_clean + 1.0))
@@ -221,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000, max_stems: i
         .filter(F.col("a") >= support).withColumn("odds", odds) \
         .filter(F.col("odds") > math.log(30)) \
         .orderBy((F.col("a") * F.col("odds")).desc(), "stem").limit(max_stems).collect()
-    weights |= {r["stem"]: r["odds"] for r in found}
+    # Strength 1 is the least log odds that count; words of the lists have it unless they are learned.
+    weights |= {r["stem"]: r["odds"] / math.log(30) for r in found}
     rows = sample.mapInArrow(_features(weights), "toxic int, x array<double>").collect()
     sample.unpersist()
     w = _logistic(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))

@@ -184,6 +184,19 @@ def test_mixing_reports_missed_weights(spark, awkward, empty):
 
 # 3 pieces
 
+def test_pieces_of_unbroken_text():
+    from sentencepiece import SentencePieceProcessor
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    texts = ["".join(rng.choice(letters, n)) for n in (pieces.LONG - 1, pieces.LONG, pieces.LONG + 1, 3000, 300_000)]
+    texts += ["a" * 3000, "ab" * 2000, "日本é" * 300 + "the" * 400, " " * 500 + "x", "x\x00" * 300, "🙂" * 200,
+              "".join(rng.choice(list("théeaonin"), 4000))]
+    library = SentencePieceProcessor(model_file=pieces.MODEL)
+    for text, ids in zip(texts, pieces.Matcher(pieces.load_vocabulary()).encode(texts)):
+        assert ids.tolist() == library.encode(text)
+
+
 def test_pieces_equal_the_library(spark, awkward, empty):
     from sentencepiece import SentencePieceProcessor
 
@@ -345,6 +358,34 @@ def test_grammar_marks():
     assert marks([t.REPORT, t.TARGET, t.THREAT])[-1] == t.THREAT | t.REPORTED | t.DIRECTED
 
 
+def test_clause_events_against_brute_force():
+    t = toxicity
+    rng = random.Random(6)
+    for _ in range(500):
+        codes = [rng.choice((t.OTHER, t.OTHER, t.INSULT, t.THREAT, t.TARGET, t.NEGATE, t.REPORT)) for _ in range(rng.randint(0, 12))]
+        strengths = [rng.random() + 1 for _ in codes]
+        want: dict[int, float] = {}
+        for i, code in enumerate(codes):
+            if code in (t.INSULT, t.THREAT):
+                silenced = t.NEGATE in codes[max(0, i - 3):i] or t.REPORT in codes[:i]
+                directed = t.TARGET in codes[:i] or t.TARGET in codes[i + 1:i + 4]
+                place = 4 * (code == t.THREAT) + 2 * (not silenced) + directed
+                want[place] = max(want.get(place, 0.0), strengths[i])
+        assert t.clause_events(codes, strengths) == want
+
+
+def test_toxicity_orders_events(spark, labels):
+    """Directed above undirected above negated or reported, learned or not; threats and four languages count."""
+    texts = ["you are an idiot", "the idiot was here", "you are not an idiot", "she wrote that you are an idiot", "a fine day", None,
+             "I will kill you", "I will not kill you", "du bist ein Trottel", "tu es un crétin", "tú eres un imbécil", "word " * 40_000 + ". You idiot!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "you moron and clown" if i % 3 == 0 else "the weather was calm") for i in range(30)], "doc_id long, text string")
+    for known in (labels, labels.filter("false")):
+        score = {r.doc_id: r.score for r in toxicity.score_texts(rows, toxicity.fit(docs, known)).collect()}
+        assert score[0] > score[1] > score[2] > score[4] == score[5] and score[1] > score[3] > score[4]
+        assert score[6] > score[7] and min(score[k] for k in (0, 6, 8, 9, 10, 11)) > 0.5 > max(score[k] for k in (2, 3, 4, 7))
+
+
 def test_toxicity_learns(spark, sf):
     rows = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
