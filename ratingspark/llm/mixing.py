@@ -3,16 +3,16 @@
 A classifier fitted on a labelled table gives each document a posterior over domains, so a
 document belongs to several domains in parts. Rates r >= 0 are then fitted for which
 the expected tokens of each domain, sum of r * tokens * posterior, meet the targets:
-weighted least squares over the domains, by projected gradient steps from r = 1. Steps
-add up in one number for each domain and are projected lazily, r = max(0, 1 - posterior . steps);
-where the targets can be met, these are the rates nearest to 1 that meet them. A round is one
-aggregation over the documents that returns a row of domain totals.
+weighted least squares by projected gradient steps. Steps add up in one number for each domain and
+are projected lazily, r = base * max(0, 1 - step of the source - posterior . steps);
+where the targets can be met, these are the rates nearest to their base that meet them.
 
 ``op2_mixing`` and the pipeline mix two things at once. Sources are the values of the column ``source``,
 which is given for each document, so that membership is whole; their target weights are the parameter
 ``weights``, by default the same for each source. The soft domains are languages (``lang`` of the rows that
 ``labels`` covers), with smoothed totals as targets. ``fit_sources`` meets both sets of totals,
-and rates may fall below one.
+and rates may fall below one. Sources may be as many as hosts: their rates are a stored table that is joined
+to the documents; the driver holds sums by domain only.
 
 The classifier is Bernoulli naive Bayes over words that a document holds or not. Its
 ``features`` words are those whose share of documents differs most between domains in
@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import SPACE, documents, let, store
+from ratingspark.llm.common import SPACE, discard, documents, let, store
 
 #: Expected domain totals count as met when all are within this share of their targets.
 TOLERANCE = 1e-6
@@ -115,12 +115,6 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text", temperat
         .select(*[F.col(c) for c in docs.columns], "_mixing.n_tokens", "_mixing.posterior")
 
 
-def rate(posterior: Column, steps: list[float]) -> Column:
-    """The rate of a document: 1 less its share of the steps, not below zero."""
-    moved = F.aggregate(F.zip_with(posterior, _numbers(steps), lambda p, s: p * s), F.lit(0.0), lambda a, b: a + b)
-    return F.greatest(F.lit(0.0), F.lit(1.0) - moved)
-
-
 def smoothed_targets(totals: list[float], power: float = 0.7) -> list[float]:
     """Targets with shares proportional to the totals raised to ``power``, scaled so that none shrinks."""
     weight = [t ** power if t > 0 else 0.0 for t in totals]
@@ -128,42 +122,6 @@ def smoothed_targets(totals: list[float], power: float = 0.7) -> list[float]:
     return [w * scale for w in weight]
 
 
-@dataclass(frozen=True)
-class Mixture:
-    steps: list[float]
-    targets: list[float]
-    totals: list[float]
-    rounds: int
-    met: bool
-
-
-def fit_rates(members: DataFrame, n_domains: int, targets: list[float] | None = None, power: float = 0.7,
-              max_rounds: int = 60) -> Mixture:
-    """Projected gradient over ``members`` (n_tokens, posterior; stored).
-
-    ``targets`` are tokens for each domain; without them the totals are smoothed
-    with ``power``. ``met`` says whether all came within ``TOLERANCE``.
-    """
-    def totals(steps: list[float]) -> list[float]:
-        weight = F.col("n_tokens") * rate(F.col("posterior"), steps)
-        row = members.agg(*(F.sum(weight * F.col("posterior")[d]).alias(f"d{d}") for d in range(n_domains))).first()
-        return [float(x or 0.0) for x in row]
-
-    steps = [0.0] * n_domains
-    if not n_domains:
-        return Mixture(steps, [], [], 0, True)
-    first = now = totals(steps)
-    targets = smoothed_targets(first, power) if targets is None else [float(t) for t in targets]
-    for n in range(max_rounds + 1):
-        met = all(abs(a - t) <= TOLERANCE * max(t, 1.0) for a, t in zip(now, targets))
-        if met or n == max_rounds:
-            break
-        # The step 1 / (tokens of the domain) bounds the curvature, as posteriors add up to 1.
-        steps = [s + (a - t) / max(base, 1.0) for s, a, t, base in zip(steps, now, targets, first)]
-        now = totals(steps)
-    return Mixture(steps, targets, now, n, met)
-
-
 def copies(rate_column: Column, *keys: Column) -> Column:
     """A whole number of copies whose mean over documents is the rate; a hash of ``keys`` (id and text) decides."""
     draw = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -178,17 +136,14 @@ def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str, domain:
 
 @dataclass(frozen=True)
 class SourceMixture:
-    """Rates over sources and soft domains: base[s] * max(0, 1 - source_steps[s] - posterior . steps).
+    """Rates over sources and soft domains: base * max(0, 1 - step - posterior . steps).
 
-    Place 0 of the lists by source is for rows without a source; ``sources`` names the places from 1.
+    ``rates`` has a row for each source: its ``key``, ``source``, ``tokens``, ``target``, ``base``, ``step`` and the
+    total ``now`` that the rates give it; ``steps``, ``targets`` and ``totals`` are those of the domains.
     """
 
-    sources: list[str]
-    base: list[float]
-    source_steps: list[float]
+    rates: DataFrame
     steps: list[float]
-    source_targets: list[float]
-    source_totals: list[float]
     targets: list[float]
     totals: list[float]
     rounds: int
@@ -196,101 +151,96 @@ class SourceMixture:
     met: bool
 
 
-def _place(source: Column, sources: list[str]) -> Column:
-    names = F.lit(sources) if sources else F.array().cast("array<string>")
-    return F.coalesce(F.array_position(names, source.cast("string")), F.lit(0)).cast("int")
+def source_key(source: Column) -> Column:
+    """A text for each source; rows without one are a source of their own."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def source_rate(source: Column, posterior: Column, mix: SourceMixture) -> Column:
-    place = _place(source, mix.sources) + 1
-    moved = F.aggregate(F.zip_with(posterior, _numbers(mix.steps), lambda p, s: p * s), F.element_at(_numbers(mix.source_steps), place),
-                        lambda a, b: a + b)
-    return F.element_at(_numbers(mix.base), place) * F.greatest(F.lit(0.0), F.lit(1.0) - moved)
+def source_rate(posterior: Column, steps: list[float]) -> Column:
+    """The rate of a row that is joined to its source's ``base`` and ``step``."""
+    moved = F.aggregate(F.zip_with(posterior, _numbers(steps), lambda p, s: p * s), F.col("step"), lambda a, b: a + b)
+    return F.col("base") * F.greatest(F.lit(0.0), F.lit(1.0) - moved)
 
 
-def source_shares(tokens: list[float], sources: list[str], weights: dict[str, float] | None) -> list[float]:
-    """Target share of each place: in proportion to ``weights`` (None: the same for each source that holds tokens).
+def _place_sources(members: DataFrame, n_domains: int, weights: dict[str, float] | None, power: float,
+                   targets: list[float] | None) -> tuple[DataFrame, list[float]]:
+    """The stored table of sources with targets and first rates, and the targets of the domains.
 
-    Rows without a source, and sources without a weight, keep their share of the tokens.
+    A source's share is in proportion to ``weights`` (None: the same for each that holds tokens). Rows without a source,
+    and sources without a weight, keep their share of the tokens.
     """
-    total = sum(tokens)
-    given = [None] + [(1.0 if n else None) if weights is None else weights.get(name) for name, n in zip(sources, tokens[1:])]
-    if any(w is not None and not (w >= 0 and math.isfinite(w)) for w in given):
+    if any(not (w >= 0 and math.isfinite(w)) for w in (weights or {}).values()):
         raise ValueError("weights of sources are finite and not negative")
-    kept = [t / total if w is None and total else 0.0 for t, w in zip(tokens, given)]
-    asked = sum(w for w in given if w is not None)
-    return [k if w is None or not asked else w / asked * (1 - sum(kept)) for k, w in zip(kept, given)]
+    p = [F.col("posterior")[i] for i in range(n_domains)]
+    found = members.groupBy(source_key(F.col("source")).alias("key")).agg(
+        F.first(F.col("source").cast("string")).alias("source"), F.sum("n_tokens").cast("double").alias("tokens"),
+        *(F.sum(F.col("n_tokens") * x).alias(f"n{i}") for i, x in enumerate(p)))
+    if weights is None:
+        given = found.withColumn("weight", F.when((F.col("key") != "") & (F.col("tokens") > 0), 1.0))
+    else:
+        asked = members.sparkSession.createDataFrame([("=" + name, name, float(w)) for name, w in weights.items()], "key string, name string, weight double")
+        given = found.join(asked, "key", "full").withColumn("source", F.coalesce("source", "name")).drop("name")
+    given = store(given.fillna(0.0, ["tokens", *(f"n{i}" for i in range(n_domains))]))
+    sums = given.agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("asked"), F.sum(F.when(F.col("weight").isNull(), F.col("tokens"))).alias("kept"),
+                     *(F.sum(f"n{i}").alias(f"n{i}") for i in range(n_domains))).first()
+    tokens, asked, kept = (float(sums[c] or 0.0) for c in ("tokens", "asked", "kept"))
+    targets = smoothed_targets([float(sums[f"n{i}"] or 0.0) for i in range(n_domains)], power) if targets is None else [float(t) for t in targets]
+    volume = sum(targets) if n_domains else tokens
+    free = 1.0 - (kept / tokens if tokens else 0.0)
+    share = F.when(F.col("weight").isNull(), F.col("tokens") / (tokens or 1.0)).otherwise(F.col("weight") * (free / asked if asked else 0.0))
+    placed = given.withColumn("target", share * volume).select(
+        "key", "source", "weight", "tokens", "target", F.when(F.col("tokens") > 0, F.col("target") / F.col("tokens")).otherwise(1.0).alias("base"))
+    return placed, targets
 
 
 def fit_sources(members: DataFrame, n_domains: int, weights: dict[str, float] | None = None, power: float = 0.7,
-                max_rounds: int = 40) -> SourceMixture:
-    """Rates by which sources meet ``weights`` and soft domains their smoothed totals at once.
-
-    ``members`` (n_tokens, posterior, source; stored). A rate starts as what its source needs and
-    the shares of a source and of the domains in it are corrected by Newton steps of the same
-    least-squares problem, halved while they bring no gain. A round is one aggregation by source.
-    Sources of ``weights`` that hold no tokens cannot be met and count for ``met``.
+                targets: list[float] | None = None, max_rounds: int = 100, patience: int = 12) -> SourceMixture:
+    """Rates by which sources meet ``weights`` and soft domains their targets (tokens; None: smoothed totals) at once.
+
+    ``members`` (n_tokens, posterior, source; stored). A rate starts as what its source needs. Each round is one
+    aggregation of totals by source, joined to the table of sources, and one over that table; then all steps move along the gradient of the least
+    squares at once. Each row belongs to one source and, in parts, to the domains, so that half the inverse of the first
+    totals bounds the curvature. Momentum is dropped whenever it points against the gradient.
+    Targets that cannot be met together show in gaps that no longer shrink: after ``patience`` rounds without a gain of
+    a hundredth the fit ends. Sources of ``weights`` that hold no tokens cannot be met and count for ``met``.
     """
     d = n_domains
-    found = {r["source"]: float(r["n"] or 0) for r in members.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("n_tokens").alias("n")).collect()}
-    sources = sorted(({*found} | {*(weights or {})}) - {None})
-    tokens = [found.get(None, 0.0), *(found.get(name, 0.0) for name in sources)]
-    p = [F.col("posterior")[i] for i in range(d)]
-    domain_tokens = [float(x or 0.0) for x in members.agg(*(F.sum(F.col("n_tokens") * x) for x in p)).first()] if d else []
-    targets = smoothed_targets(domain_tokens, power)
-    volume = sum(targets) if d else sum(tokens)
-    source_targets = [volume * share for share in source_shares(tokens, sources, weights)]
-    base = [t / n if n else 1.0 for t, n in zip(source_targets, tokens)]
-    want = np.array(source_targets + targets)
-    placed = members.select(_place(F.col("source"), sources).alias("place"), "source", "n_tokens", "posterior")
-
-    def measure(mix: SourceMixture) -> tuple[np.ndarray, np.ndarray]:
-        """Totals of all places and domains, and their change with the steps."""
-        now = F.col("n_tokens") * source_rate(F.col("source"), F.col("posterior"), mix)
-        free = F.when(now > 0, F.col("n_tokens") * F.element_at(_numbers(base), F.col("place") + 1)).otherwise(0.0)
-        pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        rows = placed.withColumn("now", now).withColumn("free", free).groupBy("place").agg(
-            F.sum("now").alias("now"), F.sum("free").alias("free"), *(F.sum(F.col("now") * p[i]).alias(f"n{i}") for i in range(d)),
-            *(F.sum(F.col("free") * p[i]).alias(f"f{i}") for i in range(d)),
-            *(F.sum(F.col("free") * p[i] * p[j]).alias(f"c{i}_{j}") for i, j in pairs)).collect()
-        k = len(tokens)
-        total, curve = np.zeros(k + d), np.zeros((k + d, k + d))
-        for r in rows:
-            at = r["place"]
-            total[at], curve[at, at] = r["now"] or 0.0, r["free"] or 0.0
-            for i in range(d):
-                total[k + i] += r[f"n{i}"] or 0.0
-                curve[at, k + i] = curve[k + i, at] = r[f"f{i}"] or 0.0
-            for i, j in pairs:
-                curve[k + i, k + j] += r[f"c{i}_{j}"] or 0.0
-                curve[k + j, k + i] = curve[k + i, k + j]
-        return total, curve
-
-    def mixture(steps: np.ndarray, total: np.ndarray, rounds: int) -> SourceMixture:
-        k = len(tokens)
-        off = float(max(np.abs(total - want) / np.maximum(want, 1.0), default=0.0))
-        if any(w > 0 and not found.get(name) for name, w in (weights or {}).items()):
-            off = max(off, 1.0)
-        return SourceMixture(sources, base, steps[:k].tolist(), steps[k:].tolist(), source_targets, total[:k].tolist(), targets,
-                             total[k:].tolist(), rounds, off, off <= TOLERANCE)
-
-    steps = np.zeros(len(want))
-    total, curve = measure(mixture(steps, want, 0))
-    best = mixture(steps, total, 0)
-    move, length = None, 1.0
-    for n in range(1, max_rounds + 1):
-        if best.met or length < 1e-3:
+    placed, targets = _place_sources(members, d, weights, power, targets)
+    rows = members.select(source_key(F.col("source")).alias("key"), "n_tokens", "posterior")
+    state = placed.withColumn("step", F.lit(0.0)).withColumn("last", F.lit(0.0)).withColumn("now", F.lit(0.0))
+    steps, last, first, pace = np.zeros(d), np.zeros(d), None, 1.0
+    want, stored, best, best_round = np.array(targets), None, math.inf, 0
+    for n in range(max_rounds + 1):
+        now = F.col("n_tokens") * source_rate(F.col("posterior"), steps.tolist())
+        sums = rows.join(state.select("key", "base", "step"), "key").select("key", now.alias("now"), "posterior") \
+            .groupBy("key").agg(F.sum("now").alias("now"), *(F.sum(F.col("now") * F.col("posterior")[i]).alias(f"n{i}") for i in range(d)))
+        measured = store(state.drop("now", *(f"n{i}" for i in range(d))).join(sums, "key", "left").fillna(0.0, ["now"]))
+        if stored is not None:
+            discard(stored)
+        stored = measured
+        gap = F.col("now") - F.col("target")
+        totals = measured.agg(
+            F.max(F.abs(gap) / F.greatest("target", F.lit(1.0))).alias("off"), F.sum(gap * (F.col("step") - F.col("last"))).alias("against"),
+            F.max((F.col("weight") > 0) & (F.col("tokens") == 0)).alias("absent"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(d))).first()
+        total = np.array([totals[f"n{i}"] or 0.0 for i in range(d)])
+        first = np.maximum(total, 1.0) if first is None else first
+        off = max([totals["off"] or 0.0, *(np.abs(total - want) / np.maximum(want, 1.0))])
+        if off < 0.99 * best:
+            best, best_round = off, n
+        if off <= TOLERANCE or n == max_rounds or n - best_round >= patience:
             break
-        if move is None:
-            size = 1 / np.sqrt(np.maximum(np.diag(curve), 1.0))
-            move = size * np.linalg.lstsq(curve * np.outer(size, size), size * (total - want), rcond=1e-10)[0]
-        after, bent = measure(mixture(steps + length * move, want, n))
-        if np.linalg.norm(after - want) < np.linalg.norm(total - want):
-            steps, total, curve, move, length = steps + length * move, after, bent, None, 1.0
-            best = mixture(steps, total, n)
-        else:
-            length /= 2
-    return best
+        if (totals["against"] or 0.0) + (total - want) @ (steps - last) < 0:
+            pace = 1.0
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        push, pace = (pace - 1) / faster, faster
+        # The point without momentum is kept as well: the next momentum starts from it.
+        plain = F.col("step") + gap / (2 * F.greatest("target", F.lit(1.0)))
+        state = measured.withColumn("plain", plain).withColumn("step", F.col("plain") + push * (F.col("plain") - F.col("last"))) \
+            .withColumn("last", F.col("plain")).drop("plain")
+        moved = steps + (total - want) / (2 * first)
+        steps, last = moved + push * (moved - last), moved
+    off = max(off, 1.0) if totals["absent"] else float(off)
+    return SourceMixture(measured, steps.tolist(), targets, total.tolist(), n, float(off), bool(off <= TOLERANCE))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -300,13 +250,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str, weights: dict[str, float] | Non
     members = store(posteriors(docs, model).select("doc_id", "source", "n_tokens", "posterior", F.xxhash64("text").alias("text_hash")))
     mix = fit_sources(members, len(model.names), weights)
     names = F.lit(model.names) if model.names else F.array().cast("array<string>")
-    r = source_rate(F.col("source"), F.col("posterior"), mix)
-    place = _place(F.col("source"), mix.sources) + 1
-    return members.select(
+    r = source_rate(F.col("posterior"), mix.steps)
+    return members.withColumn("key", source_key(F.col("source"))).join(mix.rates.select("key", "base", "step", "target", "now"), "key").select(
         "doc_id", "source", "n_tokens", F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")).alias("domain"),
         "posterior", r.alias("rate"), copies(r, F.col("doc_id"), F.col("text_hash")).alias("copies"),
-        F.element_at(_numbers(mix.source_targets), place).alias("source_target"),
-        F.element_at(_numbers(mix.source_totals), place).alias("source_total"),
+        F.col("target").alias("source_target"), F.col("now").alias("source_total"),
         F.lit(mix.off_target).alias("off_target"), F.lit(mix.met).alias("targets_met"))
 
 
@@ -320,19 +268,7 @@ def mix_rows(docs: DataFrame, model: DomainModel, weights: dict[str, float] | No
     mix = fit_sources(members, len(model.names), weights, power)
     if not mix.met:
         warnings.warn(f"target weights not met: off by {mix.off_target:.3g} of a target after {mix.rounds} rounds", stacklevel=2)
-    n = F.when(F.col("n_tokens") == 0, 1).otherwise(copies(source_rate(F.col("source"), F.col("posterior"), mix), F.col("doc_id"), F.xxhash64("text")))
-    return posteriors(packed, model).select("row", n.alias("_n")).filter("_n > 0") \
+    n = F.when(F.col("n_tokens") == 0, 1).otherwise(copies(source_rate(F.col("posterior"), mix.steps), F.col("doc_id"), F.xxhash64("text")))
+    rated = posteriors(packed, model).withColumn("key", source_key(F.col("source"))).join(mix.rates.select("key", "base", "step"), "key")
+    return rated.select("row", n.alias("_n")).filter("_n > 0") \
         .select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
-
-
-def repeat_rows(docs: DataFrame, model: DomainModel, power: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text and others) as often as the rates of their soft domains say; sources are not read.
-
-    With smoothed targets no domain shrinks; a rate that falls below one all the same
-    (a document between domains) still leaves one copy.
-    """
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.col("doc_id").alias("doc_id"))
-    members = store(posteriors(packed.select("text"), model).select("n_tokens", "posterior"))
-    mixture = fit_rates(members, len(model.names), power=power)
-    n = F.greatest(F.lit(1), copies(rate(F.col("posterior"), mixture.steps), F.col("doc_id"), F.xxhash64("text")))
-    return posteriors(packed, model).select("row", F.explode(F.sequence(F.lit(1), n)).alias("_copy")).select("row.*")

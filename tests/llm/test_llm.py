@@ -135,21 +135,59 @@ def test_mixing_meets_targets(spark, sf):
 
 
 def test_mixing_can_set_rates_to_zero(spark):
-    members = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0]), (50, [0.5, 0.5])], "n_tokens long, posterior array<double>")
-    mixture = mixing.fit_rates(members, 2, targets=[150.0, 0.0], max_rounds=500)
-    rates = [r.r for r in members.select(mixing.rate(F.col("posterior"), mixture.steps).alias("r")).collect()]
-    assert min(rates) >= 0 and rates[1] == 0 and rates[0] > 1
+    members = store(spark.createDataFrame([(100, [1.0, 0.0], None), (100, [0.0, 1.0], None), (50, [0.5, 0.5], None)],
+                                          "n_tokens long, posterior array<double>, source string"))
+    mix = mixing.fit_sources(members, 2, targets=[150.0, 0.0], max_rounds=30)
+    rates = [r.r for r in members.crossJoin(mix.rates).select(mixing.source_rate(F.col("posterior"), mix.steps).alias("r")).collect()]
+    assert sorted(rates)[:2] == [0.0, 0.0] and abs(max(rates) - 1.5) < 1e-4
+
+
+def test_mixing_against_brute_force(spark):
+    """The rates nearest to their base that meet all totals, found by Dykstra's projections on a dense matrix."""
+    rng = np.random.default_rng(2)
+    n, sources = 80, ["a", "b", None]
+    tokens, place, p = rng.integers(1, 400, n), rng.integers(0, 3, n), rng.dirichlet([0.3, 0.3, 0.3], n)
+    p[:, 0] = np.where(place == 0, p[:, 0], p[:, 0] / 4)
+    p /= p.sum(axis=1, keepdims=True)
+    members = store(spark.createDataFrame([(int(t), x.tolist(), sources[s]) for t, x, s in zip(tokens, p, place)],
+                                          "n_tokens long, posterior array<double>, source string"))
+    mix = mixing.fit_sources(members, 3, {"a": 1.0, "b": 3.0}, targets=(tokens.sum() * np.array([0.06, 0.24, 0.7])).tolist())
+    assert mix.met
+    table = {r["source"]: r for r in mix.rates.collect()}
+    got = np.array([table[sources[s]]["base"] * max(0.0, 1 - table[sources[s]]["step"] - x @ mix.steps) for s, x in zip(place, p)])
+    base = np.array([table[sources[s]]["base"] for s in place])
+    member = np.column_stack([place == s for s in range(3)] + [p]).T * (tokens * base)
+    want = np.array([table[s]["target"] for s in sources] + mix.targets)
+    assert np.allclose(member @ (got / base), want, rtol=1e-5)
+    weight = tokens * base
+    fix = (member / weight).T @ np.linalg.pinv((member / weight) @ member.T)
+    x, cut, push = np.ones(n), np.zeros(n), np.zeros(n)
+    for _ in range(20_000):
+        y = x + push
+        z = y + fix @ (want - member @ y)
+        push, y = y - z, z + cut
+        x = np.maximum(y, 0.0)
+        cut = y - x
+    assert np.allclose(got / base, x, atol=1e-3) and (got == 0).any()
+
+
+def test_mixing_many_sources(spark):
+    """Sources are rows of a table, as many as there are documents if need be."""
+    members = store(spark.range(2000).select(
+        (F.col("id") % 7 + 1).alias("n_tokens"), F.array(F.lit(0.5) + F.col("id") % 2 / 4, F.lit(0.5) - F.col("id") % 2 / 4).alias("posterior"),
+        F.when(F.col("id") > 0, F.concat(F.lit("host"), F.col("id"))).alias("source")))
+    mix = mixing.fit_sources(members, 2, power=1.0)
+    assert mix.rates.count() == 2000 and mix.off_target < 1.0
 
 
 def test_mixing_awkward(spark, awkward, empty, labels):
     known = awkward.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
     model = mixing.fit_domains(awkward, known)
-    out = mixing.repeat_rows(awkward, model)
-    assert out.columns == awkward.columns
-    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in awkward.collect()}
     none = mixing.fit_domains(awkward, known.filter("false"))
-    assert none.names == [] and mixing.repeat_rows(awkward, none).count() == awkward.count()
-    assert mixing.repeat_rows(empty, model).count() == 0
+    assert none.names == []
+    for each in (model, none):
+        assert mixing.mix_rows(awkward, each).columns == awkward.columns
+        assert mixing.mix_rows(empty, each).count() == 0
 
 
 def test_mixing_meets_weights_of_sources(spark, sf):
