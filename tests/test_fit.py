@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from stationary import gradients
 from ratingspark.functions.portable import initial_projection
 from ratingspark.operators.graph import full_graph_sums, neighbour_sums, unit_vectors
+from ratingspark.operators.half_steps import half_step, held_out_errors, run_steps
 from ratingspark.plans.config import ModelConfig, Run, with_fold
 from ratingspark.plans.fit import _initial_state, fit_runs, prepare
 from ratingspark.plans.model import FittedModel, RatingModel
+from ratingspark.session import cut_lineage
 
 M, N = 30, 20
 BASE = dict(lambda_u=0.7, lambda_v=0.9, lambda_bu=0.5, lambda_bi=0.4)
@@ -254,3 +256,26 @@ def test_planted_structure_is_recovered(spark, sf):
     model = RatingModel(ModelConfig(2, 12, 0.1, 0.1, 0.1, 0.1)).fit(planted, tol=None)
     curve = [r.train_rmse for r in model.history.orderBy("iter").collect()]
     assert curve[-1] < 0.1 < curve[0]
+
+
+def test_state_of_many_runs_is_not_broadcast(spark):
+    """Size estimates see the universe, not the runs, so a large state would go whole through the driver."""
+    ratings = spark.createDataFrame([(u, i, float(u + i)) for u in range(6) for i in range(5)], "user_id long, item_id long, rating double")
+    data = prepare(ratings)
+    runs = [Run(r, ModelConfig(2, 1, 1.0, 1.0, 1.0, 1.0, None), None, None) for r in range(20)]
+    users = cut_lineage(_initial_state(data.users, "user_id", "U", runs))
+    items = cut_lineage(_initial_state(data.items, "item_id", "V", runs))
+    steps = run_steps(runs, {r.run_id: 0.0 for r in runs}, "user")
+    for result in (half_step(data.by_user, users, items, steps), held_out_errors(data.by_user, users, items, steps)):
+        assert "BroadcastExchange" not in result._jdf.queryExecution().executedPlan().toString()
+    data.release()
+
+
+def test_prepare_fills_both_universes(spark):
+    """Items were read from the ratings again after these had left the cache."""
+    ratings = spark.createDataFrame([(1, 1, 2.0), (2, 3, 4.0)], "user_id long, item_id long, rating double")
+    data = prepare(ratings)
+    for table in (data.users, data.items):
+        relation = table._jdf.queryExecution().withCachedData()
+        assert relation.cacheBuilder().isCachedColumnBuffersLoaded()
+    data.release()
