@@ -386,3 +386,16 @@ def test_keyed_vector_sums(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vec"))
     got = {r.k: r.vec for r in sum_vectors(df, ["k"]).collect()}
     assert got == {k: [len(range(k, 1000, 3)), float(sum(range(k, 1000, 3)))] for k in range(3)}
+
+
+def test_statistics_of_columns_move_no_rows(spark):
+    """One row per feature is joined to all item rows; shuffled by feature these would meet in one task."""
+    table = spark.createDataFrame([("a", i, [float(i), float("nan")]) for i in range(9)], "feature string, item_id long, x array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (normalize.impute_medians(table), normalize._scale_columns(table, "col_minmax", 1e-8)):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [r.x for r in normalize.impute_medians(table).orderBy("item_id").collect()] == [[float(i), 0.0] for i in range(9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
