@@ -34,7 +34,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of smallest key of every group of texts with 5-word Jaccard similarity of 0.8 or more."""
+    """The row of smallest key of every group of texts with 5-word Jaccard similarity of 0.8 or more.
+
+    Candidates are found by joining tries of SimHash fingerprints with themselves; an exact check follows.
+    """
     return near_dedup.keep_one_row(docs)
 
 

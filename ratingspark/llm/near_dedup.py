@@ -1,4 +1,4 @@
-"""Near-dedup of the pipeline: SimHash candidates with a wide budget, then exact Jaccard similarity.
+"""Near-dedup of the pipeline: tries of SimHash fingerprints with a wide budget, then exact Jaccard similarity.
 
 Words are cut as in ``simhash_trie``; a text's set holds the XXH64 of its shingles of five
 words (fewer words: the whole sequence). Two texts are near copies if the Jaccard
@@ -7,9 +7,11 @@ Texts of equal sets are merged first.
 
 Blocks: a pair of similarity s shares one of the smallest n - ceil(s n) + 1 hashes of both
 sets (n hashes in a set), so each distinct set is sent to a block for each of these and no such pair is
-lost. In a block, sets are candidates if their sizes allow the similarity and their SimHash
-fingerprints differ in ``BUDGET`` bits or fewer; at 0.8 they differ in about 10 of 64
-(deviation 3). Sets under ``SMALL`` shingles have unsteady fingerprints and skip that test.
+lost. The fingerprints of a block are a binary trie below the block's hash, as those of ``simhash_trie`` are below the
+value of 16 bits; a task joins the tries below its blocks with themselves. Sets are candidates if their SimHash
+fingerprints differ in ``BUDGET`` bits or fewer and their sizes allow the similarity; at 0.8 they differ in about 10 of 64
+(deviation 3). Sets under ``SMALL`` shingles have unsteady fingerprints and skip that test. A block
+whose sets are all candidates with its first one is a star without a walk.
 
 A block's task returns a forest of its candidate links. Texts of each candidate component then
 meet in one task, which compares whole sets and returns a forest of the links that hold. Pairs
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ratingspark.llm.common import store, text_slices
 from ratingspark.llm.components import components
-from ratingspark.llm.simhash_trie import SEED
+from ratingspark.llm.simhash_trie import SEED, Trie, unite
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -119,12 +121,18 @@ def forest(fp: np.ndarray, n: np.ndarray, similarity: float, budget: int, same=N
     return _roots(parent)
 
 
+def _tree(ids: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The links of a forest by name."""
+    child = np.flatnonzero(parent != np.arange(len(ids)))
+    return np.column_stack([ids[child], ids[parent[child]]])
+
+
 def _edges(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
 
 def _block_links(similarity: float, budget: int):
-    """Rows (key, set_id, fp, n) sorted by key: candidate links of each key's block as a forest."""
+    """Rows (key, set_id, fp, n) sorted by key and set_id: candidate links of each block's trie as a forest."""
     def links(key: np.ndarray, ids: np.ndarray, fp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         length = np.diff(np.append(begin, len(key)))
@@ -132,16 +140,26 @@ def _block_links(similarity: float, budget: int):
         near = _possible(fp, n, fp[hub], n[hub], similarity, budget)
         whole = np.logical_and.reduceat(near, begin)
         rows = np.flatnonzero(np.repeat(whole, length) & (np.arange(len(key)) != hub))
-        edges, seen = [np.column_stack([ids[rows], ids[hub[rows]]])], set()
+        edges, seen, walked = [np.column_stack([ids[rows], ids[hub[rows]]])], set(), np.zeros(len(key), bool)
         for b, size in zip(begin[~whole].tolist(), length[~whole].tolist()):
             part = slice(b, b + size)
             if (name := ids[part].tobytes()) not in seen:
                 seen.add(name)
-                parent = forest(fp[part], n[part], similarity, budget)
-                child = np.flatnonzero(parent != np.arange(size))
-                edges.append(np.column_stack([ids[part][child], ids[part][parent[child]]]))
-        out = np.concatenate(edges)
-        return _edges(out)
+                walked[part] = n[part] >= SMALL
+                small = b + np.flatnonzero(similarity * n[part] < SMALL + 1e-9)
+                if len(small) > 1:
+                    edges.append(_tree(ids[small], forest(fp[small], n[small], similarity, budget)))
+        rows = np.flatnonzero(walked)
+        if len(rows):
+            rows = rows[np.lexsort((fp[rows], hub[rows]))]
+            ends = np.append(np.flatnonzero(np.diff(hub[rows])) + 1, len(rows))
+            roots = np.column_stack([np.append(0, ends[:-1]), ends])
+            parent = np.arange(len(rows))
+            for i, j in Trie(fp[rows]).self_join(roots[roots[:, 1] - roots[:, 0] > 1], 0, budget):
+                near = _possible(fp[rows[i]], n[rows[i]], fp[rows[j]], n[rows[j]], similarity, budget)
+                unite(parent, i[near], j[near])
+            edges.append(_tree(ids[rows], parent))
+        return _edges(np.concatenate(edges))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -172,9 +190,7 @@ def _verify(similarity: float, budget: int):
             return both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9
 
         parent = forest(np.array(fps, np.int64).view(np.uint64), sizes, similarity, budget, same)
-        child = np.flatnonzero(parent != np.arange(len(ids)))
-        named = np.array(ids, np.int64)
-        return np.column_stack([named[child], named[parent[child]]])
+        return _tree(np.array(ids, np.int64), parent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, ids, fps, sets = None, [], [], []

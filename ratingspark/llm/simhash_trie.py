@@ -43,6 +43,8 @@ MAX_BITS = 3
 LEAVES = 64
 #: Node pairs that are walked at a time.
 FRONT = 500_000
+#: Leaf pairs that are compared at a time.
+COMPARED = 2_000_000
 #: Fingerprints whose tries are walked together.
 CHUNK = 200_000
 
@@ -108,7 +110,10 @@ class Trie:
             if depth == 64:
                 leaf[:] = True
             if leaf.any():
-                yield self._leaves(front[leaf], budget)
+                due = front[leaf]
+                ends = np.cumsum((due[:, 1] - due[:, 0]) * (due[:, 3] - due[:, 2]))
+                for part in np.split(due, np.flatnonzero(np.diff(ends // COMPARED)) + 1):
+                    yield self._leaves(part, budget)
             front = front[~leaf]
             if not len(front):
                 continue

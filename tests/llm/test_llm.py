@@ -348,6 +348,37 @@ def test_near_dedup_against_brute_force(spark):
     assert len(simhash_trie.keep_one(docs).collect()) > len(want)
 
 
+def test_near_dedup_joins_tries(monkeypatch):
+    """Candidates of blocks come from the trie join and are those of comparing all pairs of a block."""
+    joined = []
+    monkeypatch.setattr(simhash_trie, "COMPARED", 50)
+    monkeypatch.setattr(simhash_trie.Trie, "self_join", lambda self, *args, whole=simhash_trie.Trie.self_join:
+                        joined.append(len(self.values)) or whole(self, *args))
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 12, dtype=np.uint64)
+    fps = [int(base[k % 12]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 15), replace=False)) for k in range(120)]
+    sizes = [int(rng.choice([3, 4, 15, 16, 18, 19, 40, 44, 49, 60])) for _ in range(120)]
+    blocks = {key: sorted(rng.choice(120, size, replace=False).tolist()) for key, size in enumerate([1, 2, 2, 3, 9, 30, 120])}
+    rows = [(key, k, fps[k], sizes[k]) for key, members in blocks.items() for k in members]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
+         pa.array(np.array([r[2] for r in rows], np.uint64).view(np.int64)), pa.array([r[3] for r in rows], pa.int32())],
+        names=["key", "set_id", "fp", "n"])
+    got = [(u, v) for out in near_dedup._block_links(0.8, 20)([batch]) for u, v in zip(out.column("u").to_pylist(), out.column("v").to_pylist())]
+    want = [(i, j) for members in blocks.values() for i in members for j in members if i < j
+            and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and (min(sizes[i], sizes[j]) < 16 or (fps[i] ^ fps[j]).bit_count() <= 20)]
+
+    def groups(edges):
+        root = list(range(120))
+        for i, j in edges:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    assert groups(got) == groups(want) and len(set(groups(want))) > 5
+    assert joined and max(joined) > 60
+
+
 def test_near_dedup_by_row(spark):
     """Unrelated texts under one id stay, an id's copy of another group goes, null texts stay, of empty texts one."""
     one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
