@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ratingspark.llm.common import discard, documents, store, text_slices
 
 #: Entries of a container that has a level below; entries of all tries of a task; words with ids.
-BURST, LIMIT, WORDS = 4_096, 1_000_000, 1_000_000
+BURST, LIMIT, WORDS = 4_096, 500_000, 400_000
 #: The Bloom filter: bits for each phrase, at most 2^28 bits, probes.
 BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
 #: A row of the shuffle: the batches of ``block`` hold the phrases of one language and length each.

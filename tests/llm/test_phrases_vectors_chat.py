@@ -49,6 +49,16 @@ def spoken(spark):
     return rows
 
 
+def test_collocations_spill_before_a_task_is_large():
+    """By default a task of 420,000 words spills; nothing is lost by it."""
+    counter = collocations._Counter(collocations.LIMIT, collocations.BURST, None, 8)
+    counter.count("en", [b" ".join(b"w%d" % i for i in range(420_000))], [1, 2])
+    blocks = list(counter.spill())
+    assert blocks and len(counter.ids) == 1 and not counter.tries
+    rows = [part for block in blocks for data in block.column("block") for part in pa.ipc.open_stream(data.as_buffer())]
+    assert sum(part.num_rows for part in rows) == 420_000 + 419_999 and counter.totals == {"en": 420_000}
+
+
 @pytest.mark.parametrize("limit, burst", [(1_000_000, 4_096), (300, 4)])
 def test_collocations_against_brute_force(spark, spoken, limit, burst):
     docs = spark.createDataFrame([(*r, 1, 0.5, "p", 7) for r in spoken], "lang string, text string, rank int, score double, phrase string, f int").repartition(3)
