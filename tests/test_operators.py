@@ -280,6 +280,25 @@ def test_clustered_vectors_cost_few_products(spark):
     assert whole.n_products < 0.65 * 600 ** 2
 
 
+def test_vectors_are_sent_as_often_however_many_cells_there_are(spark, monkeypatch):
+    def count_rows(*_):
+        def task(table):
+            import pyarrow as pa
+
+            kind = pa.list_(pa.struct([("dst", pa.int64()), ("sim", pa.float64())]))
+            return pa.table({"gid": pa.array([None], pa.int64()), "near": pa.array([[]], kind), "floor": [0.0], "products": [table.num_rows * 10**9]})
+
+        return task
+
+    monkeypatch.setattr(neighbours, "_between", count_rows)
+    rng, sent = random.Random(5), {}
+    for n in (700, 1_400):
+        units = graph.unit_vectors(feature(spark, [[rng.gauss(0, 1) for _ in range(24)] for _ in range(n)]), "f", 1e-8)
+        report = neighbours.products_report(units, 5, cell=24).first()
+        sent[n] = report.n_products // 10**9
+    assert 0 < sent[1_400] <= 2.1 * sent[700]  # four times as many when each pair of cells was a tile
+
+
 def test_items_of_few_levels_are_dealt_evenly(spark):
     """A level with a third of all items is no single task's work."""
     levels = spark.range(60_000, numPartitions=12).select(
