@@ -1,5 +1,7 @@
 """Solved systems with their statuses, and the time of runs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,12 @@ def test_repeated_ratings_are_refused(spark):
         prepare(ratings)
     with pytest.raises(ValueError, match="more than once"):
         prepare(ratings, max_rows=2)
+
+
+def test_edges_are_dealt_by_pair_into_a_set_number_of_tasks(spark):
+    """Merged by packed size, a task would hold wide grouped rows of many partitions at once."""
+    edges = spark.range(1_000).selectExpr("id AS src", "id + 1 AS dst", "0.5D AS sim")
+    found = graph.edge_violations(edges, spark.range(1_001).withColumnRenamed("id", "item_id"))
+    assert f"hashpartitioning(a, b, {spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in re.sub(
+        r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+    assert found.groupBy("rule").count().collect() == [("one way", 1_000)]
