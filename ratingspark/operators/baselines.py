@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ratingspark.plans.config import EPS
+from ratingspark.session import cut_lineage
 
 
 def user_bias(ratings: DataFrame, penalty: float) -> DataFrame:
@@ -56,6 +57,7 @@ def held_out_guesses(folded: DataFrame, settings: list[tuple[str, float | None,
     A setting is (name, user penalty, item penalty); None leaves the bias out.
     The prediction uses only ratings of other folds.
     """
+    folded = cut_lineage(folded)  # read four times below; its folds come from a sort of all ratings
     rows = (
         folded.join(_outside(folded, "user_id", "u"), ["user_id", "fold"])
         .join(_outside(folded, "item_id", "i"), ["item_id", "fold"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratingspark.functions.vectors import is_finite
 from ratingspark.operators import baselines, folds, metrics, normalize
+from ratingspark.session import cut_lineage
 from ratingspark.sources import ratings as source
 from ratingspark.workload import views as v
 from ratingspark.workload.registry import query
@@ -415,7 +416,7 @@ by_bin AS (SELECT variant, fold, bin, rmse FROM grid LEFT JOIN found USING (vari
 
 
 def _by_bin(spark, sf):
-    errors = baselines.item_errors(v.guesses(spark, sf))
+    errors = cut_lineage(baselines.item_errors(v.guesses(spark, sf)))  # read for the groups and for the bins
     bins = metrics.popularity_bins(_counts(spark, sf, cold=False), 5)
     groups = errors.select("variant", "fold").distinct()
     return metrics.rmse_by_bin(errors, bins, groups, 5)

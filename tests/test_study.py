@@ -5,9 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from ratingspark.operators import baselines
 from ratingspark.operators.folds import assign_folds
 from ratingspark.plans import parzen, study
 from ratingspark.plans.config import PARAMETERS
+from ratingspark.workload import studies
 
 SPACE = study.SearchSpace(n_factors=(1, 2), n_iters=1, topk=(3, 3))
 
@@ -92,3 +94,14 @@ def test_written_files_hold_the_study(spark, folded, tmp_path):
     assert (summary.n_trials, summary.n_complete, summary.best_trial) == (3, 3, want.trial)
     assert spark.read.option("header", True).csv(f"{path}/x_trials").count() == 3
     assert study.load_params(spark, f"{path}/x_best_params").first().n_factors == want.n_factors
+
+
+def test_folds_and_scores_are_worked_out_once(spark, sf):
+    """A guess reads the folded ratings four times, a study its scores; neither goes back to the tables each time."""
+    rows = [(u, i, 1.0 + (u * i) % 5) for u in range(12) for i in range(9)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    guesses = baselines.held_out_guesses(assign_folds(ratings, 3), [("full", 5.0, 5.0), ("means", None, None)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" not in plan(guesses) and guesses.count() == 2 * len(rows)
+    assert guesses.where("prediction IS NULL").count() == 0
+    assert "l_quantity" not in plan(studies._trials(spark, sf)) and "prediction" not in plan(studies._scores(spark, sf))
