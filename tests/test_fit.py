@@ -279,3 +279,16 @@ def test_prepare_fills_both_universes(spark):
         relation = table._jdf.queryExecution().withCachedData()
         assert relation.cacheBuilder().isCachedColumnBuffersLoaded()
     data.release()
+
+
+def test_ratings_are_clustered_by_item_when_first_asked_for(spark, world):
+    """From those clustered by user, with the counts of the route; users and items without ratings stay known."""
+    data = prepare(world["ratings"], world["users"], world["items"], max_rows=6)
+    assert data._by_item is None
+    keys = lambda df, own, other: sorted(tuple(r) for r in df.select(own, other, "rating", "fold").collect())
+    assert keys(data.by_item.ratings, "other", "own") == keys(data.by_user.ratings, "own", "other")
+    assert {r.other: r["count"] for r in data.by_user.others().collect()} == {
+        r.item_id: r["count"] for r in world["ratings"].groupBy("item_id").count().collect()}
+    assert data.by_item.hot is not None
+    assert data.users.count() == data.users.distinct().count() and data.items.count() == data.items.distinct().count()
+    data.release()

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,23 @@ def test_folds_do_not_depend_on_row_order_or_partitions(spark):
     assert [r.fold for r in ordered.orderBy("user_id", "item_id").collect()] == [j // 50 for j in range(200)]
 
 
+@pytest.mark.parametrize("k", [1, 3, 7, 400])
+def test_folds_follow_the_digest_order_and_only_cut_ranges_are_numbered(spark, k):
+    """A table that has its ranges is taken as it is; the repeated rows lie at an end of a fold or not."""
+    import hashlib
+
+    rows = ratings(spark, [(u, i, 1) for u in range(30) for i in range(10)] + [(3, 4, 2)] * 9)
+    ranged = folds.with_ranges(rows, 5).persist()
+    out = folds.assign_folds(ranged, k, 5)
+    assert out.columns == ["user_id", "item_id", "rating", "fold"]
+    keys = sorted((hashlib.md5(f"5:{r.user_id}:{r.item_id}".encode()).hexdigest(), r.user_id, r.item_id) for r in rows.collect())
+    edges = np.cumsum([0] + [len(keys) // k + (f < len(keys) % k) for f in range(k)])
+    want = sorted((u, i, int(np.searchsorted(edges, at, "right")) - 1) for at, (_, u, i) in enumerate(keys))
+    assert sorted((r.user_id, r.item_id, r.fold) for r in out.collect()) == want
+    assert folds.assign_folds(rows.limit(0), k).count() == 0
+    ranged.unpersist()
+
+
 def test_saved_folds_must_fit_the_data(spark, tmp_path):
     rows = ratings(spark, [(u, i, 1) for u in range(4) for i in range(3)])
     out = folds.assign_folds(rows, 3)
