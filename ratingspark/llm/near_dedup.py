@@ -5,9 +5,11 @@ words (fewer words: the whole sequence). Two texts are near copies if the Jaccar
 similarity of their sets is 0.8 or more, and rows belong together if a chain joins them.
 Texts of equal sets are merged first.
 
-Blocks: a pair of similarity s shares one of the smallest n - ceil(s n) + 1 hashes of both
-sets (n hashes in a set), so each distinct set is sent to a block for each of these and no such pair is
-lost. The fingerprints of a block are a binary trie below the block's hash, as those of ``simhash_trie`` are below the
+Blocks: a pair of similarity s shares one of the first n - ceil(s n) + 1 hashes of both
+sets (n hashes in a set), in any order that is the same for all sets, so each distinct set is sent to a block for each of these
+and no such pair is lost. Rare hashes come first: a table of 2^22 counters, filled from all texts, tells how often a hash occurs at most. A shingle
+that many texts share would else, if its hash is small, be a block that grows with the corpus and chains unlike texts into one candidate component.
+The fingerprints of a block are a binary trie below the block's hash, as those of ``simhash_trie`` are below the
 value of 16 bits; a task joins the tries below its blocks with themselves. Sets are candidates if their SimHash
 fingerprints differ in ``BUDGET`` bits or fewer and their sizes allow the similarity; at 0.8 they differ in about 10 of 64
 (deviation 3). Sets under ``SMALL`` shingles have unsteady fingerprints and skip that test. A block
@@ -37,6 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BUDGET = 20
 SMALL = 16
+#: Counters of shingles, by the leading bits of their hash, and how many travel as one row.
+COUNTER_BITS, SEGMENT = 22, 1 << 16
 #: Block rows that are compared at a time.
 CHUNK = 500_000
 
@@ -67,8 +71,43 @@ def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def _describe(similarity: float):
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of the task have a shingle of each counter, in segments."""
+    counts = np.zeros(1 << COUNTER_BITS, np.int32)
+    for piece in text_slices(batches):
+        for text in piece.column("text").to_pylist():
+            np.add.at(counts, _counters(shingle_set(text)), 1)
+    for number, part in enumerate(np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, SEGMENT)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["segment", "counts"])
+
+
+def _levels(table: pa.Table) -> pa.Table:
+    """The sums of one segment on a logarithmic scale of 256 steps."""
+    total = np.zeros(SEGMENT, np.int64)
+    for row in table["counts"].to_pylist():
+        total += np.frombuffer(row, np.uint16)
+    levels = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+    return pa.table({"segment": table["segment"].slice(0, 1), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+
+def shingle_levels(docs: DataFrame):
+    """A broadcast table of 4 MB: a step for each counter that grows with the texts that have a shingle of it."""
+    context = docs.sparkSession.sparkContext
+    tallies = docs.select("text").coalesce(context.defaultParallelism).mapInArrow(_tally, "segment int, counts binary")
+    levels = bytearray(1 << COUNTER_BITS)
+    for row in tallies.groupBy("segment").applyInArrow(_levels, "segment int, levels binary").collect():  # 64 rows
+        levels[row.segment * SEGMENT:(row.segment + 1) * SEGMENT] = row.levels
+    return context.broadcast(bytes(levels))
+
+
+def _describe(similarity: float, table):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(table.value, np.uint8)
         for piece in text_slices(batches):
             ids, prints, sizes, prefixes = [], [], [], []
             for text in piece.column("text").to_pylist():
@@ -76,7 +115,8 @@ def _describe(similarity: float):
                 ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 prints.append(set_fingerprint(hashes))
                 sizes.append(len(hashes))
-                prefixes.append(hashes[:prefix_length(len(hashes), similarity)].view(np.int64))
+                order = np.argsort(levels[_counters(hashes)], kind="stable")  # equal steps: by hash
+                prefixes.append(hashes[order[:prefix_length(len(hashes), similarity)]].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints)]
@@ -209,12 +249,20 @@ def _verify(similarity: float, budget: int):
     return run
 
 
+def describe(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Name, fingerprint, size and block keys of the shingle set of each row of ``docs``, stored."""
+    levels = shingle_levels(docs)
+    described = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", "text").mapInArrow(
+        _describe(similarity, levels), "doc_id long, row_key long, set_id long, fp long, n int, keys array<long>"))
+    levels.destroy()
+    return described
+
+
 def near_sets(docs: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET) -> DataFrame:
     """``doc_id``, ``row_key``, ``group`` of the rows of ``docs`` (doc_id, row_key, text; texts not null)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", "text").mapInArrow(
-        _describe(similarity), "doc_id long, row_key long, set_id long, fp long, n int, keys array<long>"))
+    described = describe(docs, similarity)
     # The row of smallest key speaks for each distinct set.
     speaker = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))
     distinct = store(described.groupBy("set_id", "fp", "n").agg(speaker.alias("row"), F.first("keys").alias("keys")))

@@ -348,6 +348,19 @@ def test_near_dedup_against_brute_force(spark):
     assert len(simhash_trie.keep_one(docs).collect()) > len(want)
 
 
+def test_near_dedup_common_passage_is_no_block(spark):
+    """A passage that all texts share names no block, so it chains no unlike texts into one candidate component."""
+    rng = random.Random(6)
+    passage = " ".join(f"common{k}" for k in range(30))
+    texts = [" ".join([*(f"w{rng.random()}" for _ in range(60)), passage]) for _ in range(300)]
+    docs = store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row_key", F.col("doc_id")).repartition(3))
+    described = near_dedup.describe(docs)
+    assert described.agg(F.max(F.size("keys") - (F.col("n") - F.ceil(0.8 * F.col("n")) + 1))).first()[0] == 0
+    largest = described.select(F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest < 10
+    assert near_dedup.keep_one_row(docs).count() == 300
+
+
 def test_near_dedup_joins_tries(monkeypatch):
     """Candidates of blocks come from the trie join and are those of comparing all pairs of a block."""
     joined = []
