@@ -40,6 +40,8 @@ from ratingspark.llm.common import discard, documents, store, text_slices
 BURST, LIMIT, WORDS = 4_096, 500_000, 400_000
 #: The Bloom filter: bits for each phrase, at most 2^28 bits, probes.
 BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
+#: Words of 64 bits of the filter that travel to the driver as one row.
+SEGMENT = 1 << 15
 #: A row of the shuffle: the batches of ``block`` hold the phrases of one language and length each.
 BLOCKS = "bucket long, langs array<string>, words array<int>, block binary"
 #: Prefix partitions for each partition of the shuffle; entries that are merged at once.
@@ -353,6 +355,21 @@ def _positions(n: int, bits: int):
     return run
 
 
+def bloom_segments(phrases: DataFrame, n: int, bits: int) -> DataFrame:
+    """(segment, bits): the filter in pieces of ``SEGMENT`` words of 64 bits, put together by the tasks; empty ones are left out."""
+    width = min(SEGMENT, bits // 64)
+
+    def build(table: pa.Table) -> pa.Table:
+        piece = np.zeros(width, np.int64)
+        word = table["word"].to_numpy()
+        piece[word % width] = table["mask"].to_numpy()
+        return pa.table({"segment": pa.array([int(word[0]) // width], pa.int32()), "bits": pa.array([piece.tobytes()], pa.binary())})
+
+    at = phrases.mapInArrow(_positions(n, bits), "at long")
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
+    return words.groupBy((F.col("word") / F.lit(width)).cast("int")).applyInArrow(build, "segment int, bits binary")
+
+
 def bloom_filter(phrases: DataFrame, n: int):
     """A broadcast filter that holds the hashes of all ``phrases`` (lang, phrase) of n words."""
     spark = phrases.sparkSession
@@ -360,11 +377,10 @@ def bloom_filter(phrases: DataFrame, n: int):
     wanted = min(MOST_BITS, BITS * phrases.count())
     while bits < wanted:
         bits *= 2
-    at = phrases.mapInArrow(_positions(n, bits), "at long")
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toPandas()
-    bloom = np.zeros(bits // 64, np.int64)
-    bloom[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(bloom.tobytes())
+    bloom = bytearray(bits // 8)
+    for row in bloom_segments(phrases, n, bits).collect():  # at most 32 MB
+        bloom[row.segment * 8 * SEGMENT:row.segment * 8 * SEGMENT + len(row.bits)] = row.bits
+    return spark.sparkContext.broadcast(bytes(bloom))
 
 
 def _long(count: F.Column) -> F.Column:

@@ -89,6 +89,24 @@ def test_trie_bursts_and_spills_whole_subtrees():
     assert all(len(h) == 1 for h in heads[:-1]) and not set.union(*heads[:-1]) & heads[-1]
 
 
+def test_bloom_filter_reaches_the_driver_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SEGMENT", 64)
+    pairs = [("en", f"a{k} b{k % 7}") for k in range(3_000)]
+    phrases = spark.createDataFrame(pairs, "lang string, phrase string").repartition(3)
+    bits = 1 << 16
+    rows = collocations.bloom_segments(phrases, 2, bits).collect()
+    assert 1 < len(rows) <= bits // 64 // 64 and all(len(r.bits) == 8 * 64 for r in rows)
+    got = np.frombuffer(collocations.bloom_filter(phrases, 2).value, np.uint64)
+    want = np.zeros(bits // 64, np.uint64)
+    salt = np.uint64(collocations.xxhash.xxh3_64_intdigest("en"))
+    for _, phrase in pairs:
+        words = np.array([collocations.xxhash.xxh3_64_intdigest(w) for w in phrase.encode().split()], np.uint64)
+        for at in collocations._probes(collocations.phrase_hashes(words ^ salt, 2), bits):
+            want[at >> np.uint64(6)] |= np.uint64(1) << (at & np.uint64(63))
+    assert len(got) == bits // 64 and np.array_equal(got, want)
+    assert not any(collocations.bloom_filter(phrases.limit(0), 2).value)
+
+
 def test_longer_phrases_are_exact(spark, spoken):
     docs = spark.createDataFrame(spoken, "lang string, text string")
     rows = collocations.collocations(docs, longest=4, min_count=3, cover=1_000_000).collect()
