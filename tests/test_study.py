@@ -105,3 +105,24 @@ def test_folds_and_scores_are_worked_out_once(spark, sf):
     assert "_range" not in plan(guesses) and guesses.count() == 2 * len(rows)
     assert guesses.where("prediction IS NULL").count() == 0
     assert "l_quantity" not in plan(studies._trials(spark, sf)) and "prediction" not in plan(studies._scores(spark, sf))
+
+
+def test_tune_study_searches_the_whole_space(spark, monkeypatch, tmp_path):
+    """A space of ranks up to 3 and two iterations left little of the study."""
+    given = {}
+
+    def run_study(folded, features, search, n_folds, **rest):
+        given.update(search=search)
+        return study.StudyResult(spark.createDataFrame(
+            [(0, "COMPLETE", 1.0, 2.0, 1)], "trial long, state string, value double, mean_iters double, n_factors int"), None, None, None)
+
+    monkeypatch.setattr(study, "run_study", run_study)
+    spark.range(7).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 3, 5.0), (2, 4, 6.0)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 1), (2, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, 10.0), (2, 2, 20.0), (2, 1, 30.0)], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    assert studies.tune_study(spark, str(tmp_path)).count() == 1
+    assert given["search"] == study.ModelBased(7, study.SearchSpace())
+    assert given["search"].space.n_factors == (1, 150) and given["search"].space.n_iters == 100
