@@ -292,3 +292,37 @@ def test_ratings_are_clustered_by_item_when_first_asked_for(spark, world):
     assert data.by_item.hot is not None
     assert data.users.count() == data.users.distinct().count() and data.items.count() == data.items.distinct().count()
     data.release()
+
+
+def test_state_moves_side_by_side_and_leaves_the_disk(spark, world, monkeypatch):
+    """One row per id goes to a block for all runs; the state of an iteration goes when the next one stands."""
+    import os
+
+    from ratingspark.plans import fit as fit_module
+    from ratingspark.session import checkpoint_dir
+
+    cfg = ModelConfig(2, 5, **BASE)
+    runs = with_fold([Run(0, cfg, None, None), Run(1, replace(cfg, n_factors=3), None, None)], 3)
+    data = prepare(world["ratings"], world["users"], world["items"], max_rows=6)
+    state = _initial_state(data.items, "item_id", "V", runs).withColumn("packed", F.concat(F.array("bias"), "vec"))
+    wide = data.by_user.side_by_side(state)
+    assert wide.count() == N and {r.n for r in wide.select(F.size("packed").alias("n")).collect()} == {3 * 3 + 3 * 4}
+    first = {r.id: r.packed for r in wide.collect()}
+    for row in state.where("run_id = 3").collect():
+        assert first[row.id][9:13] == row.packed
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    whole = fit_runs(data, runs, score=True)
+    assert len(set(os.listdir(folder)) - before) == len(whole.stored) == 3  # users, items, held-out errors; none of earlier iterations
+    monkeypatch.setattr(fit_module, "MOVED_CELLS", 1)
+    monkeypatch.setattr(fit_module, "FREED_CELLS", 1)
+    single = fit_runs(data, runs, score=True)
+    assert len(single.stored) == 3 * len(runs)
+    assert np.allclose([h[2:] for h in sorted(whole.history)], [h[2:] for h in sorted(single.history)], rtol=1e-12)
+    errors = lambda fit: sorted((r.run_id, r.item_id, r.n, round(r.sq_err, 9)) for r in fit.held_out.collect())
+    assert errors(whole) == errors(single)
+    single.discard()
+    whole.discard()
+    assert set(os.listdir(folder)) <= before
+    data.release()
