@@ -436,3 +436,21 @@ def test_statistics_of_columns_move_no_rows(spark):
         assert [r.x for r in normalize.impute_medians(table).orderBy("item_id").collect()] == [[float(i), 0.0] for i in range(9)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_completed_matrix_is_summed_up_in_cached_pieces(spark, monkeypatch):
+    from ratingspark.operators import scoring
+
+    monkeypatch.setattr(scoring, "USERS", 3)
+    monkeypatch.setattr(scoring, "ITEMS", 4)
+    users = [(u, [0.1 * u, 1.0 - u], 0.5 * u) for u in range(8)]
+    items = [(i, [1.0 + i, 0.2 * i], -0.1 * i) for i in range(11)]
+    left = spark.createDataFrame(users, "user_id long, u array<double>, b_u double")
+    right = spark.createDataFrame(items, "item_id long, z array<double>, b_i double")
+    want = {u: [sum(a * b for a, b in zip(x, z)) + bu + bi + 3.0 for _, z, bi in items] for u, x, bu in users}
+    for r in scoring.completed_summary(left, right, 3.0).collect():
+        row = want[r.user_id]
+        assert r.n_items == 11 and abs(r.pred_mean - sum(row) / 11) < 1e-9
+        assert abs(r.pred_min - min(row)) < 1e-9 and abs(r.pred_max - max(row)) < 1e-9
+    for r in scoring.completed_rows(left, right, 3.0).collect():
+        assert all(abs(p - want[r.user_id][i]) < 1e-9 for i, p in zip(r.item_ids, r.predictions))
